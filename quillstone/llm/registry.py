@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import language_id, packing, topk_search, url_filter
+from . import language_id, mixing, packing, quality_rules, secret_scan, topk_search, url_filter
 
 QUERIES = {
     "op1_topk_search": topk_search.op1_topk_search,
+    "op2_quality_rules": quality_rules.op2_quality_rules,
     "op5_packing": packing.op5_packing,
+    "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_language_id": language_id.op7_language_id,
+    "op8_mixing": mixing.op8_mixing,
     "op9_url_filter": url_filter.op9_url_filter,
 }
 ORACLE_SQL = {
     "op1_topk_search": topk_search.ORACLE,
+    "op2_quality_rules": quality_rules.ORACLE,
+    "op6_secret_scan": secret_scan.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
 }
