@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, language_id, mixing, packing, quality_rules, secret_scan, topk_search, url_filter
+from . import html_extract, jaccard_join, language_id, mixing, packing, quality_rules, secret_scan, topk_search, url_filter
 
 QUERIES = {
     "op1_topk_search": topk_search.op1_topk_search,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_language_id": language_id.op7_language_id,
     "op8_mixing": mixing.op8_mixing,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_html_extract": html_extract.op10_html_extract,
 }
 ORACLE_SQL = {
     "op1_topk_search": topk_search.ORACLE,
