@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import html_extract, jaccard_join, language_id, mixing, packing, quality_rules, secret_scan, topk_search, url_filter
+from . import html_extract, jaccard_join, language_id, mixing, packing, quality_rules, secret_scan, substring_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_topk_search": topk_search.op1_topk_search,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_packing": packing.op5_packing,
     "op6_secret_scan": secret_scan.op6_secret_scan,
