@@ -1,4 +1,6 @@
 """Named queries over the driver tables, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import knowledge_queries, search_queries
+
+QUERIES: dict = {**search_queries.QUERIES, **knowledge_queries.QUERIES}
+ORACLE_SQL: dict = {**search_queries.ORACLE_SQL, **knowledge_queries.ORACLE_SQL}

@@ -1,0 +1,56 @@
+"""Structured Streaming twins of the gateway operators and incremental index maintenance."""
+
+from __future__ import annotations
+
+from collections import deque
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.gateway import accepted, micros
+from ..operators.index import changed_postings, postings, tokenized
+
+
+def stream_limit(events: DataFrame, most: int, window_seconds: float, key: str = "user_id", ts: str = "ts", event: str = "event_id") -> DataFrame:
+    """The sliding-log limit over a stream. A key's state is its log: the accepted times in the window, most of them at most.
+
+    Events of a key must come in the order of their times, batch by batch; within a batch they are sorted.
+    """
+    window = int(window_seconds * 1_000_000)
+
+    def run(k, batches, state):
+        log = deque(state.get[0] if state.exists else [])
+        rows = pd.concat(list(batches)).sort_values(["t", "event"])
+        allowed = accepted(rows["t"].tolist(), most, window, log)
+        state.update((list(log),))
+        yield pd.DataFrame({"event": rows["event"], "key": rows["key"], "t": rows["t"], "allowed": allowed})
+
+    rows = events.select(F.col(event).alias("event"), F.col(key).alias("key"), micros(ts).alias("t"))
+    kinds = {c: events.schema[c].dataType.simpleString() for c in (event, key)}
+    out = rows.groupBy("key").applyInPandasWithState(run, f"event {kinds[event]}, key {kinds[key]}, t long, allowed boolean", "log array<long>", "append", "NoTimeout")
+    return out.select(F.col("event").alias(event), F.col("key").alias(key), F.timestamp_micros("t").alias(ts), "allowed")
+
+
+def stream_counts(events: DataFrame, width: str = "1 minute", late: str = "10 minutes", key: str = "user_id", ts: str = "ts") -> DataFrame:
+    """Events of each key in each window, final once the watermark has passed."""
+    counted = events.withWatermark(ts, late).groupBy(F.window(ts, width), key).agg(F.count("*").alias("n"))
+    return counted.select(F.col("window.start").alias("start"), key, "n")
+
+
+def maintain_index(documents: DataFrame, path: str, checkpoint: str, key: str = "id", *columns: str):
+    """A streaming query that upserts the postings of new and changed documents, a new version of the index for each batch."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fresh = tokenized(batch.dropDuplicates([key]), *(columns or ("text",)), key=key)
+        jvm = spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        versions = sorted(int(f.getPath().getName().removeprefix("v")) for f in (fs.listStatus(place) if fs.exists(place) else []) if f.getPath().getName().startswith("v"))
+        versions = [v for v in versions if v < number]
+        old = spark.read.parquet(f"{path}/v{versions[-1]}") if versions else None
+        out = changed_postings(old, fresh.select(key).limit(0), fresh, key) if old is not None else postings(fresh, key)
+        out.write.mode("overwrite").parquet(f"{path}/v{number}")
+
+    return documents.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
