@@ -1,6 +1,7 @@
 """Named queries over the driver tables, and their SQL."""
 
-from . import knowledge_queries, search_queries
+from . import gateway_queries, knowledge_queries, search_queries, text_queries
 
-QUERIES: dict = {**search_queries.QUERIES, **knowledge_queries.QUERIES}
-ORACLE_SQL: dict = {**search_queries.ORACLE_SQL, **knowledge_queries.ORACLE_SQL}
+_PARTS = (search_queries, knowledge_queries, text_queries, gateway_queries)
+QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
