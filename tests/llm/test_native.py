@@ -1,0 +1,162 @@
+"""Quality rules, secret scans, mixing, URL filters and top-k search."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillstone.llm import mixing, quality_rules, registry, secret_scan, topk_search, url_filter
+
+from ..compare import same_rows
+from .helpers import DOCS, docs, prose, rng, words
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_query_matches_sql(spark, data, name):
+    same_rows(registry.QUERIES[name](spark, data), registry.ORACLE_SQL[name], data)
+
+
+def repeated(ws):
+    grams = [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
+    return len({i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(5)})
+
+
+def test_quality_base_columns(spark):
+    r = rng()
+    texts = [None, "", " \n\t ", "a b c d", "a b c d e", "a b c d e a b c d e", "x " * 40, "é#|<\n\né#|<\ny\ny", prose(r, 60), " ".join([prose(r, 12)] * 3), "w\x0bv\x0cu\rt s", prose(r, 20000)]
+    out = {x["doc_id"]: x for x in quality_rules.judge(docs(spark, texts)).collect()}
+    assert len(out) == len(texts)
+    for i, t in enumerate(texts):
+        t = t or ""
+        ws, lines = words(t), [x for x in t.split("\n") if words(x)]
+        own = (len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), repeated(ws) if len(ws) < 1000 else 0)
+        assert (out[i]["n_words"], out[i]["word_chars"], out[i]["n_symbols"], out[i]["n_dup_lines"], out[i]["n_repeat_words"]) == own
+        assert out[i]["base_failed"] == (own[0] < 10 or 100 * own[4] > 20 * own[0])
+
+
+def test_frequent_lines_reject_depleted_documents_of_their_host(spark):
+    r = rng()
+    common = prose(r, 14)
+    texts = [f"{common.upper() if i % 2 else common}\n{prose(r, 12 if i < 30 else 60)}" for i in range(60)] + [prose(r, 40) for _ in range(10)] + [common + "\n" + prose(r, 11)]
+    rows = docs(spark, texts, ["a"] * 70 + [None])
+    out = {x["doc_id"]: x for x in quality_rules.judge(rows).collect()}
+    assert all(out[i]["n_removed_words"] == 14 for i in range(60)) and not any(out[i]["n_removed_words"] for i in range(60, 71))
+    assert not any(out[i]["kept"] for i in range(30)) and all(out[i]["kept"] for i in range(30, 71))
+    # Copies of one text count once.
+    same = docs(spark, [texts[0]] * 60, "a")
+    assert all(x["kept"] for x in quality_rules.judge(same).collect())
+
+
+def spans(text):
+    found = []
+    for k, (kind, p, group, least) in enumerate((("assign", r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24))):
+        found += [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(p, text) if len(m[group]) >= least]
+    return [s for *_, s in sorted(found)]
+
+
+SECRETS = [
+    None, "", "nothing", "password=abcdef", "PassWord = 'abc'", "token: \"abcdefgh\" secret=ab api_key=x apikey:zzzzzz", "é✓ password=abcdef AKIA" + "A1" * 10, "AKIA123 AKIA" + "Z" * 16, "0" * 23 + " " + "f" * 24 + "g" + "a" * 30,
+    "token=token:abcdefgh", "token=" + "a1" * 20, "secret = secret = abcdefg", "x" * 5000 + "password=abcdef" + "y" * 5000, "password=abcdef\n" * 30, "passwd=......", "😀 token=abcdefg",
+]
+
+
+def test_secret_spans(spark):
+    rows = docs(spark, SECRETS + SECRETS[:8]).withColumn("spans", F.lit(1)).withColumn("blob", F.lit("x"))
+    out = {x["doc_id"]: x for x in secret_scan.digest(secret_scan.findings(rows)).collect()}
+    for i, t in enumerate(SECRETS + SECRETS[:8]):
+        own = spans(t or "")
+        assert out[i]["base_sha256"] == hashlib.sha256(",".join(own).encode()).hexdigest(), t
+        assert [out[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(s.startswith(k) for s in own) for k in ("assign", "access", "hex")]
+        assert set(own) <= set(out[i]["spans"].split(","))
+
+
+def test_ledger_scans_only_what_is_new(spark):
+    rules = secret_scan.RULES
+    first = docs(spark, SECRETS)
+    ledger = secret_scan.ledger_rows(secret_scan.scan(first, rules=rules[:3]), rules[:3]).cache()
+    assert secret_scan.scan(first, ledger, rules[:3]).count() == 0
+    more = docs(spark, [*SECRETS, "ghp_" + "a" * 36 + " password=abcdef"])
+    fresh = {tuple(x["scanned"]) for x in secret_scan.scan(more, ledger, rules).collect()}
+    assert fresh == {tuple(secret_scan.keys(rules[3:])), tuple(secret_scan.keys(rules))}
+    whole = {x["row"]["doc_id"]: x["spans"] for x in secret_scan.findings(more, None, rules).collect()}
+    again = {x["row"]["doc_id"]: x["spans"] for x in secret_scan.findings(more, ledger, rules).collect()}
+    assert whole == again
+
+
+def test_redaction(spark):
+    rows = docs(spark, ["a password=abcdef b token=" + "0" * 24 + " c", "clean", "password=abcdef"])
+    out = {x["row"]["doc_id"]: x["t"] for x in secret_scan.findings(rows).withColumn("t", secret_scan.redacted(F.col("row.text"), F.col("spans"))).collect()}
+    assert out == {0: "a [SECRET] b [SECRET] c", 1: "clean", 2: "[SECRET]"}
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 0.2, "b": 0.5, "c": 0.3}, {"a": 1.0}])
+def test_mixing_stays_within_a_block(spark, weights):
+    r = random.Random(1)
+    rows = spark.createDataFrame([(i if i % 97 else None, r.choice(["a"] * 9 + ["b"] * 5 + ["c"] * 2 + [None]), 7) for i in range(1500)], "doc_id long, source string, slot long")
+    out = mixing.schedule(rows, weights=weights, block=4, period=40).select("row.doc_id", "row.source", "block", "slot", "in_block").toPandas()
+    assert len(out) == 1500 and out["in_block"].max() < 4
+    assert out.groupby("slot")["source"].nunique(dropna=False).max() == 1
+    order = [None if s != s else s for s in out.groupby("slot")["source"].first().tolist()]
+    first = out.drop_duplicates("slot").set_index("slot").sort_index()
+    order = [None if s is None or s != s else s for s in first["source"]]
+    assert list(first.index) == list(range(len(first)))
+    sources = mixing.sources_of(rows.select("source"), weights, 4, 40).first()["each"]
+    quota, blocks = {x["source"]: x["quota"] for x in sources}, {x["source"]: x["blocks"] for x in sources}
+    total = sum(quota.values())
+    done = dict.fromkeys(quota, 0)
+    for t, s in enumerate(order, 1):
+        done[s] += 1
+        if t <= min(blocks[x] // quota[x] for x in quota) * total:
+            assert all(abs(done[x] - t * quota[x] / total) < 1 for x in quota)
+    assert done == blocks
+
+
+def test_mixing_keeps_all_columns_and_rows(spark):
+    rows = docs(spark, ["same"] * 20 + [None, ""], ["a"] * 15 + ["b"] * 7).withColumn("row", F.lit("clash")).withColumn("block", F.lit(3))
+    out = mixing.mix(rows, block=2, period=10)
+    assert out.columns == rows.columns and sorted(map(str, out.collect())) == sorted(map(str, rows.collect()))
+    assert mixing.mix(rows.limit(0)).count() == 0
+
+
+URLS = [
+    None, "", "no scheme", "http://a.example.net/en/1", "http://a.example.net/de/1", "http://x.net", "http://x.net?y=/", "HTTPS://WWW.Example.COM/de/x#y", "https://x.org/fr/cheap-pills", "https://x.org/en/cheap-pills",
+    "http://cheap-pills.example.com/en/1", "http://cheap-pillsx.example.com/", "http://x.com/casino-bet", "http://x.com/casino/casino", "http://x.com/alphabet", "http://ünet/É", "http://com/?loan=adult", "://net/", "http://example.net", "http://notexample.net/en/",
+]
+
+
+def test_url_verdicts(spark):
+    rows = spark.createDataFrame([(i if i else None, u, "h") for i, u in enumerate(URLS)], "page_id long, url string, host string")
+    out = {x["page_id"]: x for x in url_filter.judge(rows).collect()}
+    told = {i: (x["rule"], x["verdict"]) for i, x in out.items()}
+    assert told[None] == told[1] == told[2] == (None, "allow") and out[2]["host"] == out[2]["path"] == ""
+    assert told[3] == ("example.net/en/", "allow") and told[4] == ("net/", "block") and told[5] == (None, "allow") and told[6] == (None, "allow")
+    assert told[7] == ("example.com/de/", "block") and out[7]["host"] == "www.example.com" and out[7]["path"] == "/de/x"
+    assert told[8] == ("org/fr/", "allow") and told[9] == (None, "block") and told[10] == (None, "block") and told[11] == (None, "allow")
+    assert told[12][1] == "block" and told[13][1] == "allow" and told[14][1] == "allow" and told[16][1] == "block" and told[17] == ("net/", "block") and told[19] == ("net/", "block")
+
+
+def test_topk_against_all_products(spark):
+    r = rng()
+    nan = float("nan")
+    vectors = [[r.uniform(-1, 1) if r.random() < 0.7 else 0.0 for _ in range(8)] for _ in range(300)]
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(20, vectors[3]), (500, None), (501, [nan] * 8), (502, [None] * 8), (503, [1.0, 2.0]), (40, vectors[40]), (None, vectors[1]), (504, [])]
+    frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, rank int")
+    out = topk_search.search(topk_search.integer_vectors(frame), k=5, candidate_block=64, query_block=8).collect()
+    import math
+
+    ints = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for at, (q, v) in enumerate(ints):
+        if q % 20 == 0:
+            scores = sorted(((-sum(a * b for a, b in zip(v, w, strict=False)), i) for k, (i, w) in enumerate(ints) if k != at))[:5]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(scores, 1)]
+    assert sorted(tuple(x) for x in out) == sorted(want)
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], DOCS)
+    assert quality_rules.judge(none).count() == secret_scan.findings(none).count() == mixing.schedule(none).count() == 0
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    assert topk_search.search(spark.createDataFrame([], "vec_id long, vector array<long>")).count() == 0
