@@ -19,7 +19,7 @@ _GRAMS = LENGTH - GRAM + 1
 #: A window holds HALF more bytes on the left or on the right of its trigger's gram, at least.
 _HALF = (LENGTH - GRAM) // 2
 #: Bytes that are hashed at once; longer texts are cut, with LENGTH - 1 bytes of overlap.
-SLICE = 2_000_000
+SLICE = 500_000
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 
 
