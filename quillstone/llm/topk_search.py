@@ -17,6 +17,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return kept[np.lexsort((ids[kept], -scores[kept].astype(object) if scores.dtype == object else -scores[kept]))[:k]]
 
 
-def search_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
+def search_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> dict[str, list]:
     """The k best candidates of this block for each query of this block."""
     out: dict[str, list] = {"uid": [], "query_id": [], "self_score": [], "vec_ids": [], "scores": []}
     if len(queries) and len(candidates):
@@ -91,7 +92,7 @@ def search_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.
                 out["self_score"].append(own[i])
                 out["vec_ids"].append(ids[top])
                 out["scores"].append(row[top])
-    return pd.DataFrame(out)
+    return out
 
 
 def search(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, candidate_block: int = CANDIDATE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -107,11 +108,12 @@ def search(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, candi
     asked = deal.where(F.pmod("vec_id", F.lit(query_every)) == 0).withColumn("uid", F.monotonically_increasing_id())
     queries = asked.select("uid", "vec_id", "vector", F.pmod(F.shiftright("at", 20), F.lit(down)).alias("down"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("across"))
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return search_block(left, right, k + 1)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = search_block(left.to_pandas(), right.to_pandas(), k + 1)
+        return pa.table({c: pa.array(rows[c], pa.list_(pa.int64()) if c in ("vec_ids", "scores") else pa.int64()) for c in rows})
 
     schema = "uid long, query_id long, self_score long, vec_ids array<long>, scores array<long>"
-    found = queries.groupBy("across", "down").cogroup(candidates.groupBy("across", "down")).applyInPandas(run, schema)
+    found = queries.groupBy("across", "down").cogroup(candidates.groupBy("across", "down")).applyInArrow(run, schema)
     each = found.select("uid", "query_id", "self_score", F.explode(F.arrays_zip("vec_ids", "scores")).alias("x")).select("uid", "query_id", "self_score", F.col("x.vec_ids").alias("vec_id"), F.col("x.scores").alias("score"))
     order = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
     merged = each.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + 1)
