@@ -44,6 +44,14 @@ class Hashes:
     def of(self, start, stop) -> np.ndarray:
         return mixed((self.sums[stop] - self.sums[start]) * self.down[start])
 
+    def grams(self, n: int) -> np.ndarray:
+        """A hash of each n neighbouring bytes, mixed enough to be ordered by."""
+        out = self.sums[n:] - self.sums[:-n]
+        out *= self.down[: len(out)]
+        out ^= out >> np.uint64(31)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        return out
+
 
 def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
     """The least of each n neighbours."""
@@ -82,8 +90,8 @@ def phrases(texts: list[bytes]):
     """Fields of the phrases of each batch."""
     for owners, firsts, raw, ends in slices(texts):
         hashes = Hashes(raw)
-        at = np.arange(len(raw) - GRAM + 1)
-        least = sliding_least(hashes.of(at, at + GRAM), _GRAMS)
+        each = hashes.grams(GRAM)
+        least = sliding_least(each, _GRAMS)
         starts = np.concatenate([[0], ends[:-1]])
         # Windows that end in the text in which they start.
         inside = np.zeros(len(least) + 1, np.int32)
@@ -96,7 +104,7 @@ def phrases(texts: list[bytes]):
         low = np.flatnonzero(fresh & inside)
         high = np.flatnonzero(inside & np.concatenate([(fresh | ~inside)[1:], [True]]))
         trigger = least[low]
-        grams = np.lib.stride_tricks.sliding_window_view(hashes.of(at, at + GRAM), _GRAMS)
+        grams = np.lib.stride_tricks.sliding_window_view(each, _GRAMS)
         gram = low + (grams[low] == trigger[:, None]).argmax(axis=1)
         several = gram < high
         part = np.searchsorted(ends, low, side="right")
