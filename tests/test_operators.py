@@ -180,3 +180,19 @@ def test_plans_push_filters_down(spark, data):
     rows = search.filtered(sources.table(spark, data, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("category"), F.lit(1).alias("level")), "en")
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(lang,en)" in plan and "text" not in plan.split("ReadSchema")[1]
+
+
+def test_command_line(spark, data, tmp_path, capsys):
+    from quillstone.__main__ import main
+    from quillstone.plans.search_queries import passages
+
+    passages(spark, data).write.parquet(str(tmp_path / "p"))
+    main(["search", str(tmp_path / "p"), "the and", "und die", "--limit", "2"])
+    main(["stats", str(tmp_path / "p")])
+    assert "total_chars" in capsys.readouterr().out
+    text = "<p>" + "نص عربي طويل " * 20
+    spark.createDataFrame([(1, "a/p1.xhtml", text, "x")], "page_id long, url string, html string, slug string").write.parquet(str(tmp_path / "pages"))
+    spark.createDataFrame([("x", "fiqh", 1, 0)], "slug string, category string, level int, total_passages int").write.parquet(str(tmp_path / "books"))
+    main(["ingest", str(tmp_path / "pages"), str(tmp_path / "books"), str(tmp_path / "out"), "--dry-run"])
+    main(["ingest", str(tmp_path / "pages"), str(tmp_path / "books"), str(tmp_path / "out")])
+    assert spark.read.parquet(str(tmp_path / "out")).first()["category"] == "fiqh"
