@@ -163,3 +163,21 @@ def mapped_narrations(arabic: DataFrame, translated: DataFrame, collection: str)
     both = arabic.withColumnRenamed("text", "a").join(translated.withColumnRenamed("text", "t"), "number", "full_outer")
     plain = both.select("number", F.coalesce("a", F.lit("")).alias("arabic_text"), F.coalesce("t", F.lit("")).alias("translation")).where("arabic_text <> '' or translation <> ''")
     return plain.select(F.concat(F.initcap(F.lit(collection)), F.lit(" no. "), F.col("number").cast("string")).alias("source"), "arabic_text", "translation", F.lit("sahih" if collection in ("bukhari", "muslim") else "hasan").alias("authenticity"))
+
+
+def reconciled(registry: DataFrame, names: DataFrame, key: str = "slug") -> DataFrame:
+    """key and missing_in: slugs of the registry without a name, and names of slugs that the registry does not have."""
+    left, right = registry.select(key).distinct(), names.select(key).distinct()
+    return left.join(right, key, "left_anti").withColumn("missing_in", F.lit("names")).union(right.join(left, key, "left_anti").withColumn("missing_in", F.lit("registry")))
+
+
+def loaded_counts(passages: DataFrame, books: DataFrame, key: str = "slug") -> DataFrame:
+    """books with the number of their passages and when they were loaded (null: not yet)."""
+    counted = passages.groupBy(key).agg(F.count("*").alias("total_passages"))
+    joined = books.drop("total_passages", "ingested_at").join(counted, key, "left")
+    return joined.withColumn("ingested_at", F.when(F.col("total_passages") > 0, F.current_timestamp())).withColumn("total_passages", F.coalesce("total_passages", F.lit(0)))
+
+
+def health(rules: DataFrame, verses: DataFrame, narrations: DataFrame) -> DataFrame:
+    """One row: status and totals."""
+    return integrity(rules, verses, narrations).select(F.lit("ok").alias("status"), "rules", "verses", "narrations")

@@ -139,6 +139,22 @@ def topics_endpoint(spark, d):
     return knowledge.topic_list(kb(spark)["rules"]).select("key", "ruling", F.array_join("keywords", "|").alias("keywords"))
 
 
+def registry_reconciliation(spark, d):
+    """Sources as a registry, against the names of some of them and of others."""
+    names = literal_rows(spark, [("src1",), ("src2",), ("src99",)], "slug string")
+    return knowledge.reconciled(table(spark, d, "documents").select(F.col("source").alias("slug")), names)
+
+
+def loaded_counts(spark, d):
+    books = literal_rows(spark, [(f"src{i}", i) for i in range(0, 30, 3)], "slug string, n int")
+    return knowledge.loaded_counts(table(spark, d, "documents").select(F.col("source").alias("slug")), books).select("slug", "n", "total_passages")
+
+
+def health(spark, d):
+    k = kb(spark)
+    return knowledge.health(k["rules"], k["verses"], k["narrations"].withColumn("status", F.lit(None).cast("string")))
+
+
 def chat_answer(spark, d):
     asked = questions(spark, d)
     topics = knowledge.parse_topics(asked, kb(spark)["rules"])
@@ -161,7 +177,7 @@ QUERIES = {
     "array_fk_resolve": array_fk_resolve, "broken_refs": broken_refs, "cache_merge": _merge(False), "cache_merge_overwrite": _merge(True), "cache_merge_counts": cache_merge_counts,
     "evidence_score": evidence_score, "corpus_evidence": corpus_evidence, "gate_labels": gate_labels, "value_distribution": value_distribution, "integrity_report": integrity_report,
     "ingest_skip_loaded": ingest_skip_loaded, "fetch_plan": fetch_plan, "editions_inner": editions_inner, "editions_outer": editions_outer, "topics_endpoint": topics_endpoint,
-    "chat_answer": chat_answer, "reasoned_answer": reasoned_answer,
+    "registry_reconciliation": registry_reconciliation, "loaded_counts": loaded_counts, "health": health, "chat_answer": chat_answer, "reasoned_answer": reasoned_answer,
 }
 
 _RULES = sql_rows("rules", seeds.columns(seeds.RULES_SCHEMA), seeds.RULES)
@@ -209,6 +225,9 @@ _ANSWER = f"""concat('{_EQ}', chr(10), 'HUKUM: ', upper(coalesce(ruling, '')), c
   chr(10), 'PENJELASAN:', chr(10), '  ', coalesce(reasoning, ''), chr(10), chr(10), '{_EQ}')"""
 
 ORACLE_SQL = {
+    "registry_reconciliation": "WITH n(slug) AS (VALUES ('src1'), ('src2'), ('src99')), r AS (SELECT DISTINCT source AS slug FROM documents) SELECT slug, 'names' AS missing_in FROM r WHERE slug NOT IN (SELECT slug FROM n) UNION ALL SELECT slug, 'registry' FROM n WHERE slug NOT IN (SELECT slug FROM r)",
+    "loaded_counts": "WITH b AS (SELECT 'src' || i AS slug, i::INT AS n FROM range(0, 30, 3) x(i)) SELECT slug, n, (SELECT count(*) FROM documents WHERE source = slug) AS total_passages FROM b",
+    "health": "SELECT 'ok' AS status, 5::BIGINT AS rules, 4::BIGINT AS verses, 4::BIGINT AS narrations",
     "topic_parse": f"WITH {_RULES}, {_ASKED}, {_SCORES} SELECT qid, topic FROM parsed",
     "topic_parse_debug": f"WITH {_RULES}, {_ASKED}, {_SCORES} SELECT qid, key, score FROM scores",
     "first_match_keyword": f"WITH {_RULES}, c AS (SELECT conv_id * 1000 + turn AS qid, lower(trim(substr(text, 1, 40))) AS topic FROM conversations WHERE role = 'user') SELECT qid, arg_min(key, ord) AS key FROM c JOIN (SELECT key, ord, unnest(keywords) AS k FROM rules) r ON contains(k, topic) OR contains(topic, k) GROUP BY qid",
