@@ -19,8 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_code(spark: SparkSession) -> None:
-    """Python workers that start from now on find this package, wherever the driver was started."""
+    """Python workers that start from now on find this package, wherever the driver was started, and give memory back that they don't use."""
     env = spark.sparkContext.environment
+    env.update({"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "1000000"})
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join(p for p in [ROOT, *paths] if p)

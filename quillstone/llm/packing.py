@@ -32,7 +32,7 @@ GROUP_TOKENS = 2_000_000
 #: Linear and quadratic cost of a token.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Words that a worker keeps the ids of.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 SPECIAL = "<|endoftext|>"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 

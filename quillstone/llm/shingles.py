@@ -11,7 +11,7 @@ import pyarrow as pa
 
 WORDS = 5
 #: Bytes of text that are hashed at once; a longer text makes a chunk of its own.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 500_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
