@@ -22,7 +22,7 @@ from .common import let, table
 #: Documents of a block, and blocks of a period, about.
 BLOCK, PERIOD = 8, 1000
 #: Rows that are numbered in one task, about.
-NUMBERED = 4096
+NUMBERED = 1024
 #: Up to so many sources the schedule is broadcast; it has at most (2 S + 1) (PERIOD + S) rows of five numbers (6 MB).
 BROADCAST_SOURCES = 64
 #: The default target weight of a source is its number of documents to this power.
