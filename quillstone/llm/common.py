@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: The white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\x0b\x0c\r"
+#: Rows of a batch between Spark and Python at most, as texts are long.
+BATCH_ROWS = 2000
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -22,6 +24,9 @@ def with_code(spark: SparkSession) -> None:
     """Python workers that start from now on find this package, wherever the driver was started, and give memory back that they don't use."""
     env = spark.sparkContext.environment
     env.update({"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "1000000"})
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(limit)) <= BATCH_ROWS:
+        spark.conf.set(limit, str(BATCH_ROWS))
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join(p for p in [ROOT, *paths] if p)
