@@ -81,13 +81,13 @@ def slices(texts: list[bytes]):
         yield np.array(owners), np.array(firsts), np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts])
 
 
-#: Fields of a phrase, all as 64-bit integers: owner (number of the text), trigger, content, start (of its first window), windows, at (of the
-#: trigger's gram from the start), left and right (hashes of the gram with HALF more bytes; 0: no window has them), several (triggers).
-FIELDS = ("owner", "trigger", "content", "start", "windows", "at", "left", "right", "several")
+#: Fields of a phrase: owner (number of the text), trigger, several (places of the trigger), content, start (of its first window), windows, at (of the
+#: trigger's gram from the start), sides (32-bit hashes of the gram with HALF more bytes on the left and on the right; 0: no window has them).
+FIELDS = {"owner": "int64", "trigger": "int64", "several": "int32", "content": "int64", "start": "int32", "windows": "int32", "at": "int32", "sides": "int64"}
 
 
-def phrases(texts: list[bytes]):
-    """Fields of the phrases of each batch."""
+def phrases(texts: list[bytes], only: int = len(FIELDS)):
+    """The first fields of the phrases of each batch."""
     for owners, firsts, raw, ends in slices(texts):
         hashes = Hashes(raw)
         each = hashes.grams(GRAM)
@@ -108,11 +108,13 @@ def phrases(texts: list[bytes]):
         gram = low + (grams[low] == trigger[:, None]).argmax(axis=1)
         several = gram < high
         part = np.searchsorted(ends, low, side="right")
-        left = np.where(several | (gram - _HALF < low), np.uint64(0), hashes.of(np.maximum(gram - _HALF, 0), gram + GRAM))
-        right_end = np.minimum(gram + GRAM + _HALF, len(raw))
-        right = np.where(several | (gram - _HALF > high), np.uint64(0), hashes.of(gram, right_end))
-        content = mixed(hashes.of(low, high + LENGTH) + (high - low).astype(np.uint64))
-        yield [x.astype(np.uint64).view(np.int64) for x in (owners[part], trigger, content, low - starts[part] + firsts[part], high - low + 1, gram - low, left, right, several)]
+        found = [owners[part], trigger, several]
+        if only > len(found):
+            left = np.where(several | (gram - _HALF < low), np.uint64(0), hashes.of(np.maximum(gram - _HALF, 0), gram + GRAM) >> np.uint64(32))
+            right = np.where(several | (gram - _HALF > high), np.uint64(0), hashes.of(gram, np.minimum(gram + GRAM + _HALF, len(raw))) >> np.uint64(32))
+            content = mixed(hashes.of(low, high + LENGTH) + (high - low).astype(np.uint64))
+            found += [content, low - starts[part] + firsts[part], high - low + 1, gram - low, left << np.uint64(32) | right]
+        yield [x.view(np.int64) if x.dtype == np.uint64 else x.astype(kind) for x, kind in zip(found, FIELDS.values(), strict=False)]
 
 
 def window_hashes(text: bytes, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -51,16 +51,16 @@ class Tables:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def parsed(documents: DataFrame) -> DataFrame:
-    """A row for each phrase of documents(doc, text)."""
+def parsed(documents: DataFrame, *fields: str) -> DataFrame:
+    """A row for each phrase of documents(doc, text): doc and the first fields of phrases, as many as named."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = np.array(batch.column(0).to_pylist(), np.int64)
-            for fields in phrases(texts_of(batch.column(1))):
-                yield pa.RecordBatch.from_arrays([pa.array(docs[fields[0]]), *map(pa.array, fields[1:])], names=["doc", *FIELDS[1:]])
+            docs = batch.column(0).to_numpy()
+            for found in phrases(texts_of(batch.column(1)), 1 + len(fields)):
+                yield pa.RecordBatch.from_arrays([pa.array(docs[found[0]]), *map(pa.array, found[1:])], names=["doc", *fields])
 
-    schema = "doc long, " + ", ".join(f"{x} long" for x in FIELDS[1:])
+    schema = "doc long, " + ", ".join(f"{x} {'int' if FIELDS[x] == 'int32' else 'long'}" for x in fields)
     return documents.mapInArrow(run, schema)
 
 
@@ -73,23 +73,28 @@ def compressed(documents: DataFrame) -> DataFrame:
     return documents.mapInArrow(run, ", ".join(f"{c} {'binary' if c == 'text' else 'long'}" for c in documents.columns))
 
 
+def lists(column: pa.Array) -> Iterator[dict[str, np.ndarray]]:
+    """The fields of each row's list of structs, or the list itself as the field ""; null: none."""
+    flat, ends = column.flatten(), np.cumsum([n.as_py() or 0 for n in column.value_lengths()])
+    whole = {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)} if pa.types.is_struct(flat.type) else {"": flat.to_numpy(zero_copy_only=False)}
+    at = 0
+    for end in ends.tolist():
+        yield {name: values[at:end].astype(np.int64) for name, values in whole.items()}
+        at = end
+
+
 def suffixes(rows: DataFrame) -> DataFrame:
     """a, b (the hash), doc and start of the doubtful windows of rows(doc, phrases, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
-            for doc, found, text in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2), strict=True):
-                start = doubtful(*(np.array([x[c] for x in found], np.int64) for c in ("start", "windows", "at", "flags")))
+            for doc, found, text in zip(batch.column(0).to_pylist(), lists(batch.column(1)), batch.column(2), strict=True):
+                start = doubtful(found["start"], found["windows"], found["at"], found["flags"])
                 a, b = window_hashes(expand.decompress(text.as_py()), start)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), doc)), pa.array(start)], names=["a", "b", "doc", "start"])
-
-    return rows.mapInArrow(run, "a long, b long, doc long, start long")
-
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), doc)), pa.array(start.astype(np.int32))], names=["a", "b", "doc", "start"])
 
-def places(column, *fields: str) -> list[np.ndarray]:
-    found = column or []
-    return [np.array([x[f] for x in found], np.int64) for f in fields]
+    return rows.mapInArrow(run, "a long, b long, doc long, start int")
 
 
 def cleaned(rows: DataFrame, texts: bool = False) -> DataFrame:
@@ -99,15 +104,14 @@ def cleaned(rows: DataFrame, texts: bool = False) -> DataFrame:
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for doc_id, text, every, first, heads in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                text = expand.decompress(text)
-                start, windows = places(every, "start", "windows")
-                own, own_windows, at, flags = places(first, "start", "windows", "at", "flags")
-                later = ~np.isin(start, own)
-                doubt = doubtful(own, own_windows, at, flags)
-                repeated = np.concatenate([spread(start[later], windows[later]), np.setdiff1d(doubt, np.array(heads or [], np.int64))])
+            for doc_id, text, every, first, heads in zip(*(batch.column(i).to_pylist() for i in range(2)), *(lists(batch.column(i)) for i in range(2, 5)), strict=True):
+                text, repeated = expand.decompress(text), np.zeros(0, np.int64)
+                if len(every["start"]):
+                    later = ~np.isin(every["start"], first["start"])
+                    doubt = doubtful(first["start"], first["windows"], first["at"], first["flags"])
+                    repeated = np.concatenate([spread(every["start"][later], every["windows"][later]), np.setdiff1d(doubt, heads[""])])
                 gone, runs = covered(len(text), repeated)
-                kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
+                kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if len(repeated) else text
                 out.append((doc_id, len(text), int(gone.sum()), runs, sha256(kept).hexdigest(), kept if texts else None))
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([*(pa.array(columns[i], pa.int64()) for i in range(4)), pa.array(columns[4], pa.string()), pa.array(columns[5], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
@@ -122,23 +126,23 @@ def dedup(documents: DataFrame, texts: bool = False) -> DataFrame:
     keep = Tables(spark)
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"), "text")
 
-    parse = parsed(docs)
-    triggers = keep.kept("triggers", parse.select("trigger").groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1").select("trigger"))
+    once = parsed(docs, "trigger", "several").groupBy("trigger").agg(F.count("*").alias("n"), F.max("several").alias("any"))
     # A phrase with several places of its trigger may hold equal windows itself.
-    often = parse.where("several = 0").join(triggers, "trigger", "left_semi").unionByName(parse.where("several = 1"))
-    parse = keep.kept("parse", often)
+    triggers = keep.kept("triggers", once.where("n > 1 or any = 1").select("trigger"))
+    parse = keep.kept("parse", parsed(docs, *list(FIELDS)[1:]).join(triggers, "trigger", "left_semi"))
     keep.drop("triggers")
 
     # The dictionary: each distinct phrase with its first place.
-    shared = [F.min(c).alias(c) for c in ("at", "left", "right", "several")]
+    shared = [F.min(c).alias(c) for c in ("at", "sides", "several")]
     words = parse.groupBy("trigger", "content", "windows").agg(F.min(F.struct("doc", "start")).alias("x"), *shared)
-    words = keep.kept("dictionary", words.select("trigger", "x.doc", "x.start", "windows", "at", "left", "right", "several"))
+    sides = [F.shiftrightunsigned("sides", 32).alias("left"), F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF)).alias("right")]
+    words = keep.kept("dictionary", words.select("trigger", "x.doc", "x.start", "windows", "at", *sides, "several"))
     # Only triggers of several phrases, and those of one phrase that repeats itself, leave room for doubt.
     alike = words.groupBy("trigger").agg(F.count("*").alias("n"), F.max("several").alias("any")).where("n > 1 or any = 1").drop("n")
-    twice = lambda side: words.where(f"{side} <> 0").groupBy(side).agg(F.count("*").alias("n")).where("n > 1").select(side, F.lit(1).alias(f"{side}_twice"))
-    told = words.join(alike, "trigger", "left").join(twice("left"), "left", "left").join(twice("right"), "right", "left")
+    twice = lambda side: words.where(f"{side} <> 0").groupBy("trigger", side).agg(F.count("*").alias("n")).where("n > 1").select("trigger", side, F.lit(1).alias(f"{side}_twice"))
+    told = words.join(alike, "trigger", "left").join(twice("left"), ["trigger", "left"], "left").join(twice("right"), ["trigger", "right"], "left")
     flag = lambda side, bit: F.when((F.col("any") == 1) | F.col(f"{side}_twice").isNotNull(), bit).otherwise(0)
-    told = told.select("doc", "start", "windows", "at", (flag("left", 1) + flag("right", 2)).cast("long").alias("flags"))
+    told = told.select("doc", "start", "windows", "at", (flag("left", 1) + flag("right", 2)).cast("int").alias("flags"))
     first = keep.kept("first", told)
     keep.drop("dictionary")
 
