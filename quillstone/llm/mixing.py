@@ -1,11 +1,11 @@
 """Mixing sources to target weights: Pfair scheduling.
 
-Each source's documents form blocks. A period deals a whole number of blocks to each source, as its target weight asks.
-Within a period of L slots, block j of a source with c blocks is released at floor(j L / c) and due at
-ceil((j + 1) L / c); in each slot the released block of the earliest deadline runs. That keeps every source within one
-block of its weight in every prefix. When a source has less than its share left, it gets what is left, and from then on
-the others divide the period by their weights; the periods that differ in this way are at most two for each source, and
-each of them is scheduled once. All is DataFrame functions.
+Each source's documents form blocks. In the ideal mix all sources run at once, each at a rate in proportion to its target
+weight, as it is given and never rounded; a source that has run out leaves its rate to the others in proportion to their
+weights. Block j of a source is released in the slot in which the ideal mix comes to j blocks of it, and due by the end of
+the slot in which it comes to j + 1; in each slot the released block of the earliest deadline runs. That keeps every source
+within one block of the ideal mix in every prefix, however long. The driver deals the slots one after another (a heap
+entry for each block); blocks are numbered, and rows placed, by DataFrame functions.
 
 Defined results: a null source is a source of its own. Every row is scheduled once, repeated rows too. Sources that the
 given weights don't name, and weights that are not positive, get one block in a period. An empty table gives an empty
@@ -14,43 +14,63 @@ result. Columns of any name are kept, in a struct.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import heapq
+from array import array
+from bisect import bisect_right
+from itertools import accumulate
+from math import ceil, floor
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import table
 
-#: Documents of a block, and blocks of a period, about.
+#: Documents of a block, and blocks of a period: the unit of quotas.
 BLOCK, PERIOD = 8, 1000
 #: Rows that are numbered in one task, about.
 NUMBERED = 1024
-#: Up to so many sources the schedule is broadcast; it has at most (2 S + 1) (PERIOD + S) rows of five numbers (6 MB).
-BROADCAST_SOURCES = 64
+#: Slots of a source in one row of what the driver sends.
+SENT = 4096
 #: The default target weight of a source is its number of documents to this power.
 TEMPERATURE = 0.5
 
 
-def edf(c: Column) -> Column:
-    """Sources (positions in c) in the order in which their blocks run, for c blocks of each."""
-    length = F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-
-    def slot(n: Column, state: Column, t: Column) -> Column:
-        done = state["done"]
-        waiting = F.transform(
-            c,
-            lambda blocks, s: F.when(
-                (done[s] < blocks) & (F.floor(done[s] * n / F.greatest(blocks, F.lit(1))) <= t),
-                F.struct(F.ceil((done[s] + 1) * n / F.greatest(blocks, F.lit(1))).alias("due"), s.alias("s")),
-            ),
-        )
-        # array_min leaves nulls out.
-        return let(F.array_min(waiting)["s"], lambda s: F.struct(F.transform(done, lambda d, i: d + F.when(i == s, 1).otherwise(0)).alias("done"), F.concat(state["order"], F.array(s)).alias("order")))
-
-    zero = F.struct(F.transform(c, lambda x: x * 0).alias("done"), F.array().cast("array<int>").alias("order"))
-    return let(length, lambda n: F.aggregate(F.sequence(F.lit(0).cast("long"), n - 1), zero, lambda state, t: slot(n, state, t), lambda state: state["order"]))
+def edf(blocks: list[int], quota: list[float]) -> list[array]:
+    """The slots of each source's blocks, in order, for sources of so many blocks and blocks in a period."""
+    # Times are slots of the ideal mix. A source ends at blocks / quota periods; until then the sources that are left share the slots.
+    ends = sorted((b / q, b, q) for b, q in zip(blocks, quota, strict=True))
+    at, gone = [e[0] for e in ends], [0, *accumulate(e[1] for e in ends)]
+    rate = [*accumulate((e[2] for e in reversed(ends)), initial=0.0)][::-1]
+
+    def time(s: int, j: int) -> float:
+        """When the ideal mix comes to j blocks of source s."""
+        periods = j / quota[s]
+        k = bisect_right(at, periods)
+        return gone[k] + periods * rate[k]
+
+    def window(s: int, j: int) -> tuple[int, int, int]:
+        """First slot, deadline and source of block j; a time within rounding errors of a whole number is that number."""
+        start, end = time(s, j), time(s, j + 1)
+        return floor(start + 1e-9 + start * 1e-13), ceil(end - 1e-9 - end * 1e-13), s
+
+    slots = [array("q") for _ in blocks]
+    waiting = [window(s, 0) for s, b in enumerate(blocks) if b]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, int]] = []
+    for t in range(sum(blocks)):
+        while waiting and (waiting[0][0] <= t or not ready):
+            _, due, s = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, s))
+        _, s = heapq.heappop(ready)
+        slots[s].append(t)
+        if len(slots[s]) < blocks[s]:
+            heapq.heappush(waiting, window(s, len(slots[s])))
+    return slots
 
 
 def sources_of(rows: DataFrame, weights: dict[str, float] | None, block: int, period: int) -> DataFrame:
-    """One row: all sources with their documents, blocks and blocks in a period, sorted."""
+    """One row: all sources with their blocks and blocks in a period (a target, not a whole number), sorted."""
     counts = rows.groupBy("source").agg(F.count("*").alias("n"))
     if weights is None:
         weight = F.pow(F.col("n"), TEMPERATURE)
@@ -59,45 +79,38 @@ def sources_of(rows: DataFrame, weights: dict[str, float] | None, block: int, pe
         weight = F.greatest(F.coalesce(given[F.coalesce("source", F.lit("\0"))].cast("double"), F.lit(0.0)), F.lit(0.0))
     weighted = counts.withColumn("weight", weight)
     all_of = weighted.agg(F.sort_array(F.collect_list(F.struct("source", "n", "weight"))).alias("each"), F.sum("weight").alias("total"))
-    return all_of.select(F.transform("each", lambda x: F.struct(x["source"].alias("source"), F.ceil(x["n"] / block).cast("long").alias("blocks"), F.greatest(F.lit(1), F.coalesce(F.round(x["weight"] / F.col("total") * period), F.lit(1))).cast("long").alias("quota"))).alias("each"))
+    return all_of.select(F.transform("each", lambda x: F.struct(x["source"].alias("source"), F.ceil(x["n"] / block).cast("long").alias("blocks"), F.when(x["weight"] > 0, x["weight"] / F.col("total") * period).otherwise(F.lit(1.0)).alias("quota"))).alias("each"))
 
 
 def schedule(documents: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, source: str = "source", key: str = "doc_id") -> DataFrame:
     """row (all columns of documents), block (of its source), slot (of the block) and in_block for each document."""
     rows = documents.select(F.struct("*").alias("row"), F.col(source).cast("string").alias("source"), F.xxhash64(F.col(key)).alias("at"))
-    sources = sources_of(documents.select(F.col(source).cast("string").alias("source")), weights, block, period)
-    n, n_sources = documents.select(F.col(source).cast("string").alias("s")).agg(F.count("*"), F.count_distinct(F.coalesce("s", F.lit("\0")))).first()
+    sources = sources_of(documents.select(F.col(source).cast("string").alias("source")), weights, block, period).first()["each"]
+    n = block * sum(x["blocks"] for x in sources)
 
     # Numbers within a source: counts of small parts of it, summed up, and a number within the part.
     parts = max(1, -(-n // NUMBERED))
     dealt = rows.withColumn("part", F.pmod(F.shiftright("at", 17), F.lit(parts)))
     sizes = documents.select(F.col(source).cast("string").alias("source"), F.pmod(F.shiftright(F.xxhash64(F.col(key)), 17), F.lit(parts)).alias("part")).groupBy("source", "part").agg(F.count("*").alias("size"))
     before = F.sum("size").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(F.col("source").alias("_source"), F.col("part").alias("_part"), F.coalesce(before, F.lit(0)).alias("before"))
-    few = n_sources <= BROADCAST_SOURCES
-
-    # The schedule of each kind of period.
-    points = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), F.flatten(F.transform("each", lambda x: F.array(F.floor(x["blocks"] / x["quota"]), F.ceil(x["blocks"] / x["quota"])))))))
-    planned = sources.withColumn("points", points)
-    kinds = planned.select("each", F.explode("points").alias("from")).withColumn("c", F.transform("each", lambda x: F.greatest(F.lit(0), F.least(x["quota"], x["blocks"] - F.col("from") * x["quota"]))))
-    kinds = kinds.where(F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x) > 0).withColumn("start", F.aggregate("each", F.lit(0).cast("long"), lambda a, x: a + F.least(x["blocks"], F.col("from") * x["quota"])))
-    kinds = kinds.repartition("from").withColumn("order", edf(F.col("c"))).withColumn("length", F.size("order"))
-    slots = kinds.select("from", "start", "length", F.transform("each", lambda x: x["source"]).alias("names"), F.posexplode("order").alias("t", "s"))
-    turn = F.row_number().over(Window.partitionBy("from", "s").orderBy("t")) - 1
-    pattern = slots.select("from", "start", "length", "t", turn.cast("long").alias("turn"), F.col("names")[F.col("s")].alias("_name"))
-
-    per_source = planned.select("points", F.inline("each")).select(F.col("source").alias("_s"), "quota", "points")
-    hint = F.broadcast if few else (lambda df: df)
+    offsets = sizes.select(F.col("source").alias("_source"), F.col("part").alias("_part"), F.coalesce(before, F.lit(0)).alias("before"), "size")
+
+    # The slots go to the small parts, so that no row moves for them.
+    dealt_slots = [(x["source"], first, own[first : first + SENT]) for x, own in zip(sources, edf([x["blocks"] for x in sources], [x["quota"] for x in sources]), strict=True) for first in range(0, len(own), SENT)]
+    kinds = pa.string(), pa.int64(), pa.list_(pa.int64())
+    sent = pa.table([pa.array([x[i] for x in dealt_slots], kind) for i, kind in enumerate(kinds)], names=["_name", "first", "slots"])
+    timed = documents.sparkSession.createDataFrame(sent).select("_name", "first", F.posexplode("slots").alias("i", "slot")).select("_name", (F.col("first") + F.col("i")).alias("_block"), "slot")
+    first_block = F.floor(F.col("before") / block)
+    asked = offsets.withColumn("_block", F.explode(F.sequence(first_block, F.floor((F.col("before") + F.col("size") - 1) / block))))
+    slotted = asked.join(timed, F.col("_source").eqNullSafe(F.col("_name")) & (asked["_block"] == timed["_block"]))
+    offsets = slotted.groupBy("_source", "_part", "before").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
+
     within = Window.partitionBy("source", "part").orderBy("at", F.xxhash64("row"))
     numbered = dealt.withColumn("n", F.row_number().over(within))
     numbered = numbered.join(offsets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("part") == F.col("_part")))
     numbered = numbered.withColumn("n", F.col("n") + F.col("before") - 1).withColumn("block", F.floor(F.col("n") / block))
-    timed = numbered.join(hint(per_source), F.col("source").eqNullSafe(F.col("_s")))
-    nth = F.floor(F.col("block") / F.col("quota"))
-    timed = timed.withColumn("period", nth).withColumn("from_", F.array_max(F.filter("points", lambda p: p <= nth))).withColumn("turn_", F.col("block") % F.col("quota"))
-    placed = timed.join(hint(pattern), (F.col("from_") == F.col("from")) & (F.col("turn_") == F.col("turn")) & F.col("source").eqNullSafe(F.col("_name")))
-    slot = F.col("start") + (F.col("period") - F.col("from")) * F.col("length") + F.col("t")
-    return placed.select("row", "block", slot.cast("long").alias("slot"), (F.col("n") - F.col("block") * block).cast("int").alias("in_block"))
+    slot = F.col("slots")[(F.col("block") - first_block).cast("int")]
+    return numbered.select("row", "block", slot.alias("slot"), (F.col("n") - F.col("block") * block).cast("int").alias("in_block"))
 
 
 def mix(documents: DataFrame, **options) -> DataFrame:

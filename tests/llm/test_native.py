@@ -113,6 +113,38 @@ def test_mixing_stays_within_a_block(spark, weights):
     assert done == blocks
 
 
+@pytest.mark.parametrize("weights", [{"a": 0.0004, "b": 0.61, "c": 0.3896}, {"a": 1 / 3, "b": 0.011, "c": 0.5}])
+def test_mixing_keeps_to_unrounded_weights_over_many_periods(spark, weights):
+    """Within a block of the ideal mix at each slot, also after sources have run out."""
+    rows = spark.range(24000).selectExpr("id AS doc_id", "CASE WHEN id % 10 = 0 THEN 'a' WHEN id % 10 < 6 THEN 'b' ELSE 'c' END AS source")
+    out = mixing.schedule(rows, weights=weights, block=4, period=40).select("row.source", "block", "slot").distinct().orderBy("slot").collect()
+    blocks = {"a": 600, "b": 3000, "c": 2400}
+    assert [x["slot"] for x in out] == list(range(6000))
+    done, ideal = dict.fromkeys(blocks, 0), dict.fromkeys(blocks, 0.0)
+    for x in out:
+        assert x["block"] == done[x["source"]]
+        done[x["source"]] += 1
+        left = 1.0
+        while left > 1e-12 and (some := [s for s in blocks if blocks[s] - ideal[s] > 1e-9]):
+            share = {s: weights[s] / sum(weights[k] for k in some) for s in some}
+            step = min(left, *((blocks[s] - ideal[s]) / share[s] for s in some))
+            ideal |= {s: ideal[s] + step * share[s] for s in some}
+            left -= step
+        assert all(abs(done[s] - ideal[s]) < 1 + 1e-6 for s in blocks)
+    assert done == blocks
+
+
+def test_mixing_of_one_hot_source_and_others():
+    blocks = [37500] + [4375] * 19
+    weights = [n**0.5 for n in blocks]
+    slots = mixing.edf(blocks, [w / sum(weights) * 1000 for w in weights])
+    assert sorted(t for own in slots for t in own) == list(range(sum(blocks)))
+    until = int(min(n / w for n, w in zip(blocks, weights)) * sum(weights))
+    for own, w in zip(slots, weights):
+        share = w / sum(weights)
+        assert all(-1 < n - t * share < 1 and -1 < n + 1 - (t + 1) * share < 1 for n, t in enumerate(own) if t < until)
+
+
 def test_mixing_keeps_all_columns_and_rows(spark):
     rows = docs(spark, ["same"] * 20 + [None, ""], ["a"] * 15 + ["b"] * 7).withColumn("row", F.lit("clash")).withColumn("block", F.lit(3))
     out = mixing.mix(rows, block=2, period=10)
