@@ -2,7 +2,8 @@
 
 Training counts hashed n-grams of letters over all training rows, per language, in one distributed aggregation; the model
 is a table of languages by buckets. Inference takes a document as a mixture of languages and estimates its proportions by
-expectation-maximisation over the n-gram likelihoods. Languages leave the set while that lowers the penalised likelihood.
+expectation-maximisation over the n-gram likelihoods, over all languages or over a set grown from one language until no
+other could make the document likelier by more than the cost of a language. Languages leave the set while that lowers the penalised likelihood.
 
 Defined results: a document whose text is null or has no letter is "und" with score 0; so are all where no language was
 learned. Rows with a null language, or an empty or null text, teach nothing. Texts are used whole. Repeated rows count as
@@ -30,6 +31,8 @@ MOST_LANGUAGES = 1024
 SMOOTHING = 0.5
 #: Steps of expectation-maximisation, and the cost of a language in the set as a share of the logarithm of the number of n-grams.
 STEPS, PENALTY = 12, 1.0
+#: Up to so many languages the set starts with all of them; else it is grown, without a limit, to those that the document needs.
+FEW = 8
 UNKNOWN = "und"
 #: Bytes of text that are hashed at once.
 CHUNK_BYTES = 200_000
@@ -76,6 +79,23 @@ class Model:
             share = share * (p @ (n / mixed)) / n.sum()
         return share, float(n @ np.log(share @ p))
 
+    @classmethod
+    def grown(cls, p: np.ndarray, n: np.ndarray, cost: float) -> np.ndarray:
+        """Languages that a mixture needs: no mixture of all languages is likelier than theirs by more than cost.
+
+        The log-likelihood is concave in the shares, so no mixture gains more on the present one than the steepest way to
+        a single language promises. The steepest language is added until that is at most cost.
+        """
+        kept = np.array([np.argmax(np.log(p) @ n)])
+        while len(kept) < len(p):
+            share, _ = cls.mixture(p[kept], n)
+            gain = p @ (n / (share @ p[kept])) - n.sum()
+            gain[kept] = -np.inf
+            if gain.max() <= cost:
+                break
+            kept = np.append(kept, np.argmax(gain))
+        return np.sort(kept)
+
     def proportions(self, text: str | None) -> dict[str, float]:
         """Of the languages in the set that the penalised likelihood selects."""
         if not text or not self.languages or not _has_letter(text):
@@ -86,8 +106,8 @@ class Model:
         p = self.likelihood[:, seen].astype(np.float64)
         cost = PENALTY * np.log(n.sum() + 1)
         kept = np.arange(len(self.languages))
-        if len(kept) > 8:  # the least likely ones alone are no part of a mixture
-            kept = np.argsort(-(np.log(p) @ n), kind="stable")[:8]
+        if len(kept) > FEW:
+            kept = self.grown(p, n, cost)
         share, fit = self.mixture(p[kept], n)
         while len(kept) > 1:
             order = np.argsort(share, kind="stable")

@@ -198,6 +198,26 @@ def test_language_mixtures_and_odd_rows(spark):
     assert language_id.predict(odd.limit(0), model, F.col("doc_id")).count() == 0
 
 
+def test_language_mixture_with_many_relatives():
+    """B is the least likely language alone of a document that is two thirds A, but it is in the mixture."""
+    g = np.random.default_rng(3)
+    base = g.gamma(0.3, size=language_id.BUCKETS // 2) * 200
+    none = np.zeros(language_id.BUCKETS // 2)
+    relative = lambda: np.concatenate([base * g.gamma(4, 0.25, len(base)), none])
+    counts = {f"a{i:02}": np.floor(relative()).astype(np.int64) for i in range(20)}
+    counts["b"] = np.concatenate([none, np.floor(base)]).astype(np.int64)
+    model = language_id.Model(counts)
+    for share in (0.7, 0.55):
+        drawn = share * model.likelihood[0] + (1 - share) * model.likelihood[20]
+        n = g.multinomial(3000, drawn / drawn.sum() * (1 - 1e-9)).astype(np.float64)
+        seen = np.flatnonzero(n)
+        assert np.argmin(np.log(model.likelihood[:, seen]) @ n[seen]) == 20
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(language_id, "counted", lambda text: (seen, n[seen]))
+            found = model.proportions("text")
+        assert set(found) == {"a00", "b"} and abs(found["a00"] - share) < 0.03
+
+
 def test_html_extraction_of_generated_pages():
     made, model = html_extract.Pages(99), html_extract.trained()
     right = 0
