@@ -18,12 +18,21 @@ from pyspark.sql import functions as F
 from .common import let, table
 
 ASSIGN = """(?i:(password|passwd|secret|token|api_?key))["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+PEM_HEAD = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+_B64 = "[A-Za-z0-9+/=]"
+_PEM_LINE = f"[ \\t]*+(?:{_B64}{{16,}}+|(?:{_B64}{{4}})+|{_B64}++(?=\\z)|(?:Proc-Type|DEK-Info):[^\\n]*+)[ \\t\\r]*+(?:\\n|\\z)"
+#: A private key from BEGIN to the END that comes before any other BEGIN; without one, to the end of the base64 on the line and of the
+#: lines of base64 and headers that follow. Single characters are repeated, not groups, as Java's stack would not hold those of a long text.
+PEM = (
+    f"{PEM_HEAD}(?:(?>[\\s\\S]*?(?=-----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----))-----END [A-Z ]*PRIVATE KEY-----"
+    f"|(?:[ \\t]*+[A-Za-z0-9+/=\\\\]{{16,}}+)?(?:[ \\t\\r]*+(?=\\n)[\\s\\S]*?(?=\\z|\\r?\\n(?!\\s*+{_PEM_LINE})))?)"
+)
 #: (kind, version, pattern, group whose length counts, least length). The first three are the base rules.
 RULES = (
     ("assign", 1, ASSIGN, 2, 6),
     ("access", 1, "AKIA[A-Z0-9]+", 0, 20),
     ("hex", 1, "[0-9a-f]{24,}", 0, 24),
-    ("pem", 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("pem", 2, PEM, 0, 1),
     ("jwt", 1, "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", 0, 1),
     ("forge", 1, "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
     ("chat", 1, "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
@@ -140,10 +149,12 @@ SELECT k, {kind} AS kind, '{name}' AS name, s AS start, s + length(h) AS "end" F
   SELECT * FROM m WHERE s >= 0) WHERE {length} >= {least}"""
 
 
+# The SQL has the first version of the pem rule, the line of BEGIN alone: the second is not one that its engine can match.
+_SQL_RULES = tuple(("pem", 1, PEM_HEAD, 0, 1) if r[0] == "pem" else r for r in RULES)
 # A match is found again by its text; that is its first place, as what it starts with cannot match earlier unless the whole does.
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
-f AS ({" UNION ALL ".join(_sql(i, r) for i, r in enumerate(RULES))}),
+f AS ({" UNION ALL ".join(_sql(i, r) for i, r in enumerate(_SQL_RULES))}),
 g AS (SELECT k, count(*) FILTER (WHERE kind = 0) AS a, count(*) FILTER (WHERE kind = 1) AS b, count(*) FILTER (WHERE kind = 2) AS c,
   string_agg(name || ':' || start || ':' || "end", ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base,
   string_agg(name || ':' || start || ':' || "end", ',' ORDER BY start, kind) AS spans FROM f GROUP BY k)
