@@ -15,6 +15,20 @@ def test_query_runs(spark, data, name):
     assert plans.QUERIES[name](spark, data).count() > 0
 
 
+@pytest.fixture
+def folder(spark, tmp_path):
+    turns = [(1, 1, "user", "so " * 40 + "zakat zakat"), (7, 1, "user", "good day")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    documents = [(i, f"{w} words of a book", "en", f"src{i}", 20) for i, w in enumerate(["umum", "other", "more umum", "umum"])]
+    spark.createDataFrame(documents, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_reasoned_answer_reads_whole_questions(spark, folder):
+    out = {x["qid"]: x for x in plans.QUERIES["reasoned_answer"](spark, folder).collect()}
+    assert out[1001]["primary_domain"] == "zakat" and out[7001]["primary_domain"] == "umum"
+
+
 def test_entry(spark, data):
     import __spark_entry__
 
