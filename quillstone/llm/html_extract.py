@@ -16,6 +16,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -185,6 +186,7 @@ def all_nodes(root: Node) -> list[Node]:
 def features(nodes: list[Node]) -> np.ndarray:
     """A row for each node."""
     total, rows, chain = max(1, nodes[0].size), [], {}
+    alike = {id(node): Counter(c.tag for c in node.children) for node in nodes if node.children}
     for i, node in enumerate(nodes):
         up = node.parent
         own = [bool(node.tokens & g) for g in BAD_GROUPS]
@@ -199,7 +201,7 @@ def features(nodes: list[Node]) -> np.ndarray:
                 node.depth, node.at, node.sibling, node.at / max(1, node.sibling - 1) if node.sibling > 1 else 0.0,
                 np.log1p(node.size), node.size / total, np.log1p(text), node.links / max(1, node.size), node.tags, node.size / (1 + node.tags), node.marks / max(1, node.size),
                 up.size / total if up else 1.0, up.links / max(1, up.size) if up else 0.0, node.size / max(1, up.size) if up else 1.0,
-                sum(c.tag == node.tag for c in up.children) / len(up.children) if up and len(up.children) < 200 else 1.0,
+                alike[id(up)][node.tag] / len(up.children) if up else 1.0,
                 i / len(nodes), *above, good, *own, boiler,
                 *(node.tag == t for t in TAGS), *((up.tag if up else "") == t for t in TAGS),
             )

@@ -218,6 +218,14 @@ def test_language_mixture_with_many_relatives():
         assert set(found) == {"a00", "b"} and abs(found["a00"] - share) < 0.03
 
 
+def test_html_share_of_like_siblings_in_long_pages():
+    for n in (150, 199, 200, 3000):
+        nodes = html_extract.all_nodes(html_extract.parse("<html><body>" + "<p>some text</p>" * n + "<aside>x</aside></body></html>"))
+        rows, tags = html_extract.features(nodes), [x.tag for x in nodes]
+        for tag, share in (("aside", 1 / (n + 1)), ("p", n / (n + 1))):
+            assert rows[tags.index(tag)][14] == np.float32(share)
+
+
 def test_html_extraction_of_generated_pages():
     made, model = html_extract.Pages(99), html_extract.trained()
     right = 0
