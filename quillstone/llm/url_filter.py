@@ -5,7 +5,7 @@ the characters on both sides of it are no letters or digits. One strict term, or
 Host rules go before the vocabulary.
 
 Defined results: a null URL, or one without "://", has an empty host and an empty path, fits no rule and is judged by
-the vocabulary alone (null: no hit, allow). Repeated rows are judged one by one. An empty table gives an empty result.
+the vocabulary alone (null: no hit, allow). Null ids stay null and change no other id. URLs are read whole. Repeated rows are judged one by one. An empty table gives an empty result.
 Columns besides page_id and url are not read.
 """
 
@@ -14,8 +14,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table, with_code
 
@@ -70,22 +71,22 @@ def hits(url: str | None, terms: ahocorasick.Automaton) -> tuple[int, int]:
 def judge(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
     """page_id, host, path, rule, verdict and the number of hits for each row of pages(page_id, url)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = automaton(strict, soft)
         for batch in batches:
             rows = []
-            for page_id, url in zip(batch["page_id"], batch["url"], strict=True):
-                url = url if isinstance(url, str) else None
+            for url in batch.column(1).to_pylist():
                 host, path = parts(url)
                 n_strict, n_soft = hits(url, terms)
                 rule = fitting(host, path, rules)
                 bad = n_strict >= 1 or n_soft >= soft_limit
-                rows.append((page_id, host, path, rule[0] if rule else None, rule[1] if rule else "block" if bad else "allow", n_strict, n_soft))
-            out = pd.DataFrame(rows, columns=["page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits"])
-            yield out.assign(page_id=out["page_id"].astype("Int64"))
+                rows.append((host, path, rule[0] if rule else None, rule[1] if rule else "block" if bad else "allow", n_strict, n_soft))
+            columns = [pa.array([r[i] for r in rows], pa.string() if i < 4 else pa.int32()) for i in range(6)]
+            # Ids go through as they are: as floats beside a null they would lose digits.
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits"])
 
     with_code(pages.sparkSession)
-    return pages.select("page_id", "url").mapInPandas(run, SCHEMA)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(run, SCHEMA)
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
