@@ -6,18 +6,20 @@ expectation-maximisation over the n-gram likelihoods, over all languages or over
 other could make the document likelier by more than the cost of a language. Languages leave the set while that lowers the penalised likelihood.
 
 Defined results: a document whose text is null or has no letter is "und" with score 0; so are all where no language was
-learned. Rows with a null language, or an empty or null text, teach nothing. Texts are used whole. Repeated rows count as
-often as they stand. An empty table gives an empty result. Columns besides doc_id, text and lang are not read.
+learned. A letter is a character of category L. Rows with a null language, or an empty or null text, teach nothing. Texts
+are used whole; one longer than a chunk is counted chunk by chunk, with the same result. Repeated rows count as often as
+they stand. Equal shares go to the language that sorts first. More languages than most_languages stop the training with an error; none is left out. An empty
+table gives an empty result. Columns besides doc_id, text and lang are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ from .common import table, with_code
 
 #: Hash buckets of n-grams. The model has as many numbers for each language.
 BUCKETS = 1 << 14
-#: Languages that a model may hold: with BUCKETS this bounds what is sent to the executors (to 64 MB).
+#: Languages that a model may hold. Each takes 64 KB (a float for each bucket), so this bounds what reaches the driver and the executors to 64 MB.
 MOST_LANGUAGES = 1024
 #: Added to each count.
 SMOOTHING = 0.5
@@ -39,14 +41,13 @@ CHUNK_BYTES = 200_000
 
 #: Bytes that no letter has in UTF-8 become a space.
 _LETTERS = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint64)
-_has_letter = re.compile(r"[^\W\d_]").search
+#: Numbers such as ½, ² and Ⅳ are no letters.
+_has_letter = regex.compile(r"\p{L}").search
 
 
-def buckets(text: str) -> np.ndarray:
+def buckets(coded: np.ndarray) -> np.ndarray:
     """The bucket of each byte trigram that has a letter in it."""
-    raw = _LETTERS[np.frombuffer(f" {text.lower()} ".encode(), np.uint8)]
-    if len(raw) < 3:
-        return np.zeros(0, np.int64)
+    raw = _LETTERS[coded]
     joined = raw[:-2] << np.uint64(16) | raw[1:-1] << np.uint64(8) | raw[2:]
     mixed = joined * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - (BUCKETS.bit_length() - 1))
     return mixed[joined != np.uint64(0x202020)].astype(np.int64)
@@ -54,21 +55,31 @@ def buckets(text: str) -> np.ndarray:
 
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets that the text has, and how often."""
+    coded = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8)
     total = np.zeros(BUCKETS, np.int64)
-    for start in range(0, len(text), CHUNK_BYTES):
-        # A chunk takes two characters from its predecessor, so that no trigram is lost.
-        total += np.bincount(buckets(text[max(0, start - 2) : start + CHUNK_BYTES]), minlength=BUCKETS)
+    for start in range(0, len(coded) - 2, CHUNK_BYTES):
+        # A chunk takes the two bytes behind it, so that each trigram is in one chunk.
+        total += np.bincount(buckets(coded[start : start + CHUNK_BYTES + 2]), minlength=BUCKETS)
     seen = np.flatnonzero(total)
     return seen, total[seen].astype(np.float64)
 
 
+def likelihood_of(counts: np.ndarray) -> np.ndarray:
+    """Of each bucket in a language with these counts."""
+    smooth = counts + SMOOTHING
+    return (smooth / smooth.sum()).astype(np.float32)
+
+
 class Model:
     """Languages and the likelihood of each bucket in each of them."""
 
     def __init__(self, counts: dict[str, np.ndarray]):
-        self.languages = sorted(counts)
-        table = np.array([counts[x] for x in self.languages], np.float64).reshape(len(self.languages), BUCKETS) + SMOOTHING
-        self.likelihood = (table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+        self.know({x: likelihood_of(n) for x, n in counts.items()})
+
+    def know(self, likelihoods: dict[str, np.ndarray]) -> Model:
+        self.languages = sorted(likelihoods)
+        self.likelihood = np.array([likelihoods[x] for x in self.languages], np.float32).reshape(len(self.languages), BUCKETS)
+        return self
 
     @staticmethod
     def mixture(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
@@ -126,10 +137,10 @@ class Model:
         return language, min(1.0, max(0.0, found[language]))
 
 
-def train(labelled: DataFrame) -> Model:
-    """From all rows of labelled(text, lang)."""
+def train(labelled: DataFrame, most_languages: int = MOST_LANGUAGES) -> Model:
+    """From all rows of labelled(text, lang). Counts are summed and laid out by language on the executors; a language is one array of bytes here."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -140,19 +151,22 @@ def train(labelled: DataFrame) -> Model:
             seen = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["lang", "bucket", "n"])
 
+    def laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, lang in enumerate(batch.column(0).to_pylist()):
+                own = batch.column(1).slice(i, 1).flatten()
+                total = np.zeros(BUCKETS, np.int64)
+                total[own.field(0).to_numpy(zero_copy_only=False)] = own.field(1).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([likelihood_of(total).tobytes()], pa.binary())], names=["lang", "likelihood"])
+
     with_code(labelled.sparkSession)
     known = labelled.where("text is not null and text <> '' and lang is not null").select("text", "lang")
     sums = known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     by_language = sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts"))
-    rows = by_language.limit(MOST_LANGUAGES + 1).toPandas()
-    if len(rows) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    counts = {}
-    for lang, pairs in zip(rows["lang"], rows["counts"], strict=True):
-        counts[lang] = np.zeros(BUCKETS, np.int64)
-        for x in pairs:
-            counts[lang][x["bucket"]] = x["n"]
-    return Model(counts)
+    rows = by_language.mapInArrow(laid_out, "lang string, likelihood binary").limit(most_languages + 1).toArrow().to_pylist()
+    if len(rows) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    return Model({}).know({r["lang"]: np.frombuffer(r["likelihood"], np.float32) for r in rows})
 
 
 def predict(documents: DataFrame, model: Model, *keep: str | Column) -> DataFrame:
@@ -166,6 +180,8 @@ def predict(documents: DataFrame, model: Model, *keep: str | Column) -> DataFram
         known = shared.value
         return pd.DataFrame([known.predict(t if isinstance(t, str) else None) for t in texts], columns=["lang_pred", "score"])
 
+    # Spark takes it for non-deterministic, so that a filter on the result doesn't call it a second time.
+    of = of.asNondeterministic()
     told = documents.select(*keep, of("text").alias("_told"))
     return told.select(*[c for c in told.columns if c != "_told"], "_told.lang_pred", "_told.score")
 

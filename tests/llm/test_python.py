@@ -198,6 +198,55 @@ def test_language_mixtures_and_odd_rows(spark):
     assert language_id.predict(odd.limit(0), model, F.col("doc_id")).count() == 0
 
 
+def test_only_letters_count_as_letters(spark):
+    model = language_id.train(docs(spark, [prose(rng(), 50)] * 3, lang="x"))
+    assert [model.predict(t)[0] for t in ("½", "²", "Ⅳ", "٣ 3", "ª", "ⅷ é", "ª½", "\u0301", None, "")] == ["und"] * 4 + ["x"] * 3 + ["und"] * 3
+
+
+def test_long_texts_are_counted_chunk_by_chunk(monkeypatch):
+    text = prose(rng(), 3000, "aeioué日lrs") + " 12 ß"
+    whole = language_id.counted(text)
+    for size in (7, 100, 4096):
+        monkeypatch.setattr(language_id, "CHUNK_BYTES", size)
+        cut = language_id.counted(text)
+        assert (cut[0] == whole[0]).all() and (cut[1] == whole[1]).all()
+
+
+def plain_mixture(likelihood, n, steps=400):
+    """Proportions and log-likelihood by expectation-maximisation, n-gram by n-gram."""
+    share = [1 / len(likelihood)] * len(likelihood)
+    for _ in range(steps):
+        got = [0.0] * len(share)
+        for i, times in enumerate(n):
+            each = [s * p[i] for s, p in zip(share, likelihood, strict=True)]
+            got = [g + times * e / sum(each) for g, e in zip(got, each, strict=True)]
+        share = [g / sum(n) for g in got]
+    return share, sum(times * np.log(sum(s * p[i] for s, p in zip(share, likelihood, strict=True))) for i, times in enumerate(n))
+
+
+def test_language_sets_against_all_sets(spark):
+    """The set has the penalised likelihood of the best of all sets, and proportions as a plain EM gives them."""
+    from itertools import combinations
+
+    r = rng()
+    letters = {"w": "aeioulrs", "x": "aeioukvzw", "y": "aouytdhg", "z": "bcfpqmnj"}
+    trained = [(prose(r, 150, a), x) for x, a in letters.items() for _ in range(4)]
+    model = language_id.train(docs(spark, [t for t, _ in trained], lang=[x for _, x in trained]))
+    for names in ("w", "z", "wx", "yz", "xyz"):
+        text = " ".join(prose(r, 30, letters[x]) for x in names)
+        seen, n = language_id.counted(text)
+        p, cost = model.likelihood[:, seen].astype(float), language_id.PENALTY * np.log(n.sum() + 1)
+        fits = {}
+        for size in range(1, 5):
+            for some in combinations(range(4), size):
+                share, fit = plain_mixture(p[list(some)].tolist(), n.tolist(), 60)
+                fits[some] = (fit - cost * size, dict(zip([model.languages[k] for k in some], share, strict=True)))
+        found = model.proportions(text)
+        best = max(fits.values(), key=lambda f: f[0])
+        assert set(found) == set(best[1]) == set(names)
+        assert all(abs(found[x] - best[1][x]) < 0.03 for x in found)
+
+
 def test_language_mixture_with_many_relatives():
     """B is the least likely language alone of a document that is two thirds A, but it is in the mixture."""
     g = np.random.default_rng(3)
