@@ -1,13 +1,15 @@
 """Quality rules: cross-document line frequency.
 
-Normalised lines are hashed; for each host (source) the distinct texts that have a line are counted. Lines in more than a
-share of the host's texts, and in more than a least number of them, are removed. A document that the base rules pass is
-rejected if too little of it is left. All is DataFrame functions; the counts are partial before each shuffle, copies of a
-text count once, and lines above the limits are joined back by a salted key.
-
-Defined results: a null text has no words and fails the base rules. A null source is a host of its own. Rows that are
-repeated are judged each. Windows of a text with fewer than five words don't exist. An empty table gives an empty result.
-Columns besides doc_id, text and source are not read.
+Normalised lines are hashed; for each host (source) the distinct documents that have a line are counted. Lines in more
+documents of the host than the limit are removed, whatever the size of the host. A document that the base rules pass is
+rejected if too little of it is left. All is DataFrame functions; documents are made distinct by a shuffle on host, line
+and id, so that no line is a hot spot, and lines above the limit are joined back by a salted key.
+
+Defined results: a null text has no words and fails the base rules. A null source is a host of its own. Copies are
+documents of their own: where a line is in more of them than the limit, it goes from all. Rows with the same doc_id are
+one document of the counts (so are null ids), and are judged each. Texts are read whole, however long. Windows of a text
+with fewer than five words don't exist. An empty table gives an empty result. Columns besides doc_id, text and source are
+not read.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Base limits: least words, and most percent of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 10, 20
-#: A line is removed if it is in more texts of its host than both of these allow.
-MOST_TEXTS, MOST_SHARE = 20, 0.005
+#: A line is removed if more documents of its host have it.
+MOST_DOCUMENTS = 20
 #: A document is rejected if fewer words, or a smaller share of its words, are left.
 LEAST_LEFT, LEAST_SHARE_LEFT = 10, 0.5
 SALTS = 16
@@ -75,13 +77,11 @@ def lines_of(text: Column) -> Column:
     return F.transform(kept, lambda line: let(plain(line), lambda p: F.struct(F.xxhash64(p).alias("line"), (F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit(""))) + 1).alias("words"))))
 
 
-def frequent_lines(documents: DataFrame, most_texts: int = MOST_TEXTS, most_share: float = MOST_SHARE) -> DataFrame:
-    """host and line for the lines above the limits; a host has at most (lines of a text / most_share) of them on average."""
-    texts = documents.select(F.coalesce(F.col("source"), F.lit("\0")).alias("host"), F.xxhash64("text").alias("same"), F.transform(lines_of(F.col("text")), lambda x: x["line"]).alias("lines"))
-    each = texts.select("host", "same", F.explode(F.array_distinct("lines")).alias("line")).distinct()
-    found = each.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > most_texts)
-    hosts = documents.select(F.coalesce(F.col("source"), F.lit("\0")).alias("host"), F.xxhash64("text").alias("same")).distinct().groupBy("host").agg(F.count("*").alias("texts"))
-    return found.join(hosts, "host").where(F.col("n") > F.col("texts") * most_share).select("host", "line")
+def frequent_lines(documents: DataFrame, most_documents: int = MOST_DOCUMENTS) -> DataFrame:
+    """host and line for the lines above the limit."""
+    texts = documents.select(F.coalesce(F.col("source"), F.lit("\0")).alias("host"), "doc_id", F.transform(lines_of(F.col("text")), lambda x: x["line"]).alias("lines"))
+    each = texts.select("host", "doc_id", F.explode(F.array_distinct("lines")).alias("line")).distinct()
+    return each.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > most_documents).select("host", "line")
 
 
 def judge(documents: DataFrame, **limits) -> DataFrame:
@@ -107,15 +107,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = rf"""
-WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(source, chr(1)) AS host, text IS NULL AS missing, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT k, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, string_split(t, chr(10)) AS lines FROM d),
 c AS (SELECT k, len(w) AS n_words, list_sum(list_transform(w, lambda x: length(x))) AS word_chars, list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
 g AS (SELECT k, i, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS gram FROM (SELECT k, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
 twice AS (SELECT k, i FROM g QUALIFY count(*) OVER (PARTITION BY k, gram) > 1),
 r AS (SELECT k, count(DISTINCT i + j) AS n FROM twice, range(5) AS x(j) GROUP BY k),
 l AS (SELECT k, trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '0', 'g'), '[ \t\x0B\f\r]+', ' ', 'g'), ' ') AS line FROM (SELECT k, unnest(lines) AS x FROM c)),
-h AS (SELECT host, count(DISTINCT (t, missing)) AS texts FROM d GROUP BY host),
-f AS (SELECT host, line FROM (SELECT d.host, l.line, count(DISTINCT d.t) AS n FROM l JOIN d USING (k) GROUP BY ALL) JOIN h USING (host) WHERE n > {MOST_TEXTS} AND n > texts * {MOST_SHARE}),
+f AS (SELECT d.host, l.line FROM l JOIN d USING (k) GROUP BY ALL HAVING count(DISTINCT d.doc_id) + max((d.doc_id IS NULL)::INT) > {MOST_DOCUMENTS}),
 s AS (SELECT l.k, sum(len(string_split(line, ' '))) AS n FROM l JOIN d USING (k) JOIN f USING (host, line) GROUP BY l.k),
 o AS (SELECT d.doc_id, n_words::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(s.n, 0)::BIGINT AS n_removed_words

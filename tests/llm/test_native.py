@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,18 +21,19 @@ def test_query_matches_sql(spark, data, name):
 
 def repeated(ws):
     grams = [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
-    return len({i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(5)})
+    times = Counter(grams)
+    return len({i + k for i, g in enumerate(grams) if times[g] > 1 for k in range(5)})
 
 
 def test_quality_base_columns(spark):
     r = rng()
-    texts = [None, "", " \n\t ", "a b c d", "a b c d e", "a b c d e a b c d e", "x " * 40, "é#|<\n\né#|<\ny\ny", prose(r, 60), " ".join([prose(r, 12)] * 3), "w\x0bv\x0cu\rt s", prose(r, 20000)]
+    texts = [None, "", " \n\t ", "a b c d", "a b c d e", "a b c d e a b c d e", "x " * 40, "é#|<\n\né#|<\ny\ny", prose(r, 60), " ".join([prose(r, 12)] * 3), "w\x0bv\x0cu\rt s", prose(r, 20000), " ".join([prose(r, 9000), prose(r, 40), prose(r, 3000)] * 2)]
     out = {x["doc_id"]: x for x in quality_rules.judge(docs(spark, texts)).collect()}
     assert len(out) == len(texts)
     for i, t in enumerate(texts):
         t = t or ""
         ws, lines = words(t), [x for x in t.split("\n") if words(x)]
-        own = (len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), repeated(ws) if len(ws) < 1000 else 0)
+        own = (len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), repeated(ws))
         assert (out[i]["n_words"], out[i]["word_chars"], out[i]["n_symbols"], out[i]["n_dup_lines"], out[i]["n_repeat_words"]) == own
         assert out[i]["base_failed"] == (own[0] < 10 or 100 * own[4] > 20 * own[0])
 
@@ -44,9 +46,29 @@ def test_frequent_lines_reject_depleted_documents_of_their_host(spark):
     out = {x["doc_id"]: x for x in quality_rules.judge(rows).collect()}
     assert all(out[i]["n_removed_words"] == 14 for i in range(60)) and not any(out[i]["n_removed_words"] for i in range(60, 71))
     assert not any(out[i]["kept"] for i in range(30)) and all(out[i]["kept"] for i in range(30, 71))
-    # Copies of one text count once.
-    same = docs(spark, [texts[0]] * 60, "a")
-    assert all(x["kept"] for x in quality_rules.judge(same).collect())
+    # Copies are documents of their own; rows of one id are one document.
+    same = docs(spark, [texts[-2]] * 60, "a")
+    assert not any(x["kept"] for x in quality_rules.judge(same).collect())
+    assert all(x["kept"] for x in quality_rules.judge(same.where("doc_id < 20")).collect())
+    assert all(x["kept"] for x in quality_rules.judge(same.withColumn("doc_id", F.col("doc_id") % 20)).collect())
+
+
+def test_frequent_lines_do_not_depend_on_the_size_of_the_host(spark):
+    """Brute force over hosts of different sizes, with null ids and sources, ties at the limit and columns of clashing names."""
+    r = rng()
+    lines = [prose(r, 4) for _ in range(30)]
+    rows = []
+    for i in range(900):
+        own = [r.choice(lines[: 6 + 24 * (i % 2)]) for _ in range(r.randint(0, 6))] + [prose(r, 9)]
+        rows.append((i if i % 50 else None, "\n".join(own), "hot" if i % 3 else r.choice(["a", "b", None])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("host", F.lit("x")).withColumn("lines", F.lit(1)).withColumn("n", F.lit(2))
+    seen = {}
+    for d, t, s in rows:
+        for x in set(t.split("\n")):
+            seen.setdefault((s, x), set()).add(d)
+    gone = {k for k, ids in seen.items() if len(ids) > quality_rules.MOST_DOCUMENTS}
+    want = sorted((str(d), sum(len(words(x)) for x in t.split("\n") if (s, x) in gone)) for d, t, s in rows)
+    assert gone and sorted((str(x["doc_id"]), x["n_removed_words"]) for x in quality_rules.judge(frame).collect()) == want
 
 
 def spans(text):
@@ -183,6 +205,12 @@ def test_url_verdicts(spark):
     assert told[12][1] == "block" and told[13][1] == "allow" and told[14][1] == "allow" and told[16][1] == "block" and told[17] == ("net/", "block") and told[19] == ("net/", "block")
 
 
+def test_url_ids_stay_whole_beside_nulls(spark):
+    ids = [1 << 60 | 1, None, (1 << 60) + 3, -(1 << 62) - 1]
+    rows = spark.createDataFrame([(i, "http://x.net/") for i in ids], "page_id long, url string").coalesce(1)
+    assert [x["page_id"] for x in url_filter.judge(rows).collect()] == ids
+
+
 def test_topk_against_all_products(spark):
     r = rng()
     nan = float("nan")
