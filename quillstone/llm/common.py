@@ -45,6 +45,46 @@ def with_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """This session's own folder among the checkpoints."""
+    with_checkpoints(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def _path(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    path, system = _path(spark, folder)
+    return system.exists(path)
+
+
+def remove(spark: SparkSession, folder: str, at_exit: bool = False) -> None:
+    """Now, or when the driver ends."""
+    path, system = _path(spark, folder)
+    if at_exit:
+        system.deleteOnExit(path)
+    else:
+        system.delete(path, True)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """left with the columns of right, whose keys are distinct, or nulls. No key of hot makes a large task, however many rows left has of it.
+
+    hot(key, ...) are the rows of right with the most partners; the caller bounds their number and size. They go to every
+    task, and their rows of left are dealt out evenly in the join with the others. right is read twice.
+    """
+    fields = [c for c in right.columns if c != key]
+    near = hot.select(F.col(key).alias("_near_key"), F.struct(*fields).alias("_near"))
+    told = left.join(F.broadcast(near), F.col(key) == F.col("_near_key"), "left").drop("_near_key")
+    told = told.withColumn("_deal", F.when(F.col("_near").isNull(), F.lit(0)).otherwise(F.monotonically_increasing_id() % 1_000_003 + 1))
+    far = right.select(F.col(key).alias("_far_key"), F.lit(0).cast("long").alias("_zero"), F.struct(*fields).alias("_far"))
+    both = told.join(far, (F.col(key) == F.col("_far_key")) & (F.col("_deal") == F.col("_zero")), "left")
+    return both.select(*left.columns, F.coalesce("_near", "_far").alias("_x")).select(*left.columns, *[F.col("_x")[f].alias(f) for f in fields])
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once for each row though body uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

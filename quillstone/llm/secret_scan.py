@@ -3,19 +3,23 @@
 Every version of a text is addressed by its SHA-256. The ledger holds a row for each blob and rule version that has been
 scanned, with the spans found, empty ones too. A run scans each blob once, and only for the rule versions that the ledger
 does not have for it; then findings are joined back to all paths (rows) that hold the blob. All is DataFrame functions:
-the gaps that split() leaves between the matches give their places.
+the gaps that split() leaves between the matches give their places. The registered query and the pipeline keep a ledger
+for each folder of tables in the session's shared folder: a second run over the same texts scans nothing.
 
 Defined results: a null text is an empty one, without spans. Matches of a rule do not overlap, leftmost first; those that
 are too short are dropped. Spans of different rules may overlap. Repeated rows get the same findings each. An empty table
 gives an empty result. Places are code points, ends exclusive. Columns of any name may stand beside doc_id and text.
+Texts are scanned whole, however long.
 """
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import exists, let, shared_folder, spread_join, table
 
 ASSIGN = """(?i:(password|passwd|secret|token|api_?key))["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 PEM_HEAD = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
@@ -40,8 +44,8 @@ RULES = (
     ("login", 1, "://[A-Za-z0-9._~-]+:[A-Za-z0-9._~!$&*+=-]{6,}@", 0, 1),
 )
 BASE = 3
-#: Copies of a blob's findings among which its paths are dealt, so that a blob with many paths is joined in many tasks.
-SALTS = 16
+#: Blobs with the most paths, and the most spans of each, whose findings go to every task (12 MB at most), so that their paths are joined in many.
+HOT, HOT_SPANS = 1024, 256
 SPAN = "array<struct<start: int, kind: int, end: int>>"
 MASK = "[SECRET]"
 
@@ -68,15 +72,33 @@ def spans(text: Column, kind: int, rule: tuple) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
-def addressed(documents: DataFrame) -> DataFrame:
-    """row (all columns), text and blob for each document."""
+class Ledger:
+    """Rows (blob, rule, spans, paths) of all scans so far, in a folder that the driver and all executors share; paths: rows with the blob when it was scanned."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    @classmethod
+    def of_tables(cls, spark: SparkSession, sf_dir: str) -> Ledger:
+        """This session's ledger for the tables in a folder."""
+        return cls(spark, f"{shared_folder(spark)}/secret-ledger/{sha256(sf_dir.encode()).hexdigest()}")
+
+    def rows(self) -> DataFrame | None:
+        return self.spark.read.parquet(self.folder) if exists(self.spark, f"{self.folder}/_SUCCESS") else None
+
+    def add(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self.folder)
+
+
+def addressed(documents: DataFrame, *keep: str) -> DataFrame:
+    """row (the columns to keep, or all), text and blob for each document."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return documents.select(F.struct("*").alias("row"), text.alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
+    return documents.select(F.struct(*(keep or ["*"])).alias("row"), text.alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
 
 
 def scan(documents: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> DataFrame:
-    """blob, scanned (rule versions) and spans, for blobs that have a pair which the ledger(blob, rule, spans) does not have."""
-    blobs = addressed(documents).select("blob", "text").dropDuplicates(["blob"])
+    """blob, scanned (rule versions), spans and paths, for blobs that have a pair which the ledger(blob, rule, spans) does not have."""
+    blobs = addressed(documents).groupBy("blob").agg(F.first("text").alias("text"), F.count("*").alias("paths"))
     wanted = F.array(*[F.lit(k) for k in keys(rules)])
     if ledger is None:
         unseen = blobs.withColumn("scanned", wanted)
@@ -84,25 +106,43 @@ def scan(documents: DataFrame, ledger: DataFrame | None = None, rules=RULES) ->
         known = ledger.groupBy("blob").agg(F.collect_set("rule").alias("known"))
         unseen = blobs.join(known, "blob", "left").withColumn("scanned", F.array_except(wanted, F.coalesce("known", F.array().cast("array<string>")))).where(F.size("scanned") > 0)
     found = [F.when(F.array_contains("scanned", key), spans(F.col("text"), i, rule)).otherwise(F.array().cast(SPAN)) for i, (key, rule) in enumerate(zip(keys(rules), rules, strict=True))]
-    return unseen.select("blob", "scanned", F.concat(*found).alias("spans"))
+    return unseen.select("blob", "scanned", F.concat(*found).alias("spans"), "paths")
+
+
+def kind_of(rules) -> Column:
+    return F.array_position(F.array(*[F.lit(k) for k in keys(rules)]), F.col("rule")).cast("int") - 1
 
 
 def ledger_rows(scanned: DataFrame, rules=RULES) -> DataFrame:
-    """blob, rule and spans for each scanned pair, to be appended to the ledger."""
-    kind = F.array_position(F.array(*[F.lit(k) for k in keys(rules)]), F.col("rule")) - 1
-    return scanned.select("blob", "spans", F.explode("scanned").alias("rule")).select("blob", "rule", F.filter("spans", lambda s: s["kind"] == kind).alias("spans"))
+    """blob, rule, spans and paths for each scanned pair, to be appended to the ledger."""
+    each = scanned.select("blob", "spans", "paths", F.explode("scanned").alias("rule"))
+    return each.select("blob", "rule", F.filter("spans", lambda s: s["kind"] == kind_of(rules)).alias("spans"), "paths")
+
 
+def found_in(ledger: DataFrame, rules=RULES) -> DataFrame:
+    """blob, spans (sorted by start and kind) and paths for the blobs with findings of these rule versions; those of older ones stay in the ledger."""
+    own = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), kind_of(rules).alias("kind"), s["end"].alias("end")))
+    known = ledger.where(F.col("rule").isin(keys(rules)) & (F.size("spans") > 0)).select("blob", own.alias("spans"), "paths")
+    return known.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.max("paths").alias("paths"))
 
-def findings(documents: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> DataFrame:
-    """row (all columns of documents) and spans, sorted by start and kind, for each document."""
-    fresh = scan(documents, ledger, rules).select("blob", "spans").where(F.size("spans") > 0)
-    if ledger is not None:
-        # Rows of older rule versions stay in the ledger but are not reported.
-        known = ledger.where(F.col("rule").isin(keys(rules)) & (F.size("spans") > 0)).select("blob", "spans")
-        fresh = fresh.unionByName(known).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    salted = fresh.select("blob", F.sort_array("spans").alias("spans"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = addressed(documents).select("row", "blob").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
-    return rows.join(salted, ["blob", "salt"], "left").select("row", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+
+def findings(documents: DataFrame, ledger: DataFrame | Ledger | None = None, rules=RULES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """row (the columns to keep, or all) and spans, sorted by start and kind, for each document. What is scanned is added to a Ledger."""
+    if isinstance(ledger, Ledger):
+        ledger.add(ledger_rows(scan(documents, ledger.rows(), rules), rules))
+        known = ledger.rows()
+    else:
+        known = ledger_rows(scan(documents, ledger, rules), rules)
+        if ledger is not None:
+            known = known.unionByName(ledger.select("blob", "rule", "spans", F.lit(0).cast("long").alias("paths")))
+    found = found_in(known, rules)
+    rows = addressed(documents, *keep).select("row", "blob")
+    if isinstance(ledger, Ledger):
+        hot = found.where(F.size("spans") <= HOT_SPANS).orderBy(F.desc("paths"), "blob").limit(HOT)
+        told = spread_join(rows, found, "blob", hot)
+    else:
+        told = rows.join(found, "blob", "left")
+    return told.select("row", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
 def joined(found: Column, rules=RULES) -> Column:
@@ -131,7 +171,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(findings(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return digest(findings(table(spark, sf_dir, "documents").select("doc_id", "text"), Ledger.of_tables(spark, sf_dir), keep=("doc_id",)))
 
 
 def _sql(kind: int, rule: tuple) -> str:

@@ -107,6 +107,31 @@ def test_ledger_scans_only_what_is_new(spark):
     assert whole == again
 
 
+def test_registered_query_scans_a_table_once(spark, tmp_path):
+    docs(spark, [*SECRETS, *SECRETS]).write.parquet(str(tmp_path / "documents.parquet"))
+    first = sorted(map(tuple, secret_scan.op6_secret_scan(spark, str(tmp_path)).collect()))
+    ledger = secret_scan.Ledger.of_tables(spark, str(tmp_path))
+    pairs = ledger.rows().select("blob", "rule")
+    assert pairs.count() == pairs.distinct().count() == (len({t or "" for t in SECRETS})) * len(secret_scan.RULES)
+    rows = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert secret_scan.scan(rows, ledger.rows()).count() == 0
+    before = pairs.count()
+    assert sorted(map(tuple, secret_scan.op6_secret_scan(spark, str(tmp_path)).collect())) == first
+    assert ledger.rows().count() == before
+    docs(spark, ["xoxb-1234567890-abc", "password=abcdefg"]).withColumn("doc_id", F.col("doc_id") + 1000).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    out = {x["doc_id"]: x["spans"] for x in secret_scan.op6_secret_scan(spark, str(tmp_path)).collect()}
+    assert out[1000] == "chat:0:19" and out[1001] == "assign:0:16" and ledger.rows().count() == before + 2 * len(secret_scan.RULES)
+
+
+def test_findings_of_hot_blobs(spark, tmp_path, monkeypatch):
+    """Blobs that go to every task and those that don't give the same."""
+    rows = docs(spark, ["password=abcdef"] * 300 + ["clean"] * 200 + SECRETS + [None])
+    whole = {x["row"]["doc_id"]: x["spans"] for x in secret_scan.findings(rows, secret_scan.Ledger(spark, str(tmp_path / "a"))).collect()}
+    monkeypatch.setattr(secret_scan, "HOT", 1)
+    assert whole == {x["row"]["doc_id"]: x["spans"] for x in secret_scan.findings(rows, secret_scan.Ledger(spark, str(tmp_path / "b"))).collect()}
+    assert len(whole[0]) == 1 and not whole[400] and len(whole) == 501 + len(SECRETS)
+
+
 def test_redaction(spark):
     rows = docs(spark, ["a password=abcdef b token=" + "0" * 24 + " c", "clean", "password=abcdef"])
     out = {x["row"]["doc_id"]: x["t"] for x in secret_scan.findings(rows).withColumn("t", secret_scan.redacted(F.col("row.text"), F.col("spans"))).collect()}
