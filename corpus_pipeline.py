@@ -29,7 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; n_chars is that of the masked text."""
-    found = secret_scan.findings(docs)
+    found = secret_scan.findings(docs, secret_scan.Ledger.of_tables(spark, f"{sf_dir}#pipeline"))
     text = secret_scan.redacted(F.coalesce("row.text", F.lit("")), F.col("spans"))
     masked = F.when(F.size("spans") > 0, text).otherwise(F.col("row.text"))
     changed = {"text": masked, "n_chars": F.when(F.size("spans") > 0, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))}
