@@ -6,9 +6,16 @@ seeded generator writes with known labels, give each element the log-odds that i
 down the tree: an element is kept or dropped with its whole subtree unless its children can do better, and whatever stands
 in a dropped element is dropped, so no descendant contradicts an ancestor.
 
-Defined results: a null or empty page has an empty text and 0 code points; so has one without main text. Unclosed and
-misnested elements are closed as browsers do. Pages are read whole, repeated rows each. An empty table gives an empty
-result. Columns besides page_id, url and html are not read.
+Pages are read by a scanner that moves forward only, so time grows with the length of a page, however broken it is; no
+step recurses, so a page may be nested as deep as it likes.
+
+Defined results: a null or empty page has an empty text and 0 code points; so has one without main text. As in browsers,
+head ends at the first element that is no head content, an open paragraph, list item, cell or heading at the next one, an
+end tag closes no element outside of its table cell, attribute values may stand without quotes and hold some, and a tag or
+comment that the page's end cuts off is no text. Scripts, buttons and other elements that show no text of the page don't
+split the block around them; elements of unknown names are blocks. Character references are decoded in each stretch of
+text between tags. Pages are read whole, repeated rows each. An empty table gives an empty result. Columns besides
+page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -28,14 +35,25 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table, with_code
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their text is no text of the page.
-SILENT = frozenset("script style noscript template head title iframe object svg canvas select option textarea button".split())
-RAW = frozenset("script style textarea title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Their text is no text of the page; they stand in a block without splitting it.
+SILENT = frozenset("script style noscript template head title iframe object svg canvas select option textarea button noembed noframes datalist".split())
+#: Nothing in them is a tag but their own end.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark meter nobr output picture progress q rp rt ruby s samp slot small span strike strong sub sup time tt u var video wbr".split())
+#: Elements that head may hold.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Opening one of these ends an open paragraph.
-ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li dd dt main menu nav ol p pre section table ul".split())
 #: Opening the key ends an open element of the set, up to the nearest of the scope.
-ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+ENDS = {
+    "li": (("li",), ("ul", "ol", "menu", "table", "td", "th")), "dt": (("dt", "dd"), ("dl", "table", "td", "th")), "dd": (("dt", "dd"), ("dl", "table", "td", "th")), "tr": (("tr",), ("table",)),
+    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tbody": (("tbody", "thead", "tfoot", "tr"), ("table",)), "tfoot": (("tbody", "thead", "tfoot", "tr"), ("table",)), "thead": (("tbody", "thead", "tfoot", "tr"), ("table",)),
+    "option": (("option",), ("select",)),
+}
+#: End tags close nothing outside of these, but for the parts of a table, which reach up to the table.
+WALLS = ("table", "td", "th", "caption", "template", "object")
+TABLE_PARTS = frozenset("table caption tbody thead tfoot tr td th".split())
 TAGS = ("article", "main", "section", "div", "p", "h1", "h2", "h3", "ul", "li", "table", "blockquote", "pre", "figure", "nav", "header", "footer", "aside", "form", "body")
 #: Tokens of class, id and role by what they speak for.
 GOOD = frozenset("article body content copy entry main page post prose story text".split())
@@ -52,8 +70,13 @@ BAD_GROUPS = tuple(
         "share social meta tags byline author date breadcrumb rating",
     )
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: Attributes as they mostly are, up to the end of the tag.
+_PLAIN = re.compile(r"""(?>(?:\s++[^\s"'>/=]++(?:=(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+)*+)\s*+/?+>""")
+_NAMED = re.compile(r"""\s(class|id|role)=(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>][^\s/>=]*+)?+(\s*+=\s*+)?+")
+_COMMENT_END = re.compile("--!?>")
+_UNQUOTED = re.compile(r"[^\s>]*+")
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -70,100 +93,172 @@ class Node:
         self.size = self.links = self.tags = self.at = self.sibling = self.marks = 0
 
 
-def tokens_of(attributes: str) -> frozenset:
-    if "=" not in attributes:
-        return frozenset()
-    return frozenset(w for m in _ATTRIBUTES.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower()))
+def words_of(value: str) -> list[str]:
+    return _WORD.findall(value.lower())
+
+
+def attributes(html: str, at: int) -> tuple[int, frozenset]:
+    """(place behind the tag whose name ends here, tokens of its class, id and role); -1 if the page ends in it."""
+    plain = _PLAIN.match(html, at)
+    if plain:
+        own = html[at : plain.end()]
+        return plain.end(), frozenset(w for m in _NAMED.finditer(own) for w in words_of(m[2] or m[3] or m[4] or "")) if "=" in own else frozenset()
+    found: list[str] = []
+    while True:
+        one = _ATTRIBUTE.match(html, at)
+        at = one.end()
+        if at >= len(html):
+            return -1, frozenset()
+        if one[2] is not None and one[1]:
+            quote = html[at]
+            if quote in "\"'":
+                end = html.find(quote, at + 1)
+                if end < 0:
+                    return -1, frozenset()
+                value, at = html[at + 1 : end], end + 1
+            else:
+                value = _UNQUOTED.match(html, at)[0]
+                at += len(value)
+            if one[1].lower() in ("class", "id", "role"):
+                found += words_of(value)
+        if at < len(html) and html[at] == ">":
+            return at + 1, frozenset(found)
+
+
+class Open:
+    """The elements that are open: where each tag stands innermost is known, so that no lookup walks up."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, place: int) -> None:
+        """The element at this place, and what is open in it."""
+        while len(self.nodes) > place:
+            self.places[self.nodes.pop().tag].pop()
 
 
 def parse(html: str) -> Node:
     """The tree of elements that aren't inline; inline ones give their text, and the length of links, to their block."""
-    root = node = Node("html", frozenset(), None)
-    at, end, silent, links = 0, len(html), 0, 0
+    root = Node("html", frozenset(), None)
+    open_, at, end, links, begun = Open(root), 0, len(html), 0, False
 
     def add(text: str) -> None:
-        if text and not silent:
+        if text:
+            node = open_.nodes[-1]
+            if node.tag == "head" and not text.isspace():
+                open_.close(len(open_.nodes) - 1)
+                node = open_.nodes[-1]
+            text = entities.unescape(text) if "&" in text else text
             node.parts.append(text)
             if links:
                 node.links += len(text)
 
     while at < end:
-        tag = _TOKEN.search(html, at)
-        if not tag:
+        tag = html.find("<", at)
+        if tag < 0:
             add(html[at:])
             break
-        add(html[at : tag.start()])
-        at = tag.end()
-        if not tag[2]:
+        add(html[at:tag])
+        at, closing = tag + 1, html.startswith("/", tag + 1)
+        name = _NAME.match(html, at + closing)
+        if not name:
+            if html.startswith("!--", at):
+                empty = 4 if html.startswith(">", at + 3) else 5 if html.startswith("->", at + 3) else 0
+                stop = _COMMENT_END.search(html, at + 3)
+                at = at + empty if empty else stop.end() if stop else end
+            elif (closing and at + 1 < end) or html.startswith(("!", "?"), at):
+                stop = html.find(">", at)
+                at = end if stop < 0 else stop + 1
+            else:
+                add("<")
             continue
-        name = tag[2].lower()
-        if tag[1]:
+        at, tokens = attributes(html, name.end())
+        if at < 0:
+            break
+        name, node = name[0].lower(), open_.nodes[-1]
+        if closing:
             if name == "a":
-                links = max(0, links - 1)
-            if name in INLINE:
-                continue
-            there = node
-            while there.parent and there.tag != name:
-                there = there.parent
-            if there.tag == name and there.parent:
-                while node is not there.parent:
-                    silent -= node.tag in SILENT
-                    node = node.parent
                 links = 0
+            if name == "br":
+                add(" ")
+            if name not in INLINE:
+                place = open_.places.get(name)
+                if place and place[-1] >= open_.last(("table",) if name in TABLE_PARTS else WALLS):
+                    open_.close(place[-1])
+                    links = 0
             continue
+        if node.tag == "head" and name not in HEAD:
+            open_.close(len(open_.nodes) - 1)
+            node = open_.nodes[-1]
         if name == "br":
             add(" ")
         if name == "a":
             links = 1
-        if name in INLINE or name in VOID:
+        if name in INLINE or (name in VOID and name != "hr"):
             node.tags += 1
             continue
-        if name in ("html", "body") and node is root:
-            root.tokens |= tokens_of(tag[3])
-            if name == "html":
-                continue
+        if name in ("html", "body") and (name == "html" or begun):
+            root.tokens |= tokens
+            continue
+        if name == "body":
+            root.tokens |= tokens
+            begun = True
         if name in ENDS_P and node.tag == "p":
-            node = node.parent
+            open_.close(len(open_.nodes) - 1)
             links = 0
+        if name in HEADINGS and open_.nodes[-1].tag in HEADINGS:
+            open_.close(len(open_.nodes) - 1)
         if name in ENDS:
             ends, scope = ENDS[name]
-            there, found = node, None
-            while there.parent and there.tag not in scope:
-                if there.tag in ends:
-                    found = there
-                there = there.parent
-            if found:
-                node = found.parent
-        child = Node(name, tokens_of(tag[3]), node)
-        node.parts.append(child)
-        node.children.append(child)
-        if tag[3].endswith("/") and name == "svg":
+            # The outermost of them in the scope.
+            wall = open_.last(scope)
+            inside = [p for t in ends for p in open_.places.get(t, [])[-1:] if p > wall]
+            if inside:
+                open_.close(min(inside))
+        node = open_.nodes[-1]
+        child = Node(name, tokens, node)
+        if name in SILENT:
+            node.tags += 1  # what it holds is never reached from its parent
+        else:
+            node.parts.append(child)
+            node.children.append(child)
+        if name == "hr" or (name in ("svg", "math") and html[at - 2] == "/"):
             continue
-        node = child
-        silent += name in SILENT
+        open_.push(child)
         if name in RAW:
-            close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+            close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
             at = close.start() if close else end
     return root
 
 
 def block_text(pieces: list[str]) -> str:
-    return _SPACE.sub(" ", entities.unescape("".join(pieces))).strip()
+    return _SPACE.sub(" ", "".join(pieces)).strip()
 
 
-def blocks(node: Node, kept) -> Iterator[str]:
+def blocks(root: Node, kept) -> Iterator[str]:
     """The text blocks of the nodes that are kept, in page order."""
     run: list[str] = []
-    for part in node.parts:
+    open_ = [(root, iter(root.parts))]
+    while open_:
+        node, parts = open_[-1]
+        part = next(parts, None)
         if isinstance(part, str):
             run.append(part)
+            continue
+        if run and kept(node) and (text := block_text(run)):
+            yield text
+        run = []
+        if part is None:
+            open_.pop()
         else:
-            if run and kept(node) and (text := block_text(run)):
-                yield text
-            run = []
-            yield from blocks(part, kept)
-    if run and kept(node) and (text := block_text(run)):
-        yield text
+            open_.append((part, iter(part.parts)))
 
 
 def all_nodes(root: Node) -> list[Node]:

@@ -275,6 +275,68 @@ def test_html_share_of_like_siblings_in_long_pages():
             assert rows[tags.index(tag)][14] == np.float32(share)
 
 
+def every(page):
+    return list(html_extract.blocks(html_extract.parse(page), lambda n: True))
+
+
+@pytest.mark.parametrize(("page", "blocks"), [
+    ("<head><title>t</title><p>Hello world", ["Hello world"]), ("<head><meta name=x>Hello <b>w</b>orld<body class=a><p>y", ["Hello world", "y"]), ("<html><head><style>p</style><link></head><body>x", ["x"]),
+    ("<h1 title=it's>Big</h1><p>more", ["Big", "more"]), ("<p class=\"a\"id='b'title=x\"y>t", ["t"]), ("a<p \"x\" class=\"q>z\" y>t", ["a", "t"]), ("<a b = 'c>d' e>x</a>", ["x"]), ("x<a b='", ["x"]), ("x<a", ["x"]), ("x</", ["x</"]),
+    ("<p>one <button>no</button>two <script>x('</p>')</script>three<select><option>q</select> four<svg><text>s</text><path/></svg></p>", ["one two three four"]), ("<p>a<noscript><p>b</p></noscript>c", ["ac"]),
+    ("<ul><li>a<li>b<div>c<li>d</ul>e", ["a", "b", "c", "d", "e"]), ("<dl><dt>a<dd>b<dt>c</dl>", ["a", "b", "c"]), ("<table><tr><td>1<td>2<tr><td>3</div>4</table>5", ["1", "2", "34", "5"]), ("<div><table><tr><td>a</div>b</table>c</div>d", ["ab", "c", "d"]),
+    ("<h2>a<h3>b</h3>c", ["a", "b", "c"]), ("a<hr>b<br>c<img>d", ["a", "b cd"]), ("x &lt; y &eacute;&am<b>p;</b> <3 &#8364; &nosuch;", ["x < y é&amp; <3 € &nosuch;"]), ("a<!-- b --!> c -->d<!-->e<!--->f<!DOCTYPE x>g<?php h>i<!--j", ["a c -->defgi"]),
+    ("<!-- first -->a", ["a"]), ("<textarea><p>x</textarea>y<title>z</title>", ["y"]), ("<iframe><p>x</iframe>y", ["y"]), ("<p>a</section>b</p></p>c", ["ab", "c"]), ("\u00a0a\t\n b\u2003", ["a b"]), ("<P>A<DIV>B</Div>C", ["A", "B", "C"]),
+])
+def test_html_as_browsers_read_it(page, blocks):
+    assert every(page) == blocks
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<a b='", "<!--", "<p", "<a b=c ", '<a b="c', "<b/", "< ", "&", "<title>", "</section>", "<p>&am", "<a b=c>"])
+def test_html_of_broken_pages_takes_linear_time(unit):
+    import time
+
+    took = []
+    for size in (100_000, 1_000_000):
+        began = time.process_time()
+        every(unit * (size // len(unit)))
+        took.append(time.process_time() - began)
+    assert took[1] < 60 * max(took[0], 0.05)
+
+
+def test_html_of_deep_pages():
+    for page in ("<div>" * 100_000 + "deep text", "<section><table><td>" + "<div>" * 20_000 + "</section>" * 20_000 + "deep text", "<ul>" + "<div>" * 20_000 + "<li>" * 20_000 + "deep text"):
+        assert every(page) == ["deep text"]
+    model = html_extract.trained()
+    assert html_extract.main_texts(["<article>" + "<div>" * 30_000 + "<p>Some words of the text, in a long paragraph here."], model)[0] in ("", "Some words of the text, in a long paragraph here.")
+
+
+#: Written and labelled by hand: (page, main text).
+HAND = [
+    ("""<!doctype html><html lang=en><head><meta charset=utf-8><title>How tides work | Sea notes</title><link rel=stylesheet href=/s.css>
+<script type="application/ld+json">{"@type":"Article","headline":"<p>no</p>"}</script><body class="single post-template">
+<header class=site-header><a class=logo href=/>Sea notes</a><nav class=main-nav><ul><li><a href=/a>Articles</a><li><a href=/b>About us</a></ul></nav></header>
+<main id=content><article class=post><h1>How tides work</h1><p>The Moon pulls on the water nearest to it, and the water rises. On the far side of the Earth it rises as well.
+<p>Twice a day, on most coasts, the sea comes in &amp; goes out&nbsp;again.<h2>Springs and neaps</h2><p>When Sun and Moon stand in line, their pulls add up, and the tides are high.
+</article></main><aside class=sidebar><h3>Most read</h3><ul><li><a href=/x>Ten knots</a><li><a href=/y>Fog</a></ul></aside><footer class=site-footer><p>&copy; 2021 Sea notes. All rights reserved.</footer>""",
+     "How tides work\nThe Moon pulls on the water nearest to it, and the water rises. On the far side of the Earth it rises as well.\nTwice a day, on most coasts, the sea comes in & goes out again.\nSprings and neaps\nWhen Sun and Moon stand in line, their pulls add up, and the tides are high."),
+    ("""<html><body><div id="menu" class="menu"><a href="/">Home</a> | <a href="/r">Recipes</a> | <a href="/c">Contact</a></div><div class="content"><h1>Bread in an afternoon</h1>
+<p>Mix the flour, the salt and the yeast in a wide bowl, then pour in warm water.</p><ol><li>Knead for ten minutes.</li><li>Let it rest for an hour.</li><li>Bake until the crust sounds hollow.</li></ol><p>Eat it warm.</p></div>
+<div class="comments"><h3>2 comments</h3><div class="comment"><p>Worked well for me, thank you!</p></div><div class="comment"><p>Mine stayed flat.</p></div></div><div class="footer">Imprint</div></body></html>""",
+     "Bread in an afternoon\nMix the flour, the salt and the yeast in a wide bowl, then pour in warm water.\nKnead for ten minutes.\nLet it rest for an hour.\nBake until the crust sounds hollow.\nEat it warm."),
+    ("""<body><div class="cookie-banner"><p>We use cookies to make this site better for you.</p><button>Accept</button></div><div class="wrapper"><div class="post-content"><h1>Das alte Haus</h1><p>Am Rand des Dorfes stand ein Haus, in dem seit Jahren niemand mehr wohnte.</p>
+<div class="ad"><p>Jetzt g&uuml;nstig kaufen: Fenster und T&uuml;ren!</p></div><p>Die Kinder erz&auml;hlten sich, dass nachts ein Licht darin brannte, und keines traute sich hinein.</p><blockquote>Wer hineingeht, kommt anders heraus.</blockquote></div></div><footer><a href="/i">Impressum</a></footer></body>""",
+     "Das alte Haus\nAm Rand des Dorfes stand ein Haus, in dem seit Jahren niemand mehr wohnte.\nDie Kinder erzählten sich, dass nachts ein Licht darin brannte, und keines traute sich hinein.\nWer hineingeht, kommt anders heraus."),
+    ("""<html><head><title>x</title></head><body><nav><a href=1>One</a><a href=2>Two</a><a href=3>Three</a></nav><article><h1>Notes on <em>glass</em></h1><p>Glass is made of sand, <b>soda</b> and lime.<script>track()</script> It is melted at great heat.</p>
+<form class="newsletter"><p>Get our letter every week</p><input name=e><button>Go</button></form><p>When it cools, it stays clear.</p></article><section id="related"><h2>Related</h2><p>Notes on clay</p><p>Notes on iron</p></section></body>""",
+     "Notes on glass\nGlass is made of sand, soda and lime. It is melted at great heat.\nWhen it cools, it stays clear."),
+]
+
+
+@pytest.mark.parametrize("at", range(len(HAND)))
+def test_html_extraction_of_pages_labelled_by_hand(at):
+    assert html_extract.main_texts([HAND[at][0]], html_extract.trained())[0] == HAND[at][1]
+
+
 def test_html_extraction_of_generated_pages():
     made, model = html_extract.Pages(99), html_extract.trained()
     right = 0
