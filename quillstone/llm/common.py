@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +71,30 @@ def remove(spark: SparkSession, folder: str, at_exit: bool = False) -> None:
         system.delete(path, True)
 
 
+class Tables:
+    """Tables in the shared folder; what led to them is free to go, so lost executors cost one step and disk stays bounded. What is left goes when the driver ends."""
+
+    #: Spark deletes the shuffle files of a query when it ends.
+    CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{uuid4()}"
+        remove(spark, self.folder, at_exit=True)
+
+    def kept(self, name: str, rows: DataFrame) -> DataFrame:
+        before = self.spark.conf.get(self.CLEANED, "false")
+        self.spark.conf.set(self.CLEANED, "true")
+        try:
+            rows.write.parquet(f"{self.folder}/{name}")
+        finally:
+            self.spark.conf.set(self.CLEANED, before)
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            remove(self.spark, f"{self.folder}/{name}")
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
     """left with the columns of right, whose keys are distinct, or nulls. No key of hot makes a large task, however many rows left has of it.
 

@@ -117,16 +117,46 @@ def phrases(texts: list[bytes], only: int = len(FIELDS)):
         yield [x.view(np.int64) if x.dtype == np.uint64 else x.astype(kind) for x, kind in zip(found, FIELDS.values(), strict=False)]
 
 
-def window_hashes(text: bytes, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each window of the text that starts at these sorted places."""
-    out = [], []
-    for first in range(0, len(text), SLICE):
-        mine = start[(start >= first) & (start < first + SLICE)] - first
+def window_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each window of the bytes that starts at these sorted places."""
+    out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for first in range(0, len(raw), SLICE):
+        mine = at[np.searchsorted(at, first) : np.searchsorted(at, first + SLICE)] - first
         if len(mine):
-            raw = np.frombuffer(text[first : first + SLICE + LENGTH], np.uint8)
             for found, base in zip(out, _BASES, strict=True):
-                found.append(Hashes(raw, base).of(mine, mine + LENGTH).view(np.int64))
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+                found.append(Hashes(raw[first : first + SLICE + LENGTH], base).of(mine, mine + LENGTH).view(np.int64))
+    return np.concatenate(out[0]), np.concatenate(out[1])
+
+
+def _ranked(x: np.ndarray) -> np.ndarray:
+    """The rank of each number among the distinct ones."""
+    return np.unique(x, return_inverse=True)[1].astype(np.uint64)
+
+
+def suffix_ranks(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Ranks of the suffixes at these places by their first LENGTH bytes: equal ones rank equal.
+
+    Prefix doubling: ranks by 8 bytes, then by 16, 32 and 64, of all suffixes; the last step takes the 64 bytes at a
+    place and those that end with its LENGTH bytes, which overlap. Ranks of suffixes that end before that are not used.
+    """
+    wide = np.zeros(len(raw) + 128, np.uint64)
+    wide[: len(raw)] = raw
+    word, size = np.zeros(len(raw), np.uint64), 8
+    for k in range(size):
+        word |= wide[k : k + len(raw)] << np.uint64(56 - 8 * k)
+    rank = _ranked(word)
+    while size * 2 <= LENGTH:
+        both = rank << np.uint64(32)
+        both[: len(raw) - size] |= rank[size:]
+        if size * 4 > LENGTH:
+            # The last ranks of all suffixes are only needed where windows ask for them.
+            places = np.unique(np.concatenate([at, at + (LENGTH - 2 * size)]))
+            rank = np.zeros(len(raw), np.uint64)
+            rank[places] = _ranked(both[places])
+        else:
+            rank = _ranked(both)
+        size *= 2
+    return _ranked(rank[at] << np.uint64(32) | rank[at + (LENGTH - size)])
 
 
 def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -136,16 +166,14 @@ def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
 
 
-def doubtful(start, windows, at, flags) -> np.ndarray:
-    """Windows of phrases on the sides that are in doubt: flag 1 left of the trigger, 2 right of it, 3 both."""
-    if not len(start):
-        return np.zeros(0, np.int64)
+def doubtful(windows, at, flags) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last + 1) of the windows of phrases on the sides that are in doubt: flag 1 left of the trigger, 2 right of it, 3 both."""
     cut = np.clip(at - _HALF + 1, 0, windows)  # so many windows have HALF bytes or more on the left
     low = np.where(flags & 1, 0, cut)
     # Windows with exactly HALF on both sides count on either.
     high = np.where(flags & 2, windows, cut)
-    low = np.where(flags == 2, np.maximum(np.clip(at - _HALF, 0, windows), 0), low)
-    return np.unique(spread(start + low, np.maximum(high - low, 0)))
+    low = np.where(flags == 2, np.clip(at - _HALF, 0, windows), low)
+    return low, np.maximum(high, low)
 
 
 def covered(size: int, repeated: np.ndarray) -> tuple[np.ndarray, int]:

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -16,33 +17,98 @@ from .helpers import DOCS, docs, edited, prose, rng, words
 
 
 def brute_dedup(rows):
+    """For (doc_id, text) with strings in the order of id, start and a hash of the row's text."""
+    order = lambda d, t, i: (d, i, hashed(t))
     first = {}
-    for d, t in sorted(rows, key=lambda x: x[0]):
+    for d, t in rows:
         for i in range(len(t) - 99):
-            first[t[i : i + 100]] = min(first.get(t[i : i + 100], (d, i)), (d, i))
+            first[t[i : i + 100]] = min(first.get(t[i : i + 100], order(d, t, i)), order(d, t, i))
     out = []
     for d, t in rows:
         gone = bytearray(len(t))
         for i in range(len(t) - 99):
-            if first[t[i : i + 100]] < (d, i):
+            if first[t[i : i + 100]] < order(d, t, i):
                 gone[i : i + 100] = b"\1" * 100
         kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
         out.append((d, len(t), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
     return sorted(out)
 
 
-def test_substring_dedup(spark):
+def hashed(text):
+    """The low bits of Spark's hash of the text."""
+    return xxhash.xxh64_intdigest(text, 42) & 0xFFFFFFFF
+
+
+def odd_texts():
     r = rng()
     base = prose(r, 500)
-    texts = [
+    return [
         "a" * 500, "ab" * 300, base, base[100:700] + "X" + base[701:2000], "a" * 120, base[:150] + "ab" * 90 + base[400:520], "", None, base[-80:] + base[:99], "x" + base, "é" * 70 + base[:300], base, "short",
         ("abcdefghij" * 9 + "12345") * 8, edited(r, base, 0.05), edited(r, base, 0.05), base[:100], base[1:100] + "~",
     ]
+
+
+def test_substring_dedup(spark):
+    texts = odd_texts()
     rows = docs(spark, texts).withColumn("start", F.lit(1)).withColumn("doc", F.lit("x"))
     out = sorted(tuple(x) for x in substring_dedup.dedup(rows).collect())
     assert out == brute_dedup([(i, (t or "").encode()) for i, t in enumerate(texts)])
 
 
+def test_substring_dedup_in_many_suffix_arrays(spark):
+    """A trigger's phrases in suffix arrays of a few phrases each, and few bytes sorted at once."""
+    texts = odd_texts()
+    r = rng(8)
+    shared = prose(r, 30)
+    texts += [prose(r, r.randint(5, 30)) + " " + shared + " " + prose(r, r.randint(5, 30)) for _ in range(60)] * 2
+    want = brute_dedup([(i, (t or "").encode()) for i, t in enumerate(texts)])
+    for options in ({"most": 3}, {"sorted_bytes": 500}, {"most": 1, "sorted_bytes": 1}):
+        assert sorted(tuple(x) for x in substring_dedup.dedup(docs(spark, texts), **options).collect()) == want
+
+
+def test_substring_dedup_of_clashing_ids(spark):
+    """Rows of one id with different texts, longer and shorter ones, and rows that are repeated."""
+    texts = odd_texts()
+    r = rng(9)
+    x, a, b = prose(r, 50), prose(r, 120), prose(r, 90)
+    rows = [(i % 4 - 1, t) for i, t in enumerate(texts)] + [(1, x), (5, a), (5, b[:200] + x + b[200:]), (6, "tiny"), (6, a), (7, a), (7, a), (7, b), (7, b + a)]
+    out = sorted(tuple(v) for v in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == brute_dedup([(d, (t or "").encode()) for d, t in rows])
+
+
+def test_substring_dedup_of_texts_in_slices(spark, monkeypatch):
+    """Texts that are hashed in several slices give what whole ones give; run in this process, as workers keep the size of a slice."""
+    from quillstone.llm import repeats
+
+    r = rng(4)
+    base = prose(r, 1500)
+    texts = [t.encode() for t in (base, base[3000:5200] + prose(r, 100), prose(r, 20) + base[500:], "ab" * 2000)]
+
+    def classes():
+        """The first window of each window, by phrases and a suffix array of all of them."""
+        slices, places = [], []
+        for found in zip(*[np.concatenate(x) for x in zip(*repeats.phrases(texts), strict=True)], strict=True):
+            owner, start, windows = found[0], found[4], found[5]
+            slices.append(texts[owner][start : start + windows + 99])
+            places += [(int(owner), int(start) + k) for k in range(windows)]
+        ends = np.cumsum([len(s) for s in slices])
+        at = repeats.spread(np.concatenate([[0], ends[:-1]]), np.array([len(s) - 99 for s in slices]))
+        rank = repeats.suffix_ranks(np.frombuffer(b"".join(slices), np.uint8), at)
+        assert len(set(places)) == len(places) == sum(len(t) - 99 for t in texts)
+        return dict(zip(places, rank.tolist(), strict=True))
+
+    whole = classes()
+    strings = {p: texts[p[0]][p[1] : p[1] + 100] for p in whole}
+    assert sorted(whole, key=whole.get) == sorted(whole, key=strings.get) and len(set(whole.values())) == len(set(strings.values()))
+    monkeypatch.setattr(repeats, "SLICE", 700)
+    assert classes() == whole
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    at = np.array([i for i in range(len(raw) - 99) if i % 3])
+    found = list(zip(*repeats.window_hashes(raw, at), strict=True))
+    named = {}
+    assert all(named.setdefault(bytes(raw[i : i + 100]), h) == h for i, h in zip(at.tolist(), found, strict=True)) and len(set(found)) == len(named)
+
+
 def test_substring_dedup_of_odd_rows(spark):
     t = prose(rng(), 60)
     rows = spark.createDataFrame([(None, t), (1, t), (1, t), (None, None)], "doc_id long, text string")
