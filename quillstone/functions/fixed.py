@@ -171,3 +171,6 @@ CORPUS_NOTE = (
     "📚 Jawaban ini diambil dari korpus kitab klasik melalui pencarian teks penuh (full-text search). Kutipan ditampilkan sesuai relevansi teks Arab, bukan "
     "penilaian kontekstual seorang ulama. Pastikan memverifikasi dengan membaca kitab asli atau berkonsultasi dengan ulama yang berkompeten."
 )
+
+# The ruling of topics that are answered by the theme of cached verses.
+THEME_RULING = "Lihat referensi Quran dan hadis terkait."

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from .index import lengths, postings, statistics
+from . import index
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
+#: Terms of a batch of queries that every task may hold.
+MOST = 100_000
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -20,21 +21,30 @@ def term_score(tf: Column, length: Column, avg_length: Column, weight: Column, k
     return weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg_length))
 
 
-def bm25(queries: DataFrame, tokens: DataFrame, key: str = "id", k1: float = K1, b: float = B) -> DataFrame:
-    """qid, key and rank (negative, less is better) for queries(qid, clause, term).
+def bm25(queries: DataFrame, source: DataFrame | index.Stored, key: str = "id", k1: float = K1, b: float = B) -> DataFrame:
+    """qid, key and rank (negative, less is better) for queries(qid, clause, term) over documents: their words, or a stored index.
 
     A document matches a query if it has all terms of one of its clauses; only such clauses score, and a term that a
-    clause names twice scores twice. Only postings of the queries' terms are kept before anything is counted.
+    clause names twice scores twice. Only postings of the queries' terms are kept before anything is counted. A posting
+    has the length of its document, so lengths are not joined. A batch of queries is counted up to MOST terms; it and what has
+    a row for each of its terms are broadcast if it has no more.
     """
-    asked = queries.select("term").distinct()
-    found = postings(tokens.select(key, F.filter("words", lambda w: w.isNotNull()).alias("words")), key).join(asked, "term", "left_semi")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    weights = df.join(F.broadcast(statistics(tokens))).select("term", "avg_length", idf(F.col("n_docs"), F.col("df")).alias("weight"))  # one row
-    scored = found.join(weights, "term").join(lengths(tokens, key), key).select("term", key, term_score(F.col("tf"), F.col("length"), F.col("avg_length"), F.col("weight"), k1, b).alias("score"))
-    wanted = queries.groupBy("qid", "clause").agg(F.count_distinct("term").alias("needed"))
+    near = F.broadcast if queries.limit(MOST + 1).count() <= MOST else lambda rows: rows
+    asked = near(queries.select("term").distinct())
+    if isinstance(source, index.Stored):
+        found, totals = source.postings(asked), source.statistics()
+    else:
+        tokens = source.select(key, F.filter("words", lambda w: w.isNotNull()).alias("words"))
+        found, totals = index.postings(tokens, key, asked), index.statistics(tokens)
+    df = index.document_frequency(found)
+    weights = df.join(F.broadcast(totals)).select("term", "avg_length", idf(F.col("n_docs"), F.col("df")).alias("weight"))  # one row
     terms = queries.groupBy("qid", "clause", "term").agg(F.count("*").alias("times"))
-    clauses = terms.join(scored, "term").groupBy("qid", "clause", key).agg(F.count("*").alias("n"), F.sum(F.col("times") * F.col("score")).alias("score"))
-    matched = clauses.join(wanted, ["qid", "clause"]).where("n = needed")
+    # The terms of the batch with their weights are no more than its queries name.
+    weighed = near(terms.join(weights, "term"))
+    score = term_score(F.col("tf"), F.col("length"), F.col("avg_length"), F.col("weight"), k1, b)
+    clauses = found.join(weighed, "term").groupBy("qid", "clause", key).agg(F.count("*").alias("n"), F.sum(F.col("times") * score).alias("score"))
+    wanted = queries.groupBy("qid", "clause").agg(F.count_distinct("term").alias("needed"))
+    matched = clauses.join(near(wanted), ["qid", "clause"]).where("n = needed")
     return matched.groupBy("qid", key).agg((-F.sum("score")).alias("rank"))
 
 

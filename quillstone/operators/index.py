@@ -1,29 +1,59 @@
-"""Full-text index as plain DataFrames: postings, lengths and statistics."""
+"""Full-text index as plain DataFrames: postings, statistics, and a stored form with deltas and deletes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import _exists
+
 #: Code points that combine with a letter: Arabic vowel marks.
 MARKS = "[\\u064B-\\u065F\\u0670]"
+#: Folders of postings by a hash of their term.
+SLOTS = 64
+
+
+def folded(text: Column) -> Column:
+    """Text without the marks of Latin letters: those that combine are split off and dropped."""
+
+    @F.arrow_udf("string")
+    def of(texts):
+        import unicodedata
+
+        import pyarrow as pa
+
+        plain = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not "\u0300" <= c <= "\u036f")
+        return pa.array([None if t is None else t if t.isascii() else plain(t) for t in texts.to_pylist()], pa.string())
 
+    return of(text)
 
-def words(text: Column, strip_marks: bool = False) -> Column:
-    """Runs of letters and digits in lower case. Arabic vowel marks separate, or are dropped first."""
+
+def words(text: Column, strip_marks: bool = False, fold: bool = False) -> Column:
+    """Runs of letters and digits in lower case. Arabic vowel marks separate, or are dropped first; Latin marks stay, or are dropped with fold."""
     plain = F.lower(F.coalesce(text, F.lit("")))
+    plain = folded(plain) if fold else plain
     return F.regexp_extract_all(F.regexp_replace(plain, MARKS, "") if strip_marks else plain, F.lit("([\\p{L}\\p{N}]+)"), F.lit(1))
 
 
-def tokenized(passages: DataFrame, *columns: str, key: str = "id", strip_marks: bool = False) -> DataFrame:
+def tokenized(passages: DataFrame, *columns: str, key: str = "id", strip_marks: bool = False, fold: bool = False) -> DataFrame:
     """key and the words of the indexed columns together."""
     text = F.concat_ws(" ", *[F.col(c) for c in columns])
-    return passages.select(key, words(text, strip_marks).alias("words"))
+    return passages.select(key, words(text, strip_marks, fold).alias("words"))
+
+
+def exploded(tokens: DataFrame, key: str = "id") -> DataFrame:
+    """key, length (of the document) and term for each word."""
+    return tokens.select(key, F.size("words").cast("long").alias("length"), F.explode("words").alias("term"))
+
+
+def counted(each: DataFrame, key: str = "id") -> DataFrame:
+    return each.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
 
 
-def postings(tokens: DataFrame, key: str = "id") -> DataFrame:
-    """term, key and tf."""
-    return tokens.select(key, F.explode("words").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
+def postings(tokens: DataFrame, key: str = "id", asked: DataFrame | None = None) -> DataFrame:
+    """term, key, length (of the document) and tf; asked(term), distinct: of these terms alone, the others are dropped before anything is counted."""
+    each = exploded(tokens, key)
+    return counted(each if asked is None else each.join(asked, "term", "left_semi"), key)
 
 
 def lengths(tokens: DataFrame, key: str = "id") -> DataFrame:
@@ -39,10 +69,69 @@ def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def write_index(tokens: DataFrame, path: str, key: str = "id", partitions: int = 200) -> None:
-    """Postings by range of terms, so that a query's terms prune files by their least and greatest term."""
-    postings(tokens, key).repartitionByRange(partitions, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    lengths(tokens, key).write.mode("overwrite").parquet(f"{path}/lengths")
+def _slot(term: str = "term") -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(SLOTS)).cast("int")
+
+
+class Stored:
+    """An index in a folder. Postings stand in folders by a hash of their term, so a query reads only the folders of its terms.
+
+    Nothing is rewritten by a change: a delta adds the new postings, with a higher version, and the keys that have changed;
+    what is older than its key's last change is left out when the index is read. compacted() writes all of it anew.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "id"):
+        self.spark, self.path, self.key = spark, path, key
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def exists(self) -> bool:
+        return _exists(self.spark, f"{self.path}/lengths")
+
+    def add(self, tokens: DataFrame, version: int, removed: DataFrame | None = None) -> None:
+        """Documents that are new or have changed, and keys(key) of those that have gone. The same version again replaces what it has written."""
+        stamp = lambda rows: rows.withColumn("version", F.lit(version).cast("long"))
+        gone = tokens.select(self.key) if removed is None else tokens.select(self.key).union(removed.select(self.key))
+        put = lambda rows, name, *by: rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", *by).parquet(f"{self.path}/{name}")
+        own = stamp(postings(tokens, self.key)).withColumn("slot", _slot())
+        # By ranges of term and key, so that a frequent term makes several files, not one large task.
+        put(own.repartitionByRange("slot", "term", self.key).sortWithinPartitions("slot", "term"), "postings", "slot")
+        if version:
+            put(stamp(gone.distinct()), "changed")
+        put(stamp(lengths(tokens, self.key)), "lengths")
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        """Rows that are not older than the last change of their key."""
+        if not _exists(self.spark, f"{self.path}/changed"):
+            return rows
+        last = self._read("changed").groupBy(F.col(self.key).alias("_key")).agg(F.max("version").alias("_last"))
+        return rows.join(last, (F.col(self.key) == F.col("_key")) & (F.col("version") < F.col("_last")), "left_anti")
+
+    def postings(self, asked: DataFrame | None = None) -> DataFrame:
+        """term, key, length and tf; asked(term): only the folders of these terms are read."""
+        rows = self._read("postings")
+        if asked is not None:
+            slots = [r[0] for r in asked.select(_slot()).distinct().collect()]  # no more than SLOTS numbers
+            rows = rows.where(F.col("slot").isin(slots)).join(asked, "term", "left_semi")
+        return self._live(rows).select("term", self.key, "length", "tf")
+
+    def statistics(self) -> DataFrame:
+        return self._live(self._read("lengths")).agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
+
+    def compacted(self, path: str) -> Stored:
+        """This index without what has gone, in another folder."""
+        new = Stored(self.spark, path, self.key)
+        rows = self.postings().withColumn("version", F.lit(0).cast("long")).withColumn("slot", _slot())
+        rows.repartitionByRange("slot", "term", self.key).sortWithinPartitions("slot", "term").write.partitionBy("version", "slot").parquet(f"{path}/postings")
+        self._live(self._read("lengths")).select(self.key, "length", F.lit(0).cast("long").alias("version")).write.partitionBy("version").parquet(f"{path}/lengths")
+        return new
+
+
+def write_index(tokens: DataFrame, path: str, key: str = "id") -> Stored:
+    stored = Stored(tokens.sparkSession, path, key)
+    stored.add(tokens, 0)
+    return stored
 
 
 def changed_postings(post: DataFrame, removed: DataFrame, added: DataFrame, key: str = "id") -> DataFrame:

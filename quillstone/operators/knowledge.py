@@ -9,16 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+from ..sources import bounded
+
 
 def keyword_scores(questions: DataFrame, rules: DataFrame) -> DataFrame:
     """qid, key, ord and score of each question(qid, text) and rule with a match: per keyword 2 if the question holds it, and its words in common.
 
-    A theta join: the side of the rules is small and its size is checked by Spark before it is broadcast.
+    A theta join: the side of the rules is broadcast if it is small, and counted for that.
     """
     words = lambda text: F.array_distinct(F.filter(F.split(F.lower(text), "\\s+"), lambda w: w != ""))
     asked = questions.select("qid", F.lower(F.trim("text")).alias("text"), words(F.col("text")).alias("words"))
     known = rules.select("key", "ord", F.explode("keywords").alias("keyword")).select("key", "ord", F.lower("keyword").alias("keyword"), words(F.col("keyword")).alias("kwords"))
-    both = asked.join(known, F.col("text").contains(F.col("keyword")) | F.arrays_overlap("words", "kwords"))
+    both = asked.join(bounded(known), F.col("text").contains(F.col("keyword")) | F.arrays_overlap("words", "kwords"))
     score = F.when(F.col("text").contains(F.col("keyword")), 2).otherwise(0) + F.size(F.array_intersect("words", "kwords"))
     return both.groupBy("qid", "key", "ord").agg(F.sum(score).alias("score")).where("score > 0")
 
@@ -29,12 +32,43 @@ def parse_topics(questions: DataFrame, rules: DataFrame) -> DataFrame:
     return questions.select("qid").join(best, "qid", "left")
 
 
+#: Records of a knowledge base that may be held in one row for every task: its rules, and the verses of its cache.
+MOST_RECORDS = 100_000
+
+
+def _held(rows: DataFrame, what: str) -> DataFrame:
+    """One row: rows (with ord first) as a sorted array, for every task; their number is checked."""
+    if rows.limit(MOST_RECORDS + 1).count() > MOST_RECORDS:
+        raise ValueError(f"a knowledge base may have {MOST_RECORDS} {what} at most")
+    return F.broadcast(rows.agg(F.array_sort(F.collect_list(F.struct("*"))).alias(f"_{what}")))
+
+
+def matched(topics: DataFrame, rules: DataFrame, verses: DataFrame | None = None, limit: int = 3) -> DataFrame:
+    """qid, topic (trimmed, lower case) and what the first layers find for each topic(qid, topic) that isn't blank, without a shuffle.
+
+    exact: the rule of that key; by_keyword: else the first rule with a keyword that the topic contains or is contained in;
+    themed: else the first of the verses whose theme contains the topic. Each is null without a match.
+    """
+    found = topics.select("qid", F.lower(F.trim("topic")).alias("topic")).where("topic <> ''")
+    found = found.crossJoin(_held(rules.select("ord", "key", "keywords"), "rules"))
+    topic = F.col("topic")
+    found = found.withColumn("exact", F.get(F.filter("_rules", lambda r: r["key"] == topic), 0)["key"])
+    fits = lambda r: F.exists(r["keywords"], lambda k: k.contains(topic) | topic.contains(k))
+    found = found.withColumn("by_keyword", F.when(F.col("exact").isNull(), F.get(F.filter("_rules", fits), 0)["key"])).drop("_rules")
+    if verses is None:
+        return found
+    held = _held(verses.select("ord", F.lower("theme").alias("_theme"), F.struct(*verses.columns).alias("x")), "themes")
+    first = lambda: F.slice(F.transform(F.filter("_themes", lambda v: v["_theme"].contains(topic)), lambda v: v["x"]), 1, limit)
+    found = found.crossJoin(held).withColumn("themed", F.when(F.col("exact").isNull() & F.col("by_keyword").isNull(), first())).drop("_themes")
+    return found.withColumn("themed", F.when(F.size("themed") > 0, F.col("themed")))
+
+
 def first_keyword_match(topics: DataFrame, rules: DataFrame) -> DataFrame:
-    """qid and key: the first rule with a keyword that the topic contains or is contained in."""
-    known = rules.select("key", "ord", F.explode("keywords").alias("keyword"))
-    plain = F.lower(F.trim("topic"))
-    both = topics.select("qid", plain.alias("topic")).join(known, F.col("keyword").contains(F.col("topic")) | F.col("topic").contains(F.col("keyword")))
-    return both.groupBy("qid").agg(F.min_by("key", "ord").alias("key"))
+    """qid and key: the first rule with a keyword that the topic contains or is contained in, whatever its key."""
+    found = topics.select("qid", F.lower(F.trim("topic")).alias("topic")).crossJoin(_held(rules.select("ord", "key", "keywords"), "rules"))
+    topic = F.col("topic")
+    fits = lambda r: F.exists(r["keywords"], lambda k: k.contains(topic) | topic.contains(k))
+    return found.select("qid", F.get(F.filter("_rules", fits), 0)["key"].alias("key")).where("key is not null")
 
 
 def resolved(rows: DataFrame, refs: str, table: DataFrame, key: str, out: str) -> DataFrame:
@@ -51,55 +85,65 @@ def broken_refs(rules: DataFrame, refs: str, table: DataFrame, key: str) -> Data
     return each.join(table.select(F.col(key).alias("ref")), "ref", "left_anti").select(F.col("rule").alias("key"), "ref")
 
 
-def theme_match(topics: DataFrame, verses: DataFrame, limit: int = 3) -> DataFrame:
-    """qid and the first verses of a theme that is, or contains, the topic."""
-    plain = F.lower(F.trim("topic"))
-    both = topics.select("qid", plain.alias("topic")).join(verses.withColumn("_theme", F.lower("theme")), F.col("_theme").contains(F.col("topic")))
-    sorted_ = F.slice(F.array_sort(F.collect_list(F.struct("ord", F.struct(*verses.columns).alias("x")))), 1, limit)
-    return both.groupBy("qid").agg(F.transform(sorted_, lambda v: v["x"]).alias("verses"))
+def evidence_of_rules(rules: DataFrame, verses: DataFrame, narrations: DataFrame, cached_verses: DataFrame, cached_narrations: DataFrame) -> DataFrame:
+    """rules with the records that they refer to, in the order of the references, as verses and narrations.
+
+    The cache steps in only where static evidence is thin, for keys that the static tables don't have. This depends on the
+    rules alone, so it is computed once, however many questions there are.
+    """
+    out = rules
+    for name, refs, static, cached in (("verses", "basis_verses", verses, cached_verses), ("narrations", "basis_narrations", narrations, cached_narrations)):
+        record = F.struct(*static.columns)
+        pool = static.select(F.col("key").alias("ref"), record.alias("x"), F.lit(0).alias("late")).unionByName(cached.select(F.col("key").alias("ref"), record.alias("x"), F.lit(1).alias("late")))
+        each = rules.select(F.col("key").alias("rule"), F.posexplode(refs).alias("pos", "ref")).join(pool, "ref")
+        one = each.groupBy("rule", "pos").agg(F.min_by(F.struct("x", "late"), "late").alias("r"))
+        both = one.groupBy("rule").agg(F.array_sort(F.collect_list(F.struct("pos", "r"))).alias("all"))
+        of = lambda late: F.transform(F.filter("all", lambda f: f["r"]["late"] == late), lambda f: f["r"]["x"])
+        both = both.select("rule", of(0).alias(name), of(1).alias(f"_more_{name}"))
+        none = F.array().cast(f"array<{static.schema.simpleString()}>")
+        out = out.join(both, F.col("key") == F.col("rule"), "left").drop("rule").withColumns({c: F.coalesce(c, none) for c in (name, f"_more_{name}")})
+    thin = (F.size("verses") < 2) | (F.size("narrations") < 1)
+    full = {n: F.when(thin, F.concat(n, f"_more_{n}")).otherwise(F.col(n)) for n in ("verses", "narrations")}
+    return out.select(*[c for c in rules.columns], *[c.alias(n) for n, c in full.items()])
 
 
-def cascade(topics: DataFrame, rules: DataFrame, verses: DataFrame, narrations: DataFrame, cached_verses: DataFrame, cached_narrations: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+def cascade(topics: DataFrame, rules: DataFrame, verses: DataFrame, narrations: DataFrame, cached_verses: DataFrame, cached_narrations: DataFrame, hits: DataFrame | None = None, school: str = "shafii") -> DataFrame:
     """Retrieval for topics(qid, topic): by exact key, by keyword, by theme of cached verses, by full text; the first layer with a hit wins.
 
     hits(qid, hits) are the arrays of full-text hits; give them for unresolved(topics, ...) alone, so that no search runs
     for topics that an earlier layer answers. Columns: qid, topic, layer, source, rule_key, ruling, school, verses,
-    narrations, confidence, reasoning, keywords, needs_review, hits.
+    narrations, confidence, reasoning, keywords, needs_review, hits. Topics are matched in the tasks that read them; the
+    rules with their evidence are joined to them as one small table.
     """
-    plain = topics.select("qid", F.lower(F.trim("topic")).alias("topic")).where("topic <> ''")
-    exact = plain.join(rules.select(F.col("key").alias("topic"), F.col("key").alias("k1")), "topic", "left").select("qid", "topic", "k1")
-    open_ = exact.where("k1 is null").select("qid", "topic")
-    layered = exact.join(first_keyword_match(open_, rules).withColumnRenamed("key", "k2"), "qid", "left")
-    layered = layered.withColumn("rule_key", F.coalesce("k1", "k2")).join(rules.drop("ord"), F.col("rule_key") == rules["key"], "left")
-    themes = theme_match(layered.where("rule_key is null").select("qid", "topic"), cached_verses)
-    layered = layered.join(themes.withColumnRenamed("verses", "themed"), "qid", "left")
+    found = matched(topics, rules, cached_verses.select(*verses.columns)).withColumn("rule_key", F.coalesce("exact", "by_keyword"))
+    known = evidence_of_rules(rules, verses, narrations, cached_verses, cached_narrations).drop("ord").withColumnRenamed("key", "_rule").withColumnRenamed("school", "_school")
+    layered = found.join(F.broadcast(known), F.col("rule_key") == F.col("_rule"), "left")  # _held has checked the number of rules
     layered = layered.join(hits, "qid", "left") if hits is not None else layered.withColumn("hits", F.array().cast("array<string>"))
-    layer = F.when(F.col("k1").isNotNull(), 1).when(F.col("k2").isNotNull(), 2).when(F.col("themed").isNotNull(), 3).when(F.size("hits") > 0, 4)
+    layer = F.when(F.col("exact").isNotNull(), 1).when(F.col("by_keyword").isNotNull(), 2).when(F.col("themed").isNotNull(), 3).when(F.size("hits") > 0, 4)
     layered = layered.withColumn("layer", layer).where("layer is not null")
-    for name, refs, static, cached in (("verses", "basis_verses", verses, cached_verses), ("narrations", "basis_narrations", narrations, cached_narrations)):
-        asked = layered.select("qid", F.coalesce(refs, F.array().cast("array<string>")).alias("refs"))
-        layered = layered.join(resolved(asked, "refs", static, "key", name).drop("refs"), "qid")
-        fresh = cached.select(*static.columns).join(static.select("key"), "key", "left_anti").select(*static.columns)
-        layered = layered.join(resolved(asked, "refs", fresh, "key", f"more_{name}").drop("refs"), "qid")
-    # The cache steps in only where static evidence is thin.
-    thin = (F.size("verses") < 2) | (F.size("narrations") < 1)
-    full = lambda n: F.when(thin, F.concat(n, f"more_{n}")).otherwise(F.col(n))
-    layered = layered.withColumn("_v", full("verses")).withColumn("_n", full("narrations"))
+    late = F.col("layer") > 2
+    none = lambda df: F.array().cast(f"array<{df.schema.simpleString()}>")
+    ruling = F.when(F.col("layer") == 3, fixed.THEME_RULING).when(F.col("layer") == 4, "").otherwise(F.col("ruling"))
     sources = F.element_at(F.array(*map(F.lit, ("static_rules", "keyword_search", "cache_extended", "kitab_corpus"))), F.col("layer"))
-    themed = F.transform("themed", lambda v: F.struct(*[v[c].alias(c) for c in verses.columns]))
     return layered.select(
-        "qid", F.when(F.col("layer") == 2, F.col("rule_key")).otherwise(F.col("topic")).alias("topic"), "layer", sources.alias("source"), "rule_key", "ruling", "school",
-        F.when(F.col("layer") == 3, themed).otherwise(F.col("_v")).alias("verses"), F.col("_n").alias("narrations"),
-        F.when(F.col("layer") > 2, "medium").otherwise(F.col("confidence")).alias("confidence"), "reasoning", "keywords", (F.col("layer") == 3).alias("needs_review"), "hits",
+        "qid", F.when(F.col("layer") == 2, F.col("rule_key")).otherwise(F.col("topic")).alias("topic"), "layer", sources.alias("source"), "rule_key", ruling.alias("ruling"),
+        F.coalesce("_school", F.lit(school)).alias("school"), F.coalesce(F.when(F.col("layer") == 3, F.col("themed")).otherwise(F.col("verses")), none(verses)).alias("verses"),
+        F.coalesce("narrations", none(narrations)).alias("narrations"), F.when(late, "medium").otherwise(F.col("confidence")).alias("confidence"), F.when(late, "").otherwise(F.col("reasoning")).alias("reasoning"),
+        F.when(late, F.array().cast("array<string>")).otherwise(F.col("keywords")).alias("keywords"), (F.col("layer") == 3).alias("needs_review"), "hits",
     )
 
 
 def unresolved(topics: DataFrame, rules: DataFrame, cached_verses: DataFrame) -> DataFrame:
     """Topics that need the full-text layer."""
-    plain = topics.select("qid", F.lower(F.trim("topic")).alias("topic")).where("topic <> ''")
-    left = plain.join(rules.select(F.col("key").alias("topic")), "topic", "left_anti")
-    left = left.join(first_keyword_match(left, rules), "qid", "left_anti")
-    return left.join(theme_match(left, cached_verses), "qid", "left_anti")
+    return matched(topics, rules, cached_verses).where("exact is null and by_keyword is null and themed is null").select("qid", "topic")
+
+
+def as_hits(found: DataFrame, limit: int | None = None) -> DataFrame:
+    """qid and hits, best first, for a search's result(qid, position, book, level, chapter, page, text, score)."""
+    fields = ("book", "level", "chapter", "page", "text", "score")
+    each = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("position", *fields))).alias("all"))
+    hits = F.transform("all", lambda h: F.struct(*[h[f].alias(f) for f in fields]))
+    return each.select("qid", (hits if limit is None else F.slice(hits, 1, limit)).alias("hits"))
 
 
 def merge_cache(static: DataFrame, cache: DataFrame, key: str, overwrite: bool = False) -> DataFrame:

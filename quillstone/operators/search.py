@@ -8,28 +8,43 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.text import contains_arabic, search_form
 from .bm25 import bm25
-from .index import tokenized, words
+from .index import Stored, tokenized, words
 
 
-def _array(values) -> Column:
-    return F.array(*map(F.lit, values))
+def _quoted(value) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else str(value)
+
+
+# Constants are given as one expression each: parsing that is faster than a call for every value.
+def _array(values, kind: str = "string") -> Column:
+    return F.expr(f"cast(array({', '.join(map(_quoted, values))}) AS array<{kind}>)")
+
+
+def _pairs(rules: list[tuple[str, str]]) -> Column:
+    return F.expr(f"array({', '.join(f'named_struct({_quoted("k")}, {_quoted(k)}, {_quoted("v")}, {_quoted(v)})' for k, v in rules)})")
 
 
 def first_match(text: Column, rules: list[tuple[str, str]]) -> Column:
     """Value of the first rule whose substring the text has, or null."""
-    return F.coalesce(*[F.when(text.contains(s), F.lit(v)) for s, v in rules])
+    return F.get(F.filter(_pairs(rules), lambda r: text.contains(r["k"])), 0)["v"]
 
 
 def domain(text: Column) -> Column:
     """Of a query: by substring, then by a domain's keywords, in order."""
-    plain = F.trim(F.lower(text))
     keywords = [(k, name) for name, _, _, words_ in fixed.DOMAINS for k in words_]
-    return F.coalesce(first_match(plain, fixed.DOMAIN_SUBSTRINGS), first_match(plain, keywords), F.lit("general"))
+    return F.coalesce(first_match(F.trim(F.lower(text)), fixed.DOMAIN_SUBSTRINGS + keywords), F.lit("general"))
+
+
+def topic_terms(text: Column, topics=fixed.TOPIC_TERMS) -> Column:
+    """Of a topic: its own terms, else those of the first topic that contains it or that it contains, or null."""
+    plain = F.trim(F.lower(text))
+    near = F.get(F.filter(_pairs(topics), lambda t: t["k"].contains(plain) | plain.contains(t["k"])), 0)["v"]
+    return F.coalesce(F.get(F.filter(_pairs(topics), lambda t: t["k"] == plain), 0)["v"], near)
 
 
 def preference(name: Column) -> Column:
     """Authority levels that a domain prefers."""
-    levels = F.create_map(*[x for n, _, levels, _ in fixed.DOMAINS for x in (F.lit(n), _array(levels))])
+    levels = F.expr(f"map({', '.join(f'{_quoted(n)}, array({", ".join(map(str, own))})' for n, _, own, _ in fixed.DOMAINS)})")
     return levels[F.coalesce(name, F.lit("general"))]
 
 
@@ -38,20 +53,17 @@ def with_article(terms: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(terms, lambda t: F.when(t.startswith("ال"), F.array(t)).otherwise(F.array(t, F.concat(F.lit("ال"), t))))))
 
 
-def built(queries: DataFrame, topics=fixed.TOPIC_TERMS) -> DataFrame:
+def built(queries: DataFrame, topics=fixed.TOPIC_TERMS, fold: bool = False) -> DataFrame:
     """qid, domain and clauses (arrays of terms) for queries(qid, text).
 
     A topic's own terms, if the query is a topic; else those of the first topic that contains it or that it contains;
     both, and Arabic queries, get the article and the domain's terms as alternatives. Any other query is one clause.
     """
-    plain = F.trim(F.lower(F.col("text")))
-    exact = F.coalesce(*[F.when(plain == k, F.lit(t)) for k, t in topics])
-    partial = F.coalesce(*[F.when(F.lit(k).contains(plain) | plain.contains(k), F.lit(t)) for k, t in topics])
-    arabic = F.coalesce(exact, partial, F.when(contains_arabic(F.col("text")), F.trim("text")))
-    extra = F.create_map(*[x for n, terms, _, _ in fixed.DOMAINS for x in (F.lit(n), _array(terms) if terms else F.array().cast("array<string>"))])
+    arabic = F.coalesce(topic_terms(F.col("text"), topics), F.when(contains_arabic(F.col("text")), F.trim("text")))
+    extra = F.expr(f"map({', '.join(f'{_quoted(n)}, cast(array({", ".join(map(_quoted, terms))}) AS array<string>)' for n, terms, _, _ in fixed.DOMAINS)})")
     asked = queries.where(F.length(F.trim("text")) > 0).select("qid", "text", domain(F.col("text")).alias("domain"), arabic.alias("arabic"))
     alternatives = F.array_distinct(F.concat(with_article(F.filter(F.split("arabic", "\\s+"), lambda t: t != "")), extra[F.col("domain")]))
-    clauses = F.when(F.col("arabic").isNotNull(), F.transform(alternatives, lambda a: words(a))).otherwise(F.array(words(F.col("text"))))
+    clauses = F.when(F.col("arabic").isNotNull(), F.transform(alternatives, lambda a: words(a))).otherwise(F.array(words(F.col("text"), fold=fold)))
     return asked.select("qid", "domain", F.filter(clauses, lambda c: F.size(c) > 0).alias("clauses"))
 
 
@@ -92,15 +104,17 @@ def filtered(passages: DataFrame, category: str | None = None, min_authority: in
 
 def search(
     queries: DataFrame, passages: DataFrame, limit: int = 5, category: str | None = None, max_authority: int = 5, min_authority: int = 1,
-    alpha: float = 0.55, indexed: tuple[str, ...] = ("text",), strip_marks: bool = False,
+    alpha: float = 0.55, indexed: tuple[str, ...] = ("text",), strip_marks: bool = False, stored: Stored | None = None, fold: bool = False,
 ) -> DataFrame:
     """The best passages(id, level, category, text, ...) for each of queries(qid, text), by BM25 and authority.
 
-    Blank queries have no hits. The pool of each query is its first 4 * limit by authority, then rank.
+    Blank queries have no hits. The pool of each query is its first 4 * limit by authority, then rank, to nine digits, so
+    that ties don't hang on the order of a sum. stored: an index of the passages, which are then not tokenised. fold: Latin
+    letters are compared without their marks.
     """
-    asked = built(queries)
+    asked = built(queries, fold=fold)
     terms = asked.select("qid", F.posexplode("clauses").alias("clause", "terms")).select("qid", "clause", F.explode("terms").alias("term"))
-    ranks = bm25(terms, tokenized(passages, *indexed, strip_marks=strip_marks))
+    ranks = bm25(terms, stored or tokenized(passages, *indexed, strip_marks=strip_marks, fold=fold)).withColumn("rank", F.round("rank", 9))
     hits = ranks.join(filtered(passages, category, min_authority, max_authority), "id")
     pool = candidates(hits, 4 * limit).join(asked.select("qid", "domain"), "qid")
     return top(rerank(pool, alpha, preference(F.col("domain"))), limit)
@@ -112,8 +126,7 @@ def search_by_authority(queries: DataFrame, passages: DataFrame, limit: int = 5,
 
 def ordered_search(queries: DataFrame, passages: DataFrame, limit: int = 3, school: str = "shafii", least: int = 40, topics=fixed.TOPIC_TERMS) -> DataFrame:
     """The second search, for passages(id, text, school, grade, ...): all terms must match; order is school, grade, rank (to nine digits)."""
-    plain = F.trim(F.lower(F.col("text")))
-    text = F.coalesce(*[F.when(plain == k, F.lit(t)) for k, t in topics], *[F.when(F.lit(k).contains(plain) | plain.contains(k), F.lit(t)) for k, t in topics], search_form(F.col("text"), drop_other=False))
+    text = F.coalesce(topic_terms(F.col("text"), topics), search_form(F.col("text"), drop_other=False))
     terms = queries.select("qid", F.lit(0).alias("clause"), F.explode(words(text)).alias("term"))
     hits = bm25(terms, tokenized(passages, "text")).join(passages.where(F.length("text") >= least), "id")
     order = Window.partitionBy("qid").orderBy(F.when(F.col("school") == school, 0).otherwise(1), grade_order(F.col("grade")), F.round("rank", 9), "id")

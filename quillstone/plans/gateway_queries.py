@@ -44,7 +44,7 @@ def cache_freshness(spark, d):
 
 def user_issue(spark, d):
     rows = table(spark, d, "events")
-    users = rows.where("user_id % 2 = 0").select("user_id").distinct().withColumn("username", F.concat(F.lit("user"), F.lpad(F.col("user_id").cast("string"), 6, "0")))
+    users = rows.where("event_type = 'signup'").select("user_id").distinct().withColumn("username", F.concat(F.lit("user"), F.lpad(F.col("user_id").cast("string"), 6, "0")))
     asked = rows.select(F.concat(F.lit("user"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("username"))
     return gateway.issue(users, asked).select("user_id", "username")
 
@@ -71,6 +71,6 @@ SELECT event_id, user_id, allowed FROM r""",
     "token_ttl": f"WITH {_TOK} SELECT event_id, user_id, 'user' || user_id AS username FROM t WHERE is_active AND expires_at >= TIMESTAMP '{AT}'",
     "token_expiry": f"WITH {_TOK} SELECT event_id, is_active AND expires_at >= TIMESTAMP '{AT}' AS is_active FROM t",
     "cache_freshness": f"SELECT event_id, event_id % 7 <> 0 AND epoch_us(TIMESTAMP '{AT}') - epoch_us(date_trunc('second', ts)) < 72 * 3600000000 AS fresh FROM events",
-    "user_issue": "WITH u AS (SELECT DISTINCT user_id, 'user' || lpad(user_id::VARCHAR, 6, '0') AS username FROM events) SELECT user_id, username FROM u WHERE user_id % 2 = 0 UNION ALL SELECT (SELECT max(user_id) FROM u WHERE user_id % 2 = 0) + row_number() OVER (ORDER BY username), username FROM u WHERE user_id % 2 <> 0",
+    "user_issue": "WITH u AS (SELECT DISTINCT user_id, 'user' || lpad(user_id::VARCHAR, 6, '0') AS username FROM events), s AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup') SELECT user_id, username FROM u WHERE user_id IN (SELECT user_id FROM s) UNION ALL SELECT (SELECT max(user_id) FROM s) + row_number() OVER (ORDER BY username), username FROM u WHERE user_id NOT IN (SELECT user_id FROM s)",
     "request_latency": "SELECT event_id, round(event_id * 100 / 1000, 1) AS ms FROM events",
 }

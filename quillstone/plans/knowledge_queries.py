@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import answer, evidence, knowledge, reasoning
+from ..functions import fixed
+from ..operators import answer, evidence, knowledge, reasoning, search
 from ..sources import literal_rows, table
-from . import seeds
+from . import search_queries, seeds
 from .seeds import sql_rows
 
-TOPICS = [(1, "und"), (2, " Thand "), (3, "que la"), (4, "water"), (5, "ruta"), (6, "nothing here"), (7, "the thing is"), (8, "rest"), (9, "losra"), (10, "")]
+# Beside whole questions: topics for each layer of the cascade, the last ones for full text.
+TOPICS = [(-1 - i, t) for i, t in enumerate(["und", " Thand ", "que la", "water", "ruta", "nothing here", "the thing is", "rest", "losra", "", "hant", "Pathetic", "eation", "hein eriner", "verst unglich"])]
 
 
 def kb(spark: SparkSession) -> dict[str, DataFrame]:
@@ -35,13 +37,12 @@ def topic_parse_debug(spark, d):
     return knowledge.keyword_scores(questions(spark, d), kb(spark)["rules"]).select("qid", "key", F.col("score").cast("long").alias("score"))
 
 
-def _topics(spark):
-    return literal_rows(spark, TOPICS, "qid int, topic string")
+def _topics(spark, d):
+    return questions(spark, d).withColumnRenamed("text", "topic").union(literal_rows(spark, TOPICS, "qid long, topic string"))
 
 
 def first_match_keyword(spark, d):
-    said = questions(spark, d).select("qid", F.substring("text", 1, 40).alias("topic"))
-    return knowledge.first_keyword_match(said, kb(spark)["rules"])
+    return knowledge.first_keyword_match(questions(spark, d).withColumnRenamed("text", "topic"), kb(spark)["rules"])
 
 
 def _cascade(spark, topics):
@@ -50,19 +51,58 @@ def _cascade(spark, topics):
 
 def cascade_retrieve(spark, d):
     keys = lambda c: F.array_join(F.transform(c, lambda x: x["key"]), ",").alias(c)
-    return _cascade(spark, _topics(spark)).select("qid", "topic", "layer", "source", "ruling", keys("verses"), keys("narrations"), "confidence", "needs_review")
+    return _cascade(spark, _topics(spark, d)).select("qid", "topic", "layer", "source", "ruling", keys("verses"), keys("narrations"), "confidence", "needs_review")
+
+
+def corpus_hits(spark, d, topics):
+    """Hits of the full-text layer for topics that the others leave."""
+    k = kb(spark)
+    left = knowledge.unresolved(topics, k["rules"], k["cached_verses"]).withColumnRenamed("topic", "text")
+    found = search.search(left, search_queries.passages(spark, d))
+    named = found.select("qid", "position", F.col("source").alias("book"), "level", F.col("category").alias("chapter"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("page"), "text", F.col("combined_score").alias("score"))
+    return knowledge.as_hits(named)
+
+
+def cascade_corpus(spark, d):
+    """The whole cascade, with its full-text layer."""
+    topics = _topics(spark, d)
+    found = knowledge.cascade(topics, **kb(spark), hits=corpus_hits(spark, d, topics))
+    said = F.array_join(F.transform("hits", lambda h: F.concat_ws(" ", h["book"], h["level"].cast("string"), h["chapter"], h["page"], F.round(h["score"] * 10000).cast("long").cast("string"))), ",")
+    return found.select("qid", "topic", "layer", "source", "ruling", "school", "confidence", "reasoning", "needs_review", F.coalesce(said, F.lit("")).alias("hits"))
+
+
+def chat_answer_corpus(spark, d):
+    """Questions whose topic the caller gives, in place of a parsed one: answers from rules, cached verses and passages, with citations."""
+    topics = _topics(spark, d)
+    told = answer.answers(topics.select("qid"), topics, knowledge.cascade(topics, **kb(spark), hits=corpus_hits(spark, d, topics)), has_hits=True)
+    cited = F.array_join(F.transform("citations", lambda c: F.concat_ws("|", c["book_name"], c["authority_label"], c["authority_level"].cast("string"), c["chapter_title"], c["page_ref"], c["excerpt"])), "\n")
+    none = F.lit("")
+    return told.select("qid", "status", F.coalesce("answer", none).alias("answer"), F.coalesce("reason", none).alias("reason"), F.coalesce("disclaimer", none).alias("disclaimer"), F.round(F.col("confidence_score") * 100).cast("long").alias("hundredths"), F.array_join("warnings", "\n").alias("warnings"), "source", F.coalesce(cited, none).alias("citations"))
+
+
+def answerable_questions(spark, d):
+    """Questions validated first, then answered, and whether they could be."""
+    known = kb(spark)
+
+    def reply(asked):
+        topics = knowledge.parse_topics(asked, known["rules"])
+        return answer.answers(asked, topics, _cascade(spark, topics.where("topic is not null")))
+
+    asked = questions(spark, d).withColumn("text", F.when(F.col("qid") % 5 == 0, " ").when(F.col("qid") % 5 == 1, "ok").otherwise(F.col("text")))
+    told = answer.is_answerable(answer.ask(asked, reply))
+    return told.select("qid", "is_answerable", F.round(F.coalesce("confidence_score", F.lit(0.0)) * 100).cast("long").alias("hundredths"))
 
 
 def unresolved_topics(spark, d):
     k = kb(spark)
-    return knowledge.unresolved(_topics(spark), k["rules"], k["cached_verses"]).select("qid", "topic")
+    return knowledge.unresolved(_topics(spark, d), k["rules"], k["cached_verses"]).select("qid", "topic")
 
 
 def array_fk_resolve(spark, d):
-    """Orders with an array of references to parts of their lines, resolved in order; odd parts are missing."""
+    """Orders with an array of references to parts of their lines, resolved in order; each has a reference more, to a part that doesn't exist."""
     lines = table(spark, d, "lineitem")
-    refs = lines.groupBy(F.col("l_orderkey").alias("qid")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("refs"))
-    parts = table(spark, d, "part").where("p_partkey % 2 = 0").select("p_partkey", "p_brand")
+    refs = lines.groupBy(F.col("l_orderkey").alias("qid")).agg(F.concat(F.array(F.lit(-1)), F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"])).alias("refs"))
+    parts = table(spark, d, "part").select("p_partkey", "p_brand")
     found = knowledge.resolved(refs, "refs", parts, "p_partkey", "parts")
     return found.select("qid", F.size("parts").cast("long").alias("n"), F.array_join(F.transform("parts", lambda p: p["p_brand"]), ",").alias("brands"))
 
@@ -74,17 +114,21 @@ def broken_refs(spark, d):
     return knowledge.broken_refs(refs, "refs", some, "key")
 
 
+def _cached(spark, d):
+    """Labels under other keys, some of which no document has."""
+    return table(spark, d, "labels").select((F.col("doc_id") * 2).alias("doc_id"), "quality")
+
+
 def _merge(overwrite):
     def run(spark, d):
-        static = table(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id", F.lit(-1).alias("quality"))
-        return knowledge.merge_cache(static, table(spark, d, "labels").select("doc_id", "quality"), "doc_id", overwrite)
+        static = table(spark, d, "documents").select("doc_id", F.lit(-1).alias("quality"))
+        return knowledge.merge_cache(static, _cached(spark, d), "doc_id", overwrite)
 
     return run
 
 
 def cache_merge_counts(spark, d):
-    static = table(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id")
-    return knowledge.merge_counts(static, table(spark, d, "labels"), "doc_id")
+    return knowledge.merge_counts(table(spark, d, "documents").select("doc_id"), _cached(spark, d), "doc_id")
 
 
 def evidence_score(spark, d):
@@ -103,7 +147,7 @@ def corpus_evidence(spark, d):
 
 
 def gate_labels(spark, d):
-    found = evidence.with_gate(evidence.with_evidence(_cascade(spark, _topics(spark))))
+    found = evidence.with_gate(evidence.with_evidence(_cascade(spark, _topics(spark, d))))
     return found.select("qid", F.col("hundredths").cast("long").alias("hundredths"), "confidence_label", F.size("warnings").cast("long").alias("n_warnings"), "can_answer")
 
 
@@ -111,9 +155,16 @@ def value_distribution(spark, d):
     return knowledge.distribution(table(spark, d, "events"), F.nullif(F.col("event_type"), F.lit("error")))
 
 
+def _records(spark, d):
+    """Labels as rules that refer to documents, as verses by their own id and as narrations by the next one; documents of two sources are pending or stubs."""
+    rules = table(spark, d, "labels").select(F.col("doc_id").alias("key"), F.array("doc_id").alias("basis_verses"), F.array(F.col("doc_id") + 1).alias("basis_narrations"))
+    own = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "source", "text")
+    verses = own.select("key", F.when(F.col("source") == "src2", "TEXT_PENDING").otherwise(F.col("text")).alias("arabic_text"))
+    return rules, verses, own.select("key", F.when(F.col("source") == "src3", "stub").alias("status"))
+
+
 def integrity_report(spark, d):
-    k = kb(spark)
-    return knowledge.integrity(k["rules"], k["verses"], k["narrations"].withColumn("status", F.lit(None).cast("string")))
+    return knowledge.integrity(*_records(spark, d))
 
 
 def ingest_skip_loaded(spark, d):
@@ -126,13 +177,14 @@ def fetch_plan(spark, d):
 
 
 def editions_inner(spark, d):
-    pick = lambda r: table(spark, d, "conversations").where(f"role = '{r}'").select(F.col("conv_id").alias("surah"), F.floor(F.col("turn") / 2).alias("ayah"), F.substring("text", 1, 20).alias("text"))
+    pick = lambda r: table(spark, d, "conversations").where(f"role = '{r}'").select(F.col("conv_id").alias("surah"), F.floor(F.col("turn") / 2).alias("ayah"), "text")
     return knowledge.mapped_verses(pick("user"), pick("assistant"), "x").select("surah", "ayah", "reference", "arabic_text", "translation", "theme", "confidence")
 
 
 def editions_outer(spark, d):
-    pick = lambda c: table(spark, d, "documents").where(c).select(F.col("doc_id").alias("number"), F.substring("text", 1, 20).alias("text"))
-    return knowledge.mapped_narrations(pick("doc_id % 2 = 0"), pick("doc_id % 3 = 0"), "bukhari")
+    """Documents as one edition, benchmark items under other numbers as the other."""
+    arabic = table(spark, d, "documents").select(F.col("doc_id").alias("number"), "text")
+    return knowledge.mapped_narrations(arabic, table(spark, d, "benchmark").select((F.col("item_id") * 30).alias("number"), "text"), "bukhari")
 
 
 def topics_endpoint(spark, d):
@@ -151,8 +203,7 @@ def loaded_counts(spark, d):
 
 
 def health(spark, d):
-    k = kb(spark)
-    return knowledge.health(k["rules"], k["verses"], k["narrations"].withColumn("status", F.lit(None).cast("string")))
+    return knowledge.health(*_records(spark, d))
 
 
 def chat_answer(spark, d):
@@ -177,7 +228,7 @@ QUERIES = {
     "array_fk_resolve": array_fk_resolve, "broken_refs": broken_refs, "cache_merge": _merge(False), "cache_merge_overwrite": _merge(True), "cache_merge_counts": cache_merge_counts,
     "evidence_score": evidence_score, "corpus_evidence": corpus_evidence, "gate_labels": gate_labels, "value_distribution": value_distribution, "integrity_report": integrity_report,
     "ingest_skip_loaded": ingest_skip_loaded, "fetch_plan": fetch_plan, "editions_inner": editions_inner, "editions_outer": editions_outer, "topics_endpoint": topics_endpoint,
-    "registry_reconciliation": registry_reconciliation, "loaded_counts": loaded_counts, "health": health, "chat_answer": chat_answer, "reasoned_answer": reasoned_answer,
+    "registry_reconciliation": registry_reconciliation, "loaded_counts": loaded_counts, "health": health, "chat_answer": chat_answer, "cascade_corpus": cascade_corpus, "chat_answer_corpus": chat_answer_corpus, "answerable_questions": answerable_questions, "reasoned_answer": reasoned_answer,
 }
 
 _RULES = sql_rows("rules", seeds.columns(seeds.RULES_SCHEMA), seeds.RULES)
@@ -202,7 +253,7 @@ l1 AS (SELECT qid, topic, key FROM t1 JOIN rules ON key = topic),
 l2 AS (SELECT qid, topic, arg_min(key, ord) AS key FROM (SELECT * FROM t1 WHERE qid NOT IN (SELECT qid FROM l1)) x JOIN (SELECT key, ord, unnest(keywords) AS k FROM rules) r ON contains(k, topic) OR contains(topic, k) GROUP BY ALL),
 l3 AS (SELECT qid, topic, list(key ORDER BY ord)[1:3] AS vs FROM (SELECT * FROM t1 WHERE qid NOT IN (SELECT qid FROM l1 UNION SELECT qid FROM l2)) x JOIN cverses ON contains(lower(theme), topic) GROUP BY ALL),
 hit AS (SELECT qid, topic, 1 AS layer, 'static_rules' AS source, key FROM l1 UNION ALL SELECT qid, key, 2, 'keyword_search', key FROM l2 UNION ALL SELECT qid, topic, 3, 'cache_extended', NULL FROM l3),
-full0 AS (SELECT hit.*, r.ruling, r.school, r.reasoning, list_filter(coalesce(basis_verses, []), lambda x: list_contains(@VERSES@, x)) AS v0, list_filter(coalesce(basis_narrations, []), lambda x: list_contains(@NARRATIONS@, x)) AS n0,
+full0 AS (SELECT hit.*, CASE WHEN layer = 3 THEN '@THEME@' ELSE r.ruling END AS ruling, coalesce(r.school, 'shafii') AS school, CASE WHEN layer > 2 THEN '' ELSE r.reasoning END AS reasoning, list_filter(coalesce(basis_verses, []), lambda x: list_contains(@VERSES@, x)) AS v0, list_filter(coalesce(basis_narrations, []), lambda x: list_contains(@NARRATIONS@, x)) AS n0,
   list_filter(coalesce(basis_verses, []), lambda x: list_contains(@CACHED_VERSES@, x)) AS vc, list_filter(coalesce(basis_narrations, []), lambda x: list_contains(@CACHED_NARRATIONS@, x)) AS nc,
   CASE WHEN layer > 2 THEN 'medium' ELSE r.confidence END AS confidence FROM hit LEFT JOIN rules r ON hit.key = r.key),
 got AS (SELECT f.qid, f.topic, f.layer, f.source, f.ruling, f.school, f.reasoning, f.confidence, CASE WHEN layer = 3 THEN l3.vs WHEN len(v0) < 2 OR len(n0) < 1 THEN list_concat(v0, vc) ELSE v0 END AS vs,
@@ -215,7 +266,8 @@ e AS (SELECT *, least(100, CASE WHEN confidence = 'high' AND source = 'static_ru
 for _n in ("CACHED_VERSES", "CACHED_NARRATIONS", "VERSES", "NARRATIONS"):
     _CASCADE = _CASCADE.replace(f"@{_n}@", seeds.sql_value([r[1] for r in getattr(seeds, _n)]))
 _LABEL = "CASE WHEN h >= 70 THEN 'high' WHEN h >= 50 THEN 'medium' ELSE 'insufficient' END"
-_TOPICS = sql_rows("t", "qid, topic", TOPICS)
+_TOPICS = f"{_ASKED}, {sql_rows('lit', 'qid, topic', TOPICS)}, t AS (SELECT qid, text AS topic FROM asked UNION ALL SELECT qid, topic FROM lit)"
+_CASCADE = _CASCADE.replace("@THEME@", fixed.THEME_RULING)
 _EQ = "=" * 70
 _ANSWER = f"""concat('{_EQ}', chr(10), 'HUKUM: ', upper(coalesce(ruling, '')), chr(10), 'MADHAB: ', coalesce(school, ''), chr(10), '{_EQ}', chr(10),
   CASE WHEN len(vs) > 0 THEN concat(chr(10), 'DASAR AL-QUR''AN:', chr(10), chr(10), (SELECT string_agg(concat('  [', i, '] QS. ', reference, chr(10), '      ', arabic_text, CASE WHEN translation IS NOT NULL THEN concat(chr(10), '      Terjemahan: ', translation) ELSE '' END, chr(10)), chr(10) ORDER BY i)
@@ -227,17 +279,17 @@ _ANSWER = f"""concat('{_EQ}', chr(10), 'HUKUM: ', upper(coalesce(ruling, '')), c
 ORACLE_SQL = {
     "registry_reconciliation": "WITH n(slug) AS (VALUES ('src1'), ('src2'), ('src99')), r AS (SELECT DISTINCT source AS slug FROM documents) SELECT slug, 'names' AS missing_in FROM r WHERE slug NOT IN (SELECT slug FROM n) UNION ALL SELECT slug, 'registry' FROM n WHERE slug NOT IN (SELECT slug FROM r)",
     "loaded_counts": "WITH b AS (SELECT 'src' || i AS slug, i::INT AS n FROM range(0, 30, 3) x(i)) SELECT slug, n, (SELECT count(*) FROM documents WHERE source = slug) AS total_passages FROM b",
-    "health": "SELECT 'ok' AS status, 5::BIGINT AS rules, 4::BIGINT AS verses, 4::BIGINT AS narrations",
+    "health": "SELECT 'ok' AS status, (SELECT count(*) FROM labels) AS rules, count(*) AS verses, count(*) AS narrations FROM documents",
     "topic_parse": f"WITH {_RULES}, {_ASKED}, {_SCORES} SELECT qid, topic FROM parsed",
     "topic_parse_debug": f"WITH {_RULES}, {_ASKED}, {_SCORES} SELECT qid, key, score FROM scores",
-    "first_match_keyword": f"WITH {_RULES}, c AS (SELECT conv_id * 1000 + turn AS qid, lower(trim(substr(text, 1, 40))) AS topic FROM conversations WHERE role = 'user') SELECT qid, arg_min(key, ord) AS key FROM c JOIN (SELECT key, ord, unnest(keywords) AS k FROM rules) r ON contains(k, topic) OR contains(topic, k) GROUP BY qid",
+    "first_match_keyword": f"WITH {_RULES}, c AS (SELECT conv_id * 1000 + turn AS qid, lower(trim(text)) AS topic FROM conversations WHERE role = 'user') SELECT qid, arg_min(key, ord) AS key FROM c JOIN (SELECT key, ord, unnest(keywords) AS k FROM rules) r ON contains(k, topic) OR contains(topic, k) GROUP BY qid",
     "cascade_retrieve": f"WITH {_KB}, {_TOPICS}, {_CASCADE} SELECT qid, topic, layer, source, ruling, array_to_string(vs, ',') AS verses, array_to_string(ns, ',') AS narrations, confidence, layer = 3 AS needs_review FROM got",
     "unresolved_topics": f"WITH {_KB}, {_TOPICS}, {_CASCADE} SELECT qid, topic FROM t1 WHERE qid NOT IN (SELECT qid FROM hit)",
-    "array_fk_resolve": "WITH x AS (SELECT l_orderkey AS qid, l_linenumber, p_brand, p_partkey FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_partkey % 2 = 0) SELECT qid, count(p_partkey) AS n, coalesce(string_agg(p_brand, ',' ORDER BY l_linenumber, p_partkey) FILTER (WHERE p_partkey IS NOT NULL), '') AS brands FROM x GROUP BY qid",
+    "array_fk_resolve": "WITH x AS (SELECT l_orderkey AS qid, l_linenumber, p_brand, p_partkey FROM lineitem LEFT JOIN part ON l_partkey = p_partkey) SELECT qid, count(p_partkey) AS n, coalesce(string_agg(p_brand, ',' ORDER BY l_linenumber, p_partkey) FILTER (WHERE p_partkey IS NOT NULL), '') AS brands FROM x GROUP BY qid",
     "broken_refs": "SELECT doc_id AS key, doc_id AS ref FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE source <> 'src3')",
-    "cache_merge": "SELECT doc_id, -1 AS quality FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)",
-    "cache_merge_overwrite": "SELECT doc_id, quality FROM labels UNION ALL SELECT doc_id, -1 FROM documents WHERE doc_id % 2 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)",
-    "cache_merge_counts": "SELECT count(*) FILTER (WHERE d.doc_id IS NULL) AS added, count(*) FILTER (WHERE d.doc_id IS NOT NULL) AS skipped FROM labels l LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) d USING (doc_id)",
+    "cache_merge": "SELECT doc_id, -1 AS quality FROM documents UNION ALL SELECT doc_id * 2, quality FROM labels WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents)",
+    "cache_merge_overwrite": "SELECT doc_id * 2 AS doc_id, quality FROM labels UNION ALL SELECT doc_id, -1 FROM documents WHERE doc_id NOT IN (SELECT doc_id * 2 FROM labels)",
+    "cache_merge_counts": "SELECT count(*) FILTER (WHERE d.doc_id IS NULL) AS added, count(*) FILTER (WHERE d.doc_id IS NOT NULL) AS skipped FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id * 2",
     "evidence_score": f"""WITH x AS (SELECT o_orderkey, o_orderpriority, count(*) FILTER (WHERE l_returnflag = 'R') AS v, count(*) FILTER (WHERE l_returnflag = 'A') AS s, count(*) FILTER (WHERE l_returnflag = 'N' AND l_linestatus = 'O') AS g
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
 y AS (SELECT *, CASE WHEN v > 0 THEN 40 + 5 * least(v - 1, 3) ELSE 0 END + CASE WHEN s > 0 THEN 25 + 5 * s ELSE 0 END + 15 * g + CASE WHEN o_orderpriority = '1-URGENT' THEN 5 ELSE 0 END AS raw FROM x),
@@ -245,11 +297,11 @@ z AS (SELECT o_orderkey, least(100, CASE WHEN o_orderpriority = '1-URGENT' AND o
     "corpus_evidence": "SELECT conv_id, CASE WHEN b IS NULL THEN 0 WHEN b <= 2 THEN 60 WHEN b <= 4 THEN 52 ELSE 50 END::BIGINT AS hundredths FROM (SELECT conv_id, min(CASE WHEN turn > 0 THEN length(text) % 5 + 1 END) AS b FROM conversations GROUP BY conv_id)",
     "gate_labels": f"WITH {_KB}, {_TOPICS}, {_CASCADE} SELECT qid, h AS hundredths, {_LABEL} AS confidence_label, (ns2 + ns3 + CASE WHEN h < 50 THEN 1 ELSE 0 END)::BIGINT AS n_warnings, h >= 50 AS can_answer FROM e",
     "value_distribution": "SELECT coalesce(nullif(event_type, 'error'), '?') AS value, count(*) AS n FROM events GROUP BY ALL",
-    "integrity_report": f"WITH {_KB}, b AS (SELECT unnest(basis_verses) AS r FROM rules), c AS (SELECT unnest(basis_narrations) AS r FROM rules), x AS (SELECT (SELECT count(*) FROM b WHERE r NOT IN (SELECT key FROM verses)) + (SELECT count(*) FROM c WHERE r NOT IN (SELECT key FROM narrations)) AS broken_refs) SELECT (SELECT count(*) FROM rules) AS rules, (SELECT count(*) FROM verses) AS verses, 0::BIGINT AS pending, (SELECT count(*) FROM narrations) AS narrations, 0::BIGINT AS stubs, broken_refs, CASE WHEN broken_refs > 0 THEN 'WARNINGS' ELSE 'OK' END AS status FROM x",
+    "integrity_report": "WITH x AS (SELECT (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) + (SELECT count(*) FROM labels WHERE doc_id + 1 NOT IN (SELECT doc_id FROM documents)) AS broken_refs, count(*) AS n, count(*) FILTER (WHERE CASE WHEN source = 'src2' THEN 'PENDING' ELSE text END LIKE '%PENDING%') AS pending, count(*) FILTER (WHERE source = 'src3') AS stubs FROM documents) SELECT (SELECT count(*) FROM labels) AS rules, n AS verses, pending, n AS narrations, stubs, broken_refs, CASE WHEN broken_refs > 0 THEN 'WARNINGS' ELSE 'OK' END AS status FROM x",
     "ingest_skip_loaded": "SELECT doc_id FROM documents WHERE doc_id = 10 OR doc_id NOT IN (SELECT doc_id FROM labels WHERE quality > 0)",
     "fetch_plan": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "editions_inner": "SELECT a.conv_id AS surah, a.turn // 2 AS ayah, a.conv_id || ':' || (a.turn // 2) AS reference, substr(a.text, 1, 20) AS arabic_text, substr(b.text, 1, 20) AS translation, 'x' AS theme, 'medium' AS confidence FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn // 2 = b.turn // 2 WHERE a.role = 'user' AND b.role = 'assistant'",
-    "editions_outer": "WITH x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 20) ELSE '' END AS a, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 20) ELSE '' END AS b FROM documents) SELECT 'Bukhari no. ' || doc_id AS source, a AS arabic_text, b AS translation, 'sahih' AS authenticity FROM x WHERE a <> '' OR b <> ''",
+    "editions_inner": "SELECT a.conv_id AS surah, a.turn // 2 AS ayah, a.conv_id || ':' || (a.turn // 2) AS reference, a.text AS arabic_text, b.text AS translation, 'x' AS theme, 'medium' AS confidence FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn // 2 = b.turn // 2 WHERE a.role = 'user' AND b.role = 'assistant'",
+    "editions_outer": "SELECT 'Bukhari no. ' || coalesce(doc_id, item_id * 30) AS source, coalesce(d.text, '') AS arabic_text, coalesce(b.text, '') AS translation, 'sahih' AS authenticity FROM documents d FULL JOIN benchmark b ON doc_id = item_id * 30 WHERE coalesce(d.text, '') <> '' OR coalesce(b.text, '') <> ''",
     "topics_endpoint": f"WITH {_RULES} SELECT key, ruling, array_to_string(keywords[1:3], '|') AS keywords FROM rules",
     "chat_answer": f"""WITH {_KB}, {_ASKED}, {_SCORES}, t AS (SELECT qid, topic FROM parsed WHERE topic IS NOT NULL), {_CASCADE}
 SELECT p.qid, CASE WHEN p.topic IS NULL THEN 'no_match' WHEN h >= 50 THEN 'ok' ELSE 'rejected' END AS status, p.topic, CASE WHEN h >= 50 THEN {_ANSWER} ELSE '' END AS answer, coalesce(h, 0) / 100.0::DOUBLE AS confidence_score,

@@ -78,8 +78,8 @@ def authority_filtered_search(spark, d):
 
 
 def multi_query_search(spark, d):
-    """The first three words of each benchmark item, all of them, among whole documents."""
-    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.slice(index.words(F.col("text")), 1, 3).alias("words"))
+    """Any of the words of each benchmark item, among whole documents."""
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), index.words(F.col("text")).alias("words"))
     hits = B.bm25(B.any_of(queries), tokens(spark, d)).withColumn("rank", F.round("rank", 6)).join(passages(spark, d), "id")
     best = search.top(search.rerank(search.candidates(hits, 20)), 5)
     return best.select("qid", F.col("id").alias("doc_id"), "level", "combined_score", F.col("position").cast("long").alias("position"))
@@ -167,7 +167,7 @@ ORACLE_SQL = {
     "rerank_alpha0": _rerank_sql(_q(ANY), 0.0, "2, 3"),
     "rerank_alpha1": _rerank_sql(_q(ANY), 1.0, "2, 3"),
     "authority_filtered_search": f"{_q(ANY)} SELECT qid, level, count(*) AS n, min(rank) AS best_rank FROM ranks JOIN p USING (doc_id) WHERE category = 'en' AND level BETWEEN 2 AND 4 GROUP BY ALL",
-    "multi_query_search": _rerank_sql(rf"WITH bw AS (SELECT item_id AS qid, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')[1:3] AS w FROM benchmark), q AS (SELECT qid, i AS clause, w[i] AS term FROM (SELECT qid, w, unnest(range(1, len(w) + 1)) AS i FROM bw)), {_TOK}, {_RANKS}, {_P}", 0.55, ""),
+    "multi_query_search": _rerank_sql(rf"WITH bw AS (SELECT item_id AS qid, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark), q AS (SELECT qid, i AS clause, w[i] AS term FROM (SELECT qid, w, unnest(range(1, len(w) + 1)) AS i FROM bw)), {_TOK}, {_RANKS}, {_P}", 0.55, ""),
     "case_ordered_topk": f"""{_q(_ORDERED).replace("sum(cl.s), 6)", "sum(cl.s), 9)")}, g AS (SELECT doc_id, text, CASE WHEN substr(source, 4)::INT % 2 = 0 THEN 'shafii' ELSE 'other' END AS school, substr(source, 4)::INT % 7 AS o, [{_LEVELS}][substr(source, 4)::INT % 7 + 1] AS grade FROM p)
 SELECT qid, doc_id, school, grade, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN school = 'shafii' THEN 0 ELSE 1 END, CASE WHEN o = 6 THEN 9 ELSE o END, rank, doc_id) AS position
 FROM ranks JOIN g USING (doc_id) WHERE length(text) >= 40 QUALIFY position <= 3""",

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 VERSES = "ord int, key string, reference string, surah_ayah string, surah int, ayah int, arabic_text string, transliteration string, translation string, theme string, sub_theme string, confidence string, source_check string, fiqh_note string"
 NARRATIONS = "ord int, key string, reference string, source string, arabic_text string, transliteration string, translation string, authenticity string, grading string, confidence string, theme string, narrator string, fiqh_relevance array<string>, status string"
@@ -26,6 +28,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
+def bounded(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """rows, marked for a broadcast if there are at most so many; as they are otherwise. Counts no further than that."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A knowledge-base table kept as one JSON object of key to record; ord is a record's place in it."""
     kind = T._parse_datatype_string(schema)
@@ -86,7 +93,10 @@ def append_passages(passages: DataFrame, path: str) -> None:
 
 
 def literal_rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+    """Rows that stand in the plan itself: their size is known and no task reads them."""
+    kind = T._parse_datatype_string(schema)
+    names = kind.fieldNames()
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(names, r, strict=True)) for r in rows], to_arrow_schema(kind)), kind)
 
 
 def mapping(text: str) -> dict:

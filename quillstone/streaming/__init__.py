@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.gateway import accepted, micros
-from ..operators.index import changed_postings, postings, tokenized
+from ..operators.index import Stored, tokenized
 
 
 def stream_limit(events: DataFrame, most: int, window_seconds: float, key: str = "user_id", ts: str = "ts", event: str = "event_id") -> DataFrame:
@@ -38,19 +38,17 @@ def stream_counts(events: DataFrame, width: str = "1 minute", late: str = "10 mi
     return counted.select(F.col("window.start").alias("start"), key, "n")
 
 
-def maintain_index(documents: DataFrame, path: str, checkpoint: str, key: str = "id", *columns: str):
-    """A streaming query that upserts the postings of new and changed documents, a new version of the index for each batch."""
+def maintain_index(documents: DataFrame, path: str, checkpoint: str, key: str = "id", *columns: str, removed: str | None = None):
+    """A streaming query that keeps a stored index: each batch adds a delta of its new and changed documents.
+
+    removed: a boolean column of those that have gone. Of several rows of a key in a batch one counts; a batch that is run again
+    replaces its delta.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = tokenized(batch.dropDuplicates([key]), *(columns or ("text",)), key=key)
-        jvm = spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        versions = sorted(int(f.getPath().getName().removeprefix("v")) for f in (fs.listStatus(place) if fs.exists(place) else []) if f.getPath().getName().startswith("v"))
-        versions = [v for v in versions if v < number]
-        old = spark.read.parquet(f"{path}/v{versions[-1]}") if versions else None
-        out = changed_postings(old, fresh.select(key).limit(0), fresh, key) if old is not None else postings(fresh, key)
-        out.write.mode("overwrite").parquet(f"{path}/v{number}")
+        own = batch.dropDuplicates([key])
+        gone = own.where(F.coalesce(F.col(removed), F.lit(False))) if removed else own.limit(0)
+        fresh = own.where(~F.coalesce(F.col(removed), F.lit(False))) if removed else own
+        Stored(batch.sparkSession, path, key).add(tokenized(fresh, *(columns or ("text",)), key=key), number + 1, gone)
 
     return documents.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -156,13 +156,45 @@ def test_stream_equals_batch(spark, data, tmp_path):
 
 
 def test_stream_maintains_index(spark, tmp_path):
-    schema = "id int, text string"
-    spark.createDataFrame([(1, "a b"), (2, "b")], schema).write.parquet(str(tmp_path / "in"))
-    run = lambda: streaming.maintain_index(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "index"), str(tmp_path / "c")).awaitTermination(60)
+    """An insert, an update and a delete; what is read equals an index of the documents that are left."""
+    schema = "id int, text string, gone boolean"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: streaming.maintain_index(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "index"), str(tmp_path / "c"), removed="gone").awaitTermination(60)
+    stored = index.Stored(spark, str(tmp_path / "index"))
+    terms = lambda s: {(r["term"], r["id"], r["tf"], r["length"]) for r in s.postings().collect()}
+    put([(1, "a b", None), (2, "b", False)])
     run()
-    spark.createDataFrame([(2, "z")], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    assert terms(stored) == {("a", 1, 1, 2), ("b", 1, 1, 2), ("b", 2, 1, 1)}
+    put([(2, "z", None), (3, "b b c", None)])
     run()
-    assert {(r["term"], r["id"]) for r in spark.read.parquet(str(tmp_path / "index/v1")).collect()} == {("a", 1), ("b", 1), ("z", 2)}
+    assert terms(stored) == {("a", 1, 1, 2), ("b", 1, 1, 2), ("z", 2, 1, 1), ("b", 3, 2, 3), ("c", 3, 1, 3)}
+    put([(1, None, True), (4, "a", None)])
+    run()
+    left = index.tokenized(spark.createDataFrame([(2, "z"), (3, "b b c"), (4, "a")], "id int, text string"), "text")
+    asked = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "z")], "qid int, clause int, term string")
+    ranks = lambda source: {(r["qid"], r["id"], round(r["rank"], 9)) for r in bm25.bm25(asked, source).collect()}
+    for s in (stored, stored.compacted(str(tmp_path / "new"))):
+        assert terms(s) == {("z", 2, 1, 1), ("b", 3, 2, 3), ("c", 3, 1, 3), ("a", 4, 1, 1)}
+        assert ranks(s) == ranks(left) and tuple(s.statistics().first()) == tuple(index.statistics(left).first())
+
+
+def test_stored_index_reads_only_the_folders_of_its_terms(spark, data, tmp_path):
+    from quillstone.plans import search_queries as q
+
+    tokens = q.tokens(spark, data)
+    stored = index.write_index(tokens, str(tmp_path))
+    asked = q.asked(spark, q.DNF)
+    ranks = lambda source: sorted((r["qid"], r["id"], round(r["rank"], 9)) for r in bm25.bm25(asked, source).collect())
+    assert ranks(stored) == ranks(tokens) != []
+    found = bm25.bm25(asked, stored)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "slot#" in plan.split("PartitionFilters: [")[1].split("]")[0] and "regexp" not in plan
+
+
+def test_folded_letters(spark):
+    rows = spark.createDataFrame([(1, "Élève à l'école"), (2, "eleve"), (3, None)], "id int, text string")
+    folded = {r["id"]: r["words"] for r in index.tokenized(rows, "text", fold=True).collect()}
+    assert folded == {1: ["eleve", "a", "l", "ecole"], 2: ["eleve"], 3: []} and index.tokenized(rows, "text").first()["words"][0] == "élève"
 
 
 def test_answers_and_citations(spark):
