@@ -276,7 +276,19 @@ _ANSWER = f"""concat('{_EQ}', chr(10), 'HUKUM: ', upper(coalesce(ruling, '')), c
     FROM (SELECT generate_subscripts(ns, 1) AS i, unnest(ns) AS k) x JOIN nall v ON v.key = x.k), chr(10)) ELSE '' END,
   chr(10), 'PENJELASAN:', chr(10), '  ', coalesce(reasoning, ''), chr(10), chr(10), '{_EQ}')"""
 
+# The full-text layer for the topics that the others leave: best(qid, doc_id, level, combined_score, position).
+_CORPUS = f"""u AS (SELECT qid, topic FROM t1 WHERE qid NOT IN (SELECT qid FROM hit)),
+q AS (SELECT qid, 0 AS clause, unnest(regexp_extract_all(topic, '[\\p{{L}}\\p{{N}}]+')) AS term FROM u),
+pref AS (SELECT qid, {search_queries._pref(search_queries._first(fixed.DOMAIN_SUBSTRINGS + [(k, n) for n, _, _, ks in fixed.DOMAINS for k in ks]))} AS levels FROM (SELECT qid, topic AS t FROM u)),
+{search_queries._TOK}, {search_queries.RANKS_9}, {search_queries._P}, {search_queries.ranked_sql(5)},
+found AS (SELECT b.qid, b.position, b.combined_score, p.* FROM best b JOIN p USING (doc_id))"""
+
 ORACLE_SQL = {
+    "cascade_corpus": f"""WITH {_KB}, {_TOPICS}, {_CASCADE}, {_CORPUS}
+SELECT qid, topic, layer, source, ruling, school, confidence, reasoning, layer = 3 AS needs_review, '' AS hits FROM got UNION ALL
+SELECT qid, u.topic, 4, 'kitab_corpus', '', 'shafii', 'medium', '', false, string_agg(source || ' ' || level || ' ' || category || ' p' || doc_id || ' ' || round(combined_score * 10000)::BIGINT, ',' ORDER BY position) FROM found JOIN u USING (qid) GROUP BY ALL""",
+    "answerable_questions": f"""WITH {_KB}, asked AS (SELECT conv_id * 1000 + turn AS qid, text FROM conversations WHERE role = 'user' AND (conv_id * 1000 + turn) % 5 > 1), {_SCORES}, t AS (SELECT qid, topic FROM parsed WHERE topic IS NOT NULL), {_CASCADE}
+SELECT conv_id * 1000 + turn AS qid, coalesce(h >= 50, false) AS is_answerable, coalesce(h, 0)::BIGINT AS hundredths FROM conversations c LEFT JOIN e ON e.qid = conv_id * 1000 + turn WHERE role = 'user'""",
     "registry_reconciliation": "WITH n(slug) AS (VALUES ('src1'), ('src2'), ('src99')), r AS (SELECT DISTINCT source AS slug FROM documents) SELECT slug, 'names' AS missing_in FROM r WHERE slug NOT IN (SELECT slug FROM n) UNION ALL SELECT slug, 'registry' FROM n WHERE slug NOT IN (SELECT slug FROM r)",
     "loaded_counts": "WITH b AS (SELECT 'src' || i AS slug, i::INT AS n FROM range(0, 30, 3) x(i)) SELECT slug, n, (SELECT count(*) FROM documents WHERE source = slug) AS total_passages FROM b",
     "health": "SELECT 'ok' AS status, (SELECT count(*) FROM labels) AS rules, count(*) AS verses, count(*) AS narrations FROM documents",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +96,39 @@ def case_ordered_topk(spark, d):
     return search.ordered_search(queries, rows).select("qid", F.col("id").alias("doc_id"), "school", "grade", F.col("position").cast("long").alias("position"))
 
 
+# Documents get Arabic words by their number, for queries that are topics, hold one, are Arabic or are plain.
+ARABIC = ["", "باب الوضوء", "كتاب الصلاة", "زكاة الفطر", "النكاح والطلاق", "الطهارة من النجاسة", "البيع", "صوم رمضان"]
+KITAB = [(1, "wudhu"), (2, "zakat_fitrah"), (3, " Shalat "), (4, "hukum jual beli"), (5, "الصلاة"), (6, "puasa ramadhan"), (7, "und die"), (8, "nikah siri"), (9, "  "), (10, "زكاة"), (11, "nosuchword")]
+
+
+def kitab_passages(spark, d):
+    word = F.element_at(F.array(*map(F.lit, ARABIC)), (F.pmod("id", F.lit(len(ARABIC))) + 1).cast("int"))
+    return passages(spark, d).withColumn("text", F.concat_ws(" ", "text", word))
+
+
+def _kitab(**options):
+    def run(spark, d):
+        found = search.search(literal_rows(spark, KITAB, "qid int, text string"), kitab_passages(spark, d), **options)
+        return found.select("qid", F.col("id").alias("doc_id"), "level", "combined_score", F.col("position").cast("long").alias("position"))
+
+    return run
+
+
+def kitab_search_by_authority(spark, d):
+    found = search.search_by_authority(literal_rows(spark, KITAB, "qid int, text string"), kitab_passages(spark, d))
+    return found.select("qid", F.col("id").alias("doc_id"), "level", "combined_score", F.col("position").cast("long").alias("position"))
+
+
+def second_search_passages(spark, d):
+    """The second search's hits as one text a query."""
+    n = F.substring("source", 4, 9).cast("int")
+    grades = F.element_at(F.array(*map(F.lit, [*fixed.LEVEL_ORDER, "other"])), (n % 7 + 1))
+    rows = passages(spark, d).withColumn("school", F.when(n % 2 == 0, "shafii").otherwise("other")).withColumn("grade", grades)
+    queries = literal_rows(spark, [(1, "eriner hein"), (2, "und die"), (3, "the and")], "qid int, text string")
+    hits = search.ordered_search(queries, rows).select("qid", "position", F.col("source").alias("book"), F.col("category").alias("chapter"), "text", "grade")
+    return search.joined_passages(hits)
+
+
 def domain_detect(spark, d):
     said = table(spark, d, "conversations").where("role = 'user'")
     name = F.concat(F.col("text"), F.when(F.col("conv_id") % 3 == 0, " wudhu").when(F.col("conv_id") % 3 == 1, " Nisab sai"). otherwise(""))
@@ -115,7 +150,8 @@ def corpus_stats_by_authority(spark, d):
 QUERIES = {
     "token_stats": token_stats, "doc_freq_topk": doc_freq_topk, "bm25_or": bm25_or, "bm25_and": bm25_and, "bm25_dnf": bm25_dnf,
     "bm25_candidates_by_authority": bm25_candidates_by_authority, "authority_rerank": _reranked(0.55), "rerank_alpha0": _reranked(0.0), "rerank_alpha1": _reranked(1.0),
-    "authority_filtered_search": authority_filtered_search, "multi_query_search": multi_query_search, "case_ordered_topk": case_ordered_topk, "domain_detect": domain_detect,
+    "authority_filtered_search": authority_filtered_search, "multi_query_search": multi_query_search, "case_ordered_topk": case_ordered_topk, "kitab_search": _kitab(), "kitab_search_category": _kitab(category="de", min_authority=2, limit=3), "kitab_search_by_authority": kitab_search_by_authority,
+    "second_search_passages": second_search_passages, "domain_detect": domain_detect,
     "corpus_stats_total": corpus_stats_total, "corpus_stats_by_category": corpus_stats_by_category, "corpus_stats_by_authority": corpus_stats_by_authority,
 }
 
@@ -156,7 +192,54 @@ def _first(rules: list[tuple[str, str]]) -> str:
     return "CASE " + " ".join(f"WHEN contains(t, '{k.replace(chr(39), chr(39) * 2)}') THEN '{v}'" for k, v in rules) + " ELSE 'general' END"
 
 
+def _clauses(text: str) -> list[list[str]]:
+    """The clauses of a query, in plain Python."""
+    plain = text.strip(" ").lower()
+    if not plain:
+        return []
+    topics = dict(fixed.TOPIC_TERMS)
+    near = [t for k, t in fixed.TOPIC_TERMS if plain in k or k in plain]
+    terms = topics.get(plain) or (near[0] if near else text.strip() if any("\u0600" <= c <= "\u06ff" for c in text) else None)
+    if terms is None:
+        return [re.findall(r"[^\W_]+", plain)]
+    article = [x for t in terms.split() for x in ([t] if t.startswith("ال") else [t, "ال" + t])]
+    more = next(own for n, own, _, _ in fixed.DOMAINS if n == _domain(plain))
+    return [re.findall(r"[^\W_]+", a) for a in dict.fromkeys(article + more)]
+
+
+def _domain(plain: str) -> str:
+    keywords = [(k, n) for n, _, _, own in fixed.DOMAINS for k in own]
+    return next((v for k, v in fixed.DOMAIN_SUBSTRINGS + keywords if k in plain), "general")
+
+
+def _pref(domain: str) -> str:
+    return f"CASE {domain} {' '.join(f"WHEN '{n}' THEN {own}" for n, _, own, _ in fixed.DOMAINS)} END"
+
+
+def ranked_sql(limit: int, where: str = "true") -> str:
+    """rr: the pool of each query by authority and rank, with its score; for ranks, p(doc_id, level, category, ...) and pref(qid, levels)."""
+    base = "CASE level WHEN 1 THEN 1.0 WHEN 2 THEN 0.85 WHEN 3 THEN 0.7 WHEN 4 THEN 0.55 ELSE 0.4 END::DOUBLE"
+    return f"""pool AS (SELECT ranks.qid, doc_id, level, rank, levels, row_number() OVER (PARTITION BY ranks.qid ORDER BY level, rank, doc_id) AS pool FROM ranks JOIN p USING (doc_id) JOIN pref USING (qid) WHERE {where} QUALIFY pool <= {4 * limit}),
+rr AS (SELECT *, round(0.55::DOUBLE * (max(rank) OVER w - rank) / (CASE WHEN max(rank) OVER w - min(rank) OVER w < 1e-9 THEN 1.0 ELSE max(rank) OVER w - min(rank) OVER w END)
+  + (1 - 0.55::DOUBLE) * (CASE WHEN list_contains(levels, level) THEN least(1.0::DOUBLE, {base} + 0.15::DOUBLE) ELSE {base} END), 4) AS combined_score FROM pool WINDOW w AS (PARTITION BY qid)),
+best AS (SELECT qid, doc_id, level, combined_score, row_number() OVER (PARTITION BY qid ORDER BY combined_score DESC, pool) AS position FROM rr QUALIFY position <= {limit})"""
+
+
+def _kitab_sql(limit: int, where: str = "true") -> str:
+    rows = [(qid, i, t) for qid, text in KITAB for i, c in enumerate(_clauses(text)) for t in c]
+    prefs = [(qid, next(own for n, _, own, _ in fixed.DOMAINS if n == _domain(text.strip().lower()))) for qid, text in KITAB]
+    docs = f"p AS (SELECT doc_id, 1 + substr(source, 4)::INT % 5 AS level, lang AS category, text || ' ' || {ARABIC}[doc_id % {len(ARABIC)} + 1] AS text FROM documents)"
+    tok = r"tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM p)"
+    return f"""WITH {sql_rows('q', 'qid, clause, term', rows)}, {sql_rows('pref', 'qid, levels', prefs)}, {docs}, {tok}, {RANKS_9}, {ranked_sql(limit, where)} SELECT * FROM best"""
+
+
+RANKS_9 = _RANKS.replace("sum(cl.s), 6)", "sum(cl.s), 9)")
+_SECOND = f"""{_q(_ORDERED).replace("sum(cl.s), 6)", "sum(cl.s), 9)")}, g AS (SELECT doc_id, source, category, text, CASE WHEN substr(source, 4)::INT % 2 = 0 THEN 'shafii' ELSE 'other' END AS school, substr(source, 4)::INT % 7 AS o FROM p),
+best AS (SELECT qid, source, category, text, o, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN school = 'shafii' THEN 0 ELSE 1 END, CASE WHEN o = 6 THEN 9 ELSE o END, rank, doc_id) AS position FROM ranks JOIN g USING (doc_id) WHERE length(text) >= 40 QUALIFY position <= 3)
+SELECT qid, string_agg('[' || source || ' — ' || category || ']' || chr(10) || substr(text, 1, 400), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY position) AS reasoning, CASE WHEN arg_min(o, position) < 4 THEN 'medium' ELSE 'low' END AS confidence FROM best GROUP BY qid"""
+
 ORACLE_SQL = {
+    "kitab_search": _kitab_sql(5), "kitab_search_category": _kitab_sql(3, "category = 'de' AND level >= 2"), "kitab_search_by_authority": _kitab_sql(5, "level <= 3"), "second_search_passages": _SECOND,
     "token_stats": f"WITH {_TOK}, t AS (SELECT lang AS category, term FROM tok JOIN documents USING (doc_id)), n AS (SELECT lang AS category, count(*) AS n_docs FROM documents GROUP BY ALL) SELECT category, count(*) AS n_tokens, count(DISTINCT term) AS n_terms, any_value(n_docs) AS n_docs FROM t JOIN n USING (category) GROUP BY category",
     "doc_freq_topk": f"WITH {_TOK} SELECT term, count(DISTINCT doc_id) AS df FROM tok GROUP BY term ORDER BY df DESC, term LIMIT 50",
     "bm25_or": f"{_q(ANY)} SELECT qid, doc_id, rank FROM ranks",
