@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, with_checkpoints, with_code
+from .common import spread_join, table, with_checkpoints, with_code
 from .components import components
 from .shingles import WORDS, MinHash, choose_bands, set_key, sets, texts_of
 
@@ -35,6 +35,8 @@ RECALL = 0.9999
 SHARED = 3
 #: Classes and n-grams of a block, about.
 BLOCK, BLOCK_NGRAMS = 512, 1_000_000
+#: N-gram sets with the most documents that go to every task where documents meet their groups.
+HOT = 1024
 #: Columns of a block's table of classes by n-grams that are multiplied at once.
 COLUMNS = 2048
 
@@ -119,9 +121,9 @@ def verify_unit(unit: pd.DataFrame, hashes: list[np.ndarray], numerator: int, de
     if first["bucket"]:
         cluster, bands = unit["cluster"].to_numpy(), np.array(unit["bands"].tolist())
         links &= cluster[:, None] != cluster[None, :]
-        for i, j in np.argwhere(links & np.triu(np.ones_like(links))):
-            if bands[i][np.argmax(bands[i] == bands[j])] != first["unit"]:
-                links[i, j] = links[j, i] = False
+        # Pairs that share an earlier band are verified there. All rows have this bucket in the same band.
+        for k in range(int(np.argmax(bands[0] == first["unit"]))):
+            links &= bands[:, k, None] != bands[None, :, k]
     return links @ unit["copies"].to_numpy(), roots(links)
 
 
@@ -177,8 +179,8 @@ def groups(documents: DataFrame, n_words: int = WORDS, numerator: int = NUMERATO
     of_bucket = placed.join(several, "bucket").select(F.lit(True).alias("_b"), F.col("bucket").alias("unit"), "cluster", "node", "n").withColumnRenamed("_b", "bucket")
     members = of_cluster.unionByName(of_bucket)
     sizes = members.groupBy("bucket", "unit").agg(F.count("*").alias("rows"), F.sum("n").alias("ngrams")).where("rows > 1")
-    total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    units = blocked(members, sizes, max(1, -(-total // block_ngrams)), block, block_ngrams)
+    n_rows, n_grams = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    units = blocked(members, sizes, max(1, -(-n_grams // block_ngrams), -(-n_rows // block)), block, block_ngrams)
     units = units.join(classes.select("node", "copies", "bands", "text"), "node")
     found = verified(units, numerator, denominator).groupBy("node", "root").agg(F.sum("links").alias("links")).checkpoint()
 
@@ -193,9 +195,8 @@ def groups(documents: DataFrame, n_words: int = WORDS, numerator: int = NUMERATO
 def join(documents: DataFrame, **options) -> DataFrame:
     """doc_id, class_id, n_links and n_copies (of its own n-gram set) for each document."""
     found = groups(documents, **options).select(F.col("key").alias("_key"), "copies", "links", "class_id")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(15)))
-    each = documents.select("doc_id", keyed().alias("_key")).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(16)).cast("int"))
-    told = each.join(found.withColumn("_salt", salts), ["_key", "_salt"], "left")
+    # The n-gram sets with the most documents go to every task, so that their documents are joined in many.
+    told = spread_join(documents.select("doc_id", keyed().alias("_key")), found, "_key", found.orderBy(F.desc("copies"), "_key").limit(HOT))
     others = F.coalesce(F.col("copies"), F.lit(1)) - 1
     return told.select("doc_id", F.coalesce("class_id", F.col("doc_id").cast("long")).alias("class_id"), (F.coalesce("links", F.lit(0)) + others).alias("n_links"), others.alias("n_copies"))
 

@@ -202,6 +202,14 @@ def test_components(spark):
     assert {out[i] for i in (1, 2, 3, 4, 5)} == {1} and {out[i] for i in (8, 9, 10)} == {8} and out[20] == 20 and out[31] == 30 and out[140] == 100
 
 
+def test_components_with_large_stars(spark):
+    """Two stars that share a leaf, a chain, and a node alone."""
+    links = [(0, i) for i in range(1, 400)] + [(5000, i) for i in range(300, 700)] + [(1000 + i, 1001 + i) for i in range(30)] + [(3000, 3000)]
+    want = {**dict.fromkeys([*range(700), 5000], 0), **dict.fromkeys(range(1000, 1031), 1000), 3000: 3000}
+    frame = spark.createDataFrame(links, "a long, b long")
+    assert {x["node"]: x["component"] for x in components(frame).collect()} == want
+
+
 def pieces_are_whole(out, ids):
     """Every token once; sequences without gaps, full to 2048 or to a power of two."""
     for d, own in enumerate(ids):
