@@ -29,6 +29,11 @@ def test_reasoned_answer_reads_whole_questions(spark, folder):
     assert out[1001]["primary_domain"] == "zakat" and out[7001]["primary_domain"] == "umum"
 
 
+def test_cascade_joins_rules_once(spark, data):
+    plan = plans.QUERIES["cascade_retrieve"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and plan.count("Join ") <= 10
+
+
 def test_entry(spark, data):
     import __spark_entry__
 
