@@ -95,16 +95,17 @@ class Tables:
             remove(self.spark, f"{self.folder}/{name}")
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, deal: Column | None = None) -> DataFrame:
     """left with the columns of right, whose keys are distinct, or nulls. No key of hot makes a large task, however many rows left has of it.
 
     hot(key, ...) are the rows of right with the most partners; the caller bounds their number and size. They go to every
-    task, and their rows of left are dealt out evenly in the join with the others. right is read twice.
+    task, and their rows of left are dealt out evenly in the join with the others: by their places, or by deal (a long of
+    left, 0 or more) where left comes from a shuffle, whose order a repeated task may change. right is read twice.
     """
     fields = [c for c in right.columns if c != key]
     near = hot.select(F.col(key).alias("_near_key"), F.struct(*fields).alias("_near"))
     told = left.join(F.broadcast(near), F.col(key) == F.col("_near_key"), "left").drop("_near_key")
-    told = told.withColumn("_deal", F.when(F.col("_near").isNull(), F.lit(0)).otherwise(F.monotonically_increasing_id() % 1_000_003 + 1))
+    told = told.withColumn("_deal", F.when(F.col("_near").isNull(), F.lit(0)).otherwise(F.monotonically_increasing_id() % 1_000_003 + 1 if deal is None else deal + 1))
     far = right.select(F.col(key).alias("_far_key"), F.lit(0).cast("long").alias("_zero"), F.struct(*fields).alias("_far"))
     both = told.join(far, (F.col(key) == F.col("_far_key")) & (F.col("_deal") == F.col("_zero")), "left")
     return both.select(*left.columns, F.coalesce("_near", "_far").alias("_x")).select(*left.columns, *[F.col("_x")[f].alias(f) for f in fields])

@@ -35,7 +35,7 @@ RECALL = 0.9999
 SHARED = 3
 #: Classes and n-grams of a block, about.
 BLOCK, BLOCK_NGRAMS = 512, 1_000_000
-#: N-gram sets with the most documents that go to every task where documents meet their groups.
+#: N-gram sets with the most documents, and units with the most classes, that go to every task where documents and classes meet them.
 HOT = 1024
 #: Columns of a block's table of classes by n-grams that are multiplied at once.
 COLUMNS = 2048
@@ -147,7 +147,10 @@ def verified(units: DataFrame, numerator: int, denominator: int) -> DataFrame:
 
 def blocked(members: DataFrame, sizes: DataFrame, n_bins: int, block: int, block_ngrams: int) -> DataFrame:
     """members(bucket, unit, node, n, ...) dealt to bins: small units share one, a large one has a bin for each pair of its blocks."""
-    counted = members.join(sizes, ["bucket", "unit"])
+    # The largest units go to every task, so that the members of one are not all in one; those without a size are alone in their unit.
+    named, key = members.withColumn("key", F.struct("bucket", "unit")), F.struct("bucket", "unit").alias("key")
+    sized = sizes.select(key, "rows", "ngrams")
+    counted = spread_join(named, sized, "key", sized.orderBy(F.desc("rows"), "key").limit(HOT), F.pmod(F.xxhash64("node"), F.lit(1_000_003))).where("rows is not null")
     blocks = F.greatest(F.ceil(F.col("rows") / block), F.ceil(F.col("ngrams") / block_ngrams)).cast("int")
     dealt = counted.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -178,7 +181,7 @@ def groups(documents: DataFrame, n_words: int = WORDS, numerator: int = NUMERATO
     several = placed.groupBy("bucket").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a <> b").select("bucket")
     of_bucket = placed.join(several, "bucket").select(F.lit(True).alias("_b"), F.col("bucket").alias("unit"), "cluster", "node", "n").withColumnRenamed("_b", "bucket")
     members = of_cluster.unionByName(of_bucket)
-    sizes = members.groupBy("bucket", "unit").agg(F.count("*").alias("rows"), F.sum("n").alias("ngrams")).where("rows > 1")
+    sizes = members.groupBy("bucket", "unit").agg(F.count("*").alias("rows"), F.sum("n").alias("ngrams")).where("rows > 1").checkpoint()
     n_rows, n_grams = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     units = blocked(members, sizes, max(1, -(-n_grams // block_ngrams), -(-n_rows // block)), block, block_ngrams)
     units = units.join(classes.select("node", "copies", "bands", "text"), "node")
