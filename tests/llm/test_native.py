@@ -206,6 +206,19 @@ def test_mixing_of_one_hot_source_and_others():
         assert all(-1 < n - t * share < 1 and -1 < n + 1 - (t + 1) * share < 1 for n, t in enumerate(own) if t < until)
 
 
+@pytest.mark.parametrize(
+    ("blocks", "quota", "run"),
+    [
+        ([60, 300, 41], [1.0, 2.5, 0.3], 7), ([1] * 30 + [500], [1e-4] * 30 + [1.0], 8), ([1] * 30 + [500], [1.0] * 30 + [1e-3], 8), ([40, 40, 40, 40], [1.0] * 4, 3),
+        ([7, 90, 35, 2, 64, 18, 51, 3, 77, 29] * 3, [1.0, 2.0, 4.0, 8.0, 0.01, 1e-6] * 5, 5), ([200], [3.0], 16), ([5, 9], [1.0, 1000.0], 512),
+    ],
+)
+def test_runs_of_slots_are_those_of_one_after_another(spark, blocks, quota, run):
+    """Runs that start from what earliest deadline first has left give the schedule of all slots dealt in turn."""
+    out = {(x["s"], x["j"]): x["slot"] for x in mixing.slots_of(spark, blocks, quota, run).collect()}
+    assert out == {(s, j): t for s, own in enumerate(mixing.edf(blocks, quota)) for j, t in enumerate(own)}
+
+
 def test_mixing_keeps_all_columns_and_rows(spark):
     rows = docs(spark, ["same"] * 20 + [None, ""], ["a"] * 15 + ["b"] * 7).withColumn("row", F.lit("clash")).withColumn("block", F.lit(3))
     out = mixing.mix(rows, block=2, period=10)
