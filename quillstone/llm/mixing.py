@@ -153,7 +153,7 @@ def slots_of(spark: SparkSession, blocks: list[int], quota: list[float], run: in
         left = let(all_, lambda p: let(F.array_min(p), lambda least: F.filter(p, lambda b: b != least)))
         return F.when(F.get("limits", i) > F.coalesce(F.get("limits", i + 1), F.lit(0)), left).otherwise(all_)
 
-    begun = runs.select("id", "start", "stop", "jobs", "late").join(doubt, "id", "left").withColumn("given", given).withColumn("falling", falling).withColumn("limits", limits)
+    begun = runs.select("id", "start", "stop", "jobs", "late").join(doubt.hint("merge"), "id", "left").withColumn("given", given).withColumn("falling", falling).withColumn("limits", limits)
     places = F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>"))
     begun = begun.withColumn("waiting", F.aggregate(places, F.array().cast(pool), in_doubt))
 
@@ -183,29 +183,30 @@ def sources_of(rows: DataFrame, weights: dict[str, float] | None, block: int, pe
 
 def schedule(documents: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, source: str = "source", key: str = "doc_id") -> DataFrame:
     """row (all columns of documents), block (of its source), slot (of the block) and in_block for each document."""
-    rows = documents.select(F.struct("*").alias("row"), F.col(source).cast("string").alias("source"), F.xxhash64(F.col(key)).alias("at"))
-    sources = sources_of(documents.select(F.col(source).cast("string").alias("source")), weights, block, period).first()["each"]
+    name = F.col(source).cast("string")
+    own = F.coalesce(F.concat(F.lit("="), name), F.lit("")).alias("own")  # never null, so that joins keep the partitioning of windows
+    rows = documents.select(F.struct("*").alias("row"), own, F.xxhash64(F.col(key)).alias("at"))
+    sources = sources_of(documents.select(name.alias("source")), weights, block, period).first()["each"]
     n = block * sum(x["blocks"] for x in sources)
 
     # Numbers within a source: counts of small parts of it, summed up, and a number within the part.
     parts = max(1, -(-n // NUMBERED))
-    dealt = rows.withColumn("part", F.pmod(F.shiftright("at", 17), F.lit(parts)))
-    sizes = documents.select(F.col(source).cast("string").alias("source"), F.pmod(F.shiftright(F.xxhash64(F.col(key)), 17), F.lit(parts)).alias("part")).groupBy("source", "part").agg(F.count("*").alias("size"))
-    before = F.sum("size").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(F.col("source").alias("_source"), F.col("part").alias("_part"), F.coalesce(before, F.lit(0)).alias("before"), "size")
-
-    # The slots go to the small parts, so that no row moves for them.
-    names = F.array(*[F.lit(x["source"]).cast("string") for x in sources]) if sources else F.lit(None).cast("array<string>")
-    found = slots_of(documents.sparkSession, [x["blocks"] for x in sources], [x["quota"] for x in sources])
-    timed = found.select(F.get(names, F.col("s")).alias("_name"), F.col("j").alias("_block"), "slot")
+    part = lambda at: F.pmod(F.shiftright(at, 17), F.lit(parts)).alias("part")
+    sizes = documents.select(own, part(F.xxhash64(F.col(key)))).groupBy("own", "part").agg(F.count("*").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("own").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.withColumn("before", F.coalesce(before, F.lit(0)))
+
+    # The slots go to the small parts, so that no row moves for them. Both grow with the rows, so neither is ever broadcast.
+    names = F.array(*[F.lit("" if x["source"] is None else "=" + x["source"]) for x in sources]).cast("array<string>")
+    dealt = slots_of(documents.sparkSession, [x["blocks"] for x in sources], [x["quota"] for x in sources]).select(F.get(names, F.col("s")).alias("own"), F.col("j").alias("_block"), "slot")
     first_block = F.floor(F.col("before") / block)
     asked = offsets.withColumn("_block", F.explode(F.sequence(first_block, F.floor((F.col("before") + F.col("size") - 1) / block))))
-    slotted = asked.join(timed, F.col("_source").eqNullSafe(F.col("_name")) & (asked["_block"] == timed["_block"]))
-    offsets = slotted.groupBy("_source", "_part", "before").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
+    slotted = asked.join(dealt.hint("merge"), ["own", "_block"])
+    offsets = slotted.groupBy("own", "part").agg(F.min("before").alias("before"), F.sort_array(F.collect_list("slot")).alias("slots"))
 
-    within = Window.partitionBy("source", "part").orderBy("at", F.xxhash64("row"))
-    numbered = dealt.withColumn("n", F.row_number().over(within))
-    numbered = numbered.join(offsets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("part") == F.col("_part")))
+    within = Window.partitionBy("own", "part").orderBy("at", F.xxhash64("row"))
+    numbered = rows.withColumn("part", part(F.col("at"))).withColumn("n", F.row_number().over(within))
+    numbered = numbered.join(offsets.hint("merge"), ["own", "part"])
     numbered = numbered.withColumn("n", F.col("n") + F.col("before") - 1).withColumn("block", F.floor(F.col("n") / block))
     slot = F.col("slots")[(F.col("block") - first_block).cast("int")]
     return numbered.select("row", "block", slot.alias("slot"), (F.col("n") - F.col("block") * block).cast("int").alias("in_block"))
