@@ -35,7 +35,7 @@ RECALL = 0.9999
 SHARED = 3
 #: Classes and n-grams of a block, about.
 BLOCK, BLOCK_NGRAMS = 512, 1_000_000
-#: N-gram sets with the most documents, and units with the most classes, that go to every task where documents and classes meet them.
+#: N-gram sets with the most documents, and buckets and units with the most classes, that go to every task where documents and classes meet them.
 HOT = 1024
 #: Columns of a block's table of classes by n-grams that are multiplied at once.
 COLUMNS = 2048
@@ -169,8 +169,9 @@ def groups(documents: DataFrame, n_words: int = WORDS, numerator: int = NUMERATO
     classes = classes_of(documents, bands, rows)
 
     met = classes.select("node", F.explode("bands").alias("bucket"))
-    buckets = met.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    met = met.join(buckets, "bucket").checkpoint()
+    buckets = met.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("rows")).where("rows > 1").checkpoint()
+    # The buckets with the most classes go to every task, so that their classes meet them in many.
+    met = spread_join(met, buckets.select("bucket", "leader"), "bucket", buckets.orderBy(F.desc("rows"), "bucket").limit(HOT)).where("leader is not null").checkpoint()
     follows = met.groupBy("node", "leader").agg(F.count("*").alias("n"))
     clusters = components(follows.select(F.col("node").alias("a"), F.when(F.col("n") >= SHARED, F.col("leader")).otherwise(F.col("node")).alias("b")).distinct()).withColumnRenamed("component", "cluster").checkpoint()
 
