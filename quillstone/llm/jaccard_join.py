@@ -179,8 +179,9 @@ def groups(documents: DataFrame, n_words: int = WORDS, numerator: int = NUMERATO
     sized = clusters.join(classes.select("node", "n"), "node")
     of_cluster = sized.select(F.lit(False).alias("bucket"), F.col("cluster").alias("unit"), "cluster", "node", "n")
     placed = met.select("bucket", "node").join(sized, "node")
-    several = placed.groupBy("bucket").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a <> b").select("bucket")
-    of_bucket = placed.join(several, "bucket").select(F.lit(True).alias("_b"), F.col("bucket").alias("unit"), "cluster", "node", "n").withColumnRenamed("_b", "bucket")
+    several = placed.groupBy("bucket").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b"), F.count("*").alias("rows")).where("a <> b")
+    shared = spread_join(placed, several.select("bucket", "a"), "bucket", several.orderBy(F.desc("rows"), "bucket").limit(HOT), F.pmod(F.xxhash64("node"), F.lit(1_000_003))).where("a is not null")
+    of_bucket = shared.select(F.lit(True).alias("_b"), F.col("bucket").alias("unit"), "cluster", "node", "n").withColumnRenamed("_b", "bucket").checkpoint()
     members = of_cluster.unionByName(of_bucket)
     sizes = members.groupBy("bucket", "unit").agg(F.count("*").alias("rows"), F.sum("n").alias("ngrams")).where("rows > 1").checkpoint()
     n_rows, n_grams = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
