@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extract, jaccard_join, language_id, mixing, packing, quality_rules, secret_scan, substring_dedup, topk_search, url_filter
+from . import divergence_audit, html_extract, jaccard_join, language_id, mixing, packing, quality_rules, secret_scan, sharding, substring_dedup, token_alignment, topk_search, url_filter
 
 QUERIES = {
     "op1_topk_search": topk_search.op1_topk_search,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_html_extract": html_extract.op10_html_extract,
+    "op11_divergence_audit": divergence_audit.op11_divergence_audit,
+    "op12_sharding": sharding.op12_sharding,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 ORACLE_SQL = {
     "op1_topk_search": topk_search.ORACLE,
     "op2_quality_rules": quality_rules.ORACLE,
     "op6_secret_scan": secret_scan.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
+    "op11_divergence_audit": divergence_audit.ORACLE,
 }
