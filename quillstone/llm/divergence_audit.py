@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Tables, table, with_code
@@ -96,11 +96,11 @@ def kept_entries(counted: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     return by_term.select("lang", "term", F.explode("own").alias("x")).select("lang", "term", "x.source", "x.n")
 
 
-def dense(term: list[bytes], source: list[str], n: list[int]) -> tuple[np.ndarray, list[str], np.ndarray]:
+def dense(term: list[bytes], source: list[str], n: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sorted terms, the sorted groups, and the counts of each group (rows) by the id of the term."""
-    given = np.array(term, object)
-    dictionary, groups = np.unique(given), sorted(set(source))
-    ids, own, n_ = np.searchsorted(dictionary, given), np.searchsorted(groups, source), np.array(n, np.int64)
+    given, from_ = np.array(term, object), np.array(source, object)
+    dictionary, groups = np.unique(given), np.unique(from_)
+    ids, own, n_ = np.searchsorted(dictionary, given), np.searchsorted(groups, from_), np.array(n, np.int64)
     out = np.empty((len(groups), len(dictionary)), np.int64)
     for g in range(len(groups)):
         of = own == g
@@ -118,7 +118,7 @@ def chunks(entries: DataFrame) -> DataFrame:
 
         def cut() -> pa.RecordBatch:
             dictionary, own, matrix = dense(term, source, n)
-            values = [[lang], [list(dictionary)], [own], [matrix.tobytes()], [matrix.sum(axis=1).tolist()]]
+            values = [[lang], [list(dictionary)], [list(own)], [matrix.tobytes()], [matrix.sum(axis=1).tolist()]]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
 
         for batch in batches:
@@ -158,48 +158,74 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // q
 
 
-def scored(joined: DataFrame, top: int = TOP) -> DataFrame:
-    """Rows (lang, source, part, item, value) of chunks with size (terms of the language) and all (its groups with their totals).
+def best(own: list[tuple[int, bytes]], top: int) -> list[tuple[int, bytes]]:
+    """(value, item) of the highest values; equal ones by the bytes of their items."""
+    return sorted(own, key=lambda x: (-x[0], x[1]))[:top]
 
-    Values of a pair are those of the task's chunks and have still to be summed up; of terms each chunk gives the top ones.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: dict[str, tuple[list[str], np.ndarray]] = {}
+PART = "lang string, source string, pairs array<long>, items array<binary>, values array<long>"
+_NAMES, _KINDS = [x.split()[0] for x in PART.split(", ")], [pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64())]
+
 
-        def rows(lang: str, source: str, part: str, items: list[bytes], values: np.ndarray) -> pa.RecordBatch:
-            k = len(items)
-            return pa.RecordBatch.from_arrays([pa.array([lang] * k), pa.array([source] * k), pa.array([part] * k), pa.array(items, pa.binary()), pa.array(values, pa.int64())], names=names)
+def _part(lang: str, source: str, pairs: np.ndarray, own: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    values = [lang], [source], [pairs.tolist()], [[item for _, item in own]], [[value for value, _ in own]]
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, _KINDS, strict=True)], names=_NAMES)
 
-        def pair_rows(lang: str, groups: list[str], g: int, values: np.ndarray) -> pa.RecordBatch:
-            return rows(lang, groups[g], "pair", [x.encode() for i, x in enumerate(groups) if i != g], np.delete(values, g))
 
+def scored(joined: DataFrame, top: int = TOP) -> DataFrame:
+    """A row for each group and task: pairs (its divergence from each group of the language, in their order) and the top terms, of the task's chunks alone.
+
+    For chunks with size (terms of the language) and all (its groups with their totals).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[list[str], np.ndarray, list[list[tuple[int, bytes]]]]] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 groups, totals = [x["source"] for x in row["all"]], [x["n"] for x in row["all"]]
-                terms_, lang = row["terms"], row["lang"]
+                terms_, lang, many = row["terms"], row["lang"], len(row["all"]) ** 2 > HELD_PAIRS
                 n = np.zeros((len(groups), len(terms_)), np.int64)
-                n[np.searchsorted(groups, row["sources"])] = np.frombuffer(row["counts"], np.int64).reshape(-1, len(terms_))
+                n[np.searchsorted(np.array(groups, object), np.array(row["sources"], object))] = np.frombuffer(row["counts"], np.int64).reshape(-1, len(terms_))
                 p = np.array([shares(own, total, row["size"]) for own, total in zip(n, totals, strict=True)])
                 q = shares(n.sum(axis=0), sum(totals), row["size"])
-                held = pairs.setdefault(lang, (groups, np.zeros((len(groups), len(groups)), np.int64)))[1] if len(groups) ** 2 <= HELD_PAIRS else None
+                if not many:
+                    _, sums, tops = held.setdefault(lang, (groups, np.zeros((len(groups), len(groups)), np.int64), [[] for _ in groups]))
                 for g, own in enumerate(p):
-                    values = divergence(own, p).sum(axis=1)
-                    if held is not None:
-                        held[g] += values
-                    elif len(groups) > 1:
-                        yield pair_rows(lang, groups, g, values)
+                    pairs = divergence(own, p).sum(axis=1)
                     ids = np.flatnonzero((n[g] > 0) & (own > q))
-                    if len(ids):
-                        f = divergence(own[ids], q[ids])
-                        best = np.lexsort((ids, -f))[:top]
-                        yield rows(lang, groups[g], "term", [terms_[i] for i in ids[best]], f[best])
-        for lang, (groups, sums) in pairs.items():
-            for g in range(len(groups) if len(groups) > 1 else 0):
-                yield pair_rows(lang, groups, g, sums[g])
+                    f = divergence(own[ids], q[ids])
+                    first = np.lexsort((ids, -f))[:top]
+                    found = [(value, terms_[i]) for value, i in zip(f[first].tolist(), ids[first].tolist(), strict=True)]
+                    if many:
+                        yield _part(lang, groups[g], pairs, found)
+                    else:
+                        sums[g] += pairs
+                        tops[g] = best(tops[g] + found, top)
+        for lang, (groups, sums, tops) in held.items():
+            for g, source in enumerate(groups):
+                yield _part(lang, source, sums[g], tops[g])
+
+    return joined.select("lang", "terms", "sources", "counts", "size", "all").mapInArrow(run, PART)
+
+
+def merged(parts: DataFrame, top: int = TOP) -> DataFrame:
+    """A row for each group: the sums of its pairs and its top terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, pairs, own = None, np.zeros(0, np.int64), []
+        for batch in batches:
+            for row in batch.to_pylist():
+                more, found = np.array(row["pairs"], np.int64), list(zip(row["values"], row["items"], strict=True))
+                if (row["lang"], row["source"]) == current:
+                    pairs, own = pairs + more, best(own + found, top)
+                    continue
+                if current is not None:
+                    yield _part(*current, pairs, own)
+                current, pairs, own = (row["lang"], row["source"]), more, found
+        if current is not None:
+            yield _part(*current, pairs, own)
 
-    names = ["lang", "source", "part", "item", "value"]
-    return joined.select("lang", "terms", "sources", "counts", "size", "all").mapInArrow(run, "lang string, source string, part string, item binary, value long")
+    return parts.repartition("lang", "source").sortWithinPartitions("lang", "source").mapInArrow(run, PART)
 
 
 def audit(documents: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
@@ -218,15 +244,17 @@ def audit(documents: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) ->
 
     dealt = every.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
     joined = chunked.withColumn("deal", F.pmod(F.xxhash64(F.col("terms")[0]), F.lit(DEALT)).cast("int")).join(dealt, ["lang", "deal"])
-    values = tables.kept("values", scored(joined, top))
-
-    others = lambda x: F.filter("all", lambda o: o["source"] != x)
-    none = every.where("size = 0").select("lang", "all", F.explode("all").alias("own")).select("lang", F.col("own.source").alias("source"), F.explode(others(F.col("own.source"))).alias("other"))
-    pairs = values.where("part = 'pair'").select("lang", "source", "item", "value").union(none.select("lang", "source", F.col("other.source").cast("binary"), F.lit(0).cast("long")))
-    pairs = pairs.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
-    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    ranked = lambda rows, part: rows.select("lang", "source", F.lit(part).alias("part"), F.col("item").cast("string").alias("item"), "value", F.row_number().over(order).alias("rank"))
-    return ranked(pairs, "pair").union(ranked(values.where("part = 'term'"), "term").where(F.col("rank") <= top))
+    found = merged(scored(joined, top), top)
+
+    # A row for each group and the groups of its language; without terms, all its pairs are 0.
+    own = every.select("lang", "all", F.explode("all.source").alias("source")).join(found, ["lang", "source"], "left")
+    value = lambda i: F.coalesce(F.get("pairs", i), F.lit(0).cast("long"))
+    pairs = F.filter(F.transform("all", lambda x, i: F.struct((-value(i)).alias("less"), x["source"].alias("item"))), lambda x: x["item"] != F.col("source"))
+    terms_ = F.transform(F.arrays_zip("values", "items"), lambda x: F.struct((-x["values"]).alias("less"), x["items"].cast("string").alias("item")))
+    none = F.array().cast("array<struct<less: bigint, item: string>>")
+    each = own.select("lang", "source", F.explode(F.array(F.struct(F.lit("pair").alias("part"), F.array_sort(pairs).alias("all")), F.struct(F.lit("term").alias("part"), F.coalesce(terms_, none).alias("all")))).alias("x"))
+    ranked = each.select("lang", "source", "x.part", F.posexplode("x.all").alias("at", "y"))
+    return ranked.select("lang", "source", "part", F.col("y.item").alias("item"), (-F.col("y.less")).alias("value"), (F.col("at") + 1).alias("rank"))
 
 
 def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
