@@ -57,9 +57,10 @@ def _path(spark: SparkSession, folder: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def exists(spark: SparkSession, folder: str) -> bool:
-    path, system = _path(spark, folder)
-    return system.exists(path)
+def any_of(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path matches."""
+    path, system = _path(spark, pattern)
+    return len(system.globStatus(path) or []) > 0
 
 
 def remove(spark: SparkSession, folder: str, at_exit: bool = False) -> None:
@@ -71,6 +72,13 @@ def remove(spark: SparkSession, folder: str, at_exit: bool = False) -> None:
         system.delete(path, True)
 
 
+def rename(spark: SparkSession, folder: str, to: str) -> None:
+    """In one step, as far as the file system has one."""
+    path, system = _path(spark, folder)
+    if not system.rename(path, _path(spark, to)[0]):
+        raise OSError(f"{folder} could not become {to}")
+
+
 class Tables:
     """Tables in the shared folder; what led to them is free to go, so lost executors cost one step and disk stays bounded. What is left goes when the driver ends."""
 

@@ -4,7 +4,12 @@ Every version of a text is addressed by its SHA-256. The ledger holds a row for
 scanned, with the spans found, empty ones too. A run scans each blob once, and only for the rule versions that the ledger
 does not have for it; then findings are joined back to all paths (rows) that hold the blob. All is DataFrame functions:
 the gaps that split() leaves between the matches give their places. The registered query and the pipeline keep a ledger
-for each folder of tables in the session's shared folder: a second run over the same texts scans nothing.
+for each folder of tables in the folder that the setting spark.quillstone.ledger names, for all sessions to come; where
+it is unset, in this session's shared folder. A second run over the same texts scans nothing.
+
+A run writes its rows to a folder of its own and commits it by one rename, so what a run that died has left is never read,
+and no success mark is asked for. Runs at once over one ledger may both scan a blob; a span that is there twice counts once.
+The ledger is written when findings() is called, not when its result is read.
 
 Defined results: a null text is an empty one, without spans. Matches of a rule do not overlap, leftmost first; those that
 are too short are dropped. Spans of different rules may overlap. Repeated rows get the same findings each. An empty table
@@ -15,11 +20,12 @@ Texts are scanned whole, however long.
 from __future__ import annotations
 
 from hashlib import sha256
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import exists, let, shared_folder, spread_join, table
+from .common import any_of, let, remove, rename, shared_folder, spread_join, table
 
 ASSIGN = """(?i:(password|passwd|secret|token|api_?key))["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 PEM_HEAD = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
@@ -48,6 +54,8 @@ BASE = 3
 HOT, HOT_SPANS = 1024, 256
 SPAN = "array<struct<start: int, kind: int, end: int>>"
 MASK = "[SECRET]"
+#: Names a folder that the driver and all executors share and that outlives the session, for the ledgers.
+SETTING = "spark.quillstone.ledger"
 
 
 def keys(rules=RULES) -> list[str]:
@@ -79,15 +87,22 @@ class Ledger:
         self.spark, self.folder = spark, folder
 
     @classmethod
-    def of_tables(cls, spark: SparkSession, sf_dir: str) -> Ledger:
-        """This session's ledger for the tables in a folder."""
-        return cls(spark, f"{shared_folder(spark)}/secret-ledger/{sha256(sf_dir.encode()).hexdigest()}")
+    def of_tables(cls, spark: SparkSession, sf_dir: str, folder: str | None = None) -> Ledger:
+        """The ledger for the tables in a folder: under the given folder, else that of the setting, else this session's own."""
+        base = folder or spark.conf.get(SETTING, None) or f"{shared_folder(spark)}/secret-ledger"
+        return cls(spark, f"{base}/{sha256(sf_dir.encode()).hexdigest()}")
 
     def rows(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.folder) if exists(self.spark, f"{self.folder}/_SUCCESS") else None
+        """Of all committed runs."""
+        runs = f"{self.folder}/run-*"
+        return self.spark.read.parquet(runs) if any_of(self.spark, runs) else None
 
     def add(self, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self.folder)
+        run = uuid4().hex
+        pending = f"{self.folder}/_pending-{run}"
+        remove(self.spark, pending, at_exit=True)
+        rows.write.parquet(pending)
+        rename(self.spark, pending, f"{self.folder}/run-{run}")
 
 
 def addressed(documents: DataFrame, *keep: str) -> DataFrame:
@@ -120,10 +135,12 @@ def ledger_rows(scanned: DataFrame, rules=RULES) -> DataFrame:
 
 
 def found_in(ledger: DataFrame, rules=RULES) -> DataFrame:
-    """blob, spans (sorted by start and kind) and paths for the blobs with findings of these rule versions; those of older ones stay in the ledger."""
+    """blob, spans (sorted by start and kind) and paths for the blobs with findings of these rule versions; those of older ones stay in the ledger.
+
+    A rule's spans of a blob do not overlap, so equal ones are of a pair that the ledger has twice."""
     own = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), kind_of(rules).alias("kind"), s["end"].alias("end")))
     known = ledger.where(F.col("rule").isin(keys(rules)) & (F.size("spans") > 0)).select("blob", own.alias("spans"), "paths")
-    return known.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.max("paths").alias("paths"))
+    return known.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.max("paths").alias("paths"))
 
 
 def findings(documents: DataFrame, ledger: DataFrame | Ledger | None = None, rules=RULES, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -123,6 +123,42 @@ def test_registered_query_scans_a_table_once(spark, tmp_path):
     assert out[1000] == "chat:0:19" and out[1001] == "assign:0:16" and ledger.rows().count() == before + 2 * len(secret_scan.RULES)
 
 
+def _spans(spark, rows, ledger):
+    return {x["row"]["doc_id"]: x["spans"] for x in secret_scan.findings(rows, ledger).collect()}
+
+
+def test_ledger_of_runs_that_die_or_meet(spark, tmp_path):
+    rows = docs(spark, ["password=abcdef token=ghijkl", *SECRETS, None])
+    whole = _spans(spark, rows, None)
+    found = secret_scan.ledger_rows(secret_scan.scan(rows))
+    # Died while writing: rows without a commit; nothing of them is read.
+    dead = secret_scan.Ledger(spark, str(tmp_path / "dead"))
+    found.write.parquet(f"{dead.folder}/_pending-x")
+    assert dead.rows() is None and _spans(spark, rows, dead) == whole
+    # Two at once: both have scanned all blobs and both commit.
+    met = secret_scan.Ledger(spark, str(tmp_path / "met"))
+    met.add(found)
+    met.add(found)
+    assert met.rows().count() == 2 * found.count() and _spans(spark, rows, met) == whole
+    # A cluster that writes no success marks.
+    for mark in tmp_path.glob("met/*/_SUCCESS"):
+        mark.unlink()
+    assert secret_scan.scan(rows, met.rows()).count() == 0 and _spans(spark, rows, met) == whole
+    # Without a Ledger: a frame that has a pair twice.
+    assert _spans(spark, rows, found.unionByName(found)) == whole
+
+
+def test_ledger_outlives_its_session(spark, tmp_path):
+    rows = docs(spark, SECRETS)
+    other = spark.newSession()
+    other.conf.set(secret_scan.SETTING, str(tmp_path))
+    first = secret_scan.Ledger.of_tables(other, "tables")
+    whole = _spans(spark, rows, first)
+    again = secret_scan.Ledger.of_tables(spark, "tables", str(tmp_path))
+    assert again.folder == first.folder and secret_scan.scan(rows, again.rows()).count() == 0 and _spans(spark, rows, again) == whole
+    assert secret_scan.Ledger.of_tables(spark, "tables").folder != first.folder
+
+
 def test_findings_of_hot_blobs(spark, tmp_path, monkeypatch):
     """Blobs that go to every task and those that don't give the same."""
     rows = docs(spark, ["password=abcdef"] * 300 + ["clean"] * 200 + SECRETS + [None])
