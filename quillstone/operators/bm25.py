@@ -29,13 +29,22 @@ def bm25(queries: DataFrame, source: DataFrame | index.Stored, key: str = "id",
     has the length of its document, so lengths are not joined. A batch of queries is counted up to MOST terms; it and what has
     a row for each of its terms are broadcast if it has no more.
     """
-    near = F.broadcast if queries.limit(MOST + 1).count() <= MOST else lambda rows: rows
-    asked = near(queries.select("term").distinct())
+    asked = _near(queries)(queries.select("term").distinct())
     if isinstance(source, index.Stored):
         found, totals = source.postings(asked), source.statistics()
     else:
         tokens = source.select(key, F.filter("words", lambda w: w.isNotNull()).alias("words"))
         found, totals = index.postings(tokens, key, asked), index.statistics(tokens)
+    return ranked(queries, found, totals, key, k1, b)
+
+
+def _near(queries: DataFrame):
+    return F.broadcast if queries.limit(MOST + 1).count() <= MOST else lambda rows: rows
+
+
+def ranked(queries: DataFrame, found: DataFrame, totals: DataFrame, key: str = "id", k1: float = K1, b: float = B) -> DataFrame:
+    """The same for postings(term, key, length, tf) of the queries' terms and a row of n_docs and avg_length."""
+    near = _near(queries)
     df = index.document_frequency(found)
     weights = df.join(F.broadcast(totals)).select("term", "avg_length", idf(F.col("n_docs"), F.col("df")).alias("weight"))  # one row
     terms = queries.groupBy("qid", "clause", "term").agg(F.count("*").alias("times"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import _exists
+from ..sources import _exists, _renamed, shared_folder
 
 #: Code points that combine with a letter: Arabic vowel marks.
 MARKS = "[\\u064B-\\u065F\\u0670]"
@@ -80,12 +83,21 @@ class Stored:
     what is older than its key's last change is left out when the index is read. compacted() writes all of it anew.
     """
 
+    #: Columns of a posting beside its term, key and length.
+    of_posting = ("tf",)
+
     def __init__(self, spark: SparkSession, path: str, key: str = "id"):
         self.spark, self.path, self.key = spark, path, key
 
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    def _postings(self, tokens: DataFrame) -> DataFrame:
+        return postings(tokens, self.key)
+
+    def _lengths(self, tokens: DataFrame) -> DataFrame:
+        return lengths(tokens, self.key)
+
     def exists(self) -> bool:
         return _exists(self.spark, f"{self.path}/lengths")
 
@@ -94,12 +106,12 @@ class Stored:
         stamp = lambda rows: rows.withColumn("version", F.lit(version).cast("long"))
         gone = tokens.select(self.key) if removed is None else tokens.select(self.key).union(removed.select(self.key))
         put = lambda rows, name, *by: rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", *by).parquet(f"{self.path}/{name}")
-        own = stamp(postings(tokens, self.key)).withColumn("slot", _slot())
+        own = stamp(self._postings(tokens)).withColumn("slot", _slot())
         # By ranges of term and key, so that a frequent term makes several files, not one large task.
         put(own.repartitionByRange("slot", "term", self.key).sortWithinPartitions("slot", "term"), "postings", "slot")
         if version:
             put(stamp(gone.distinct()), "changed")
-        put(stamp(lengths(tokens, self.key)), "lengths")
+        put(stamp(self._lengths(tokens)), "lengths")
 
     def _live(self, rows: DataFrame) -> DataFrame:
         """Rows that are not older than the last change of their key."""
@@ -109,31 +121,70 @@ class Stored:
         return rows.join(last, (F.col(self.key) == F.col("_key")) & (F.col("version") < F.col("_last")), "left_anti")
 
     def postings(self, asked: DataFrame | None = None) -> DataFrame:
-        """term, key, length and tf; asked(term): only the folders of these terms are read."""
+        """term, key, length and tf (of_posting in general); asked(term): only the folders of these terms are read."""
         rows = self._read("postings")
         if asked is not None:
             slots = [r[0] for r in asked.select(_slot()).distinct().collect()]  # no more than SLOTS numbers
             rows = rows.where(F.col("slot").isin(slots)).join(asked, "term", "left_semi")
-        return self._live(rows).select("term", self.key, "length", "tf")
+        return self._live(rows).select("term", self.key, "length", *self.of_posting)
 
     def statistics(self) -> DataFrame:
         return self._live(self._read("lengths")).agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
 
     def compacted(self, path: str) -> Stored:
         """This index without what has gone, in another folder."""
-        new = Stored(self.spark, path, self.key)
+        new = type(self)(self.spark, path, self.key)
         rows = self.postings().withColumn("version", F.lit(0).cast("long")).withColumn("slot", _slot())
         rows.repartitionByRange("slot", "term", self.key).sortWithinPartitions("slot", "term").write.partitionBy("version", "slot").parquet(f"{path}/postings")
         self._live(self._read("lengths")).select(self.key, "length", F.lit(0).cast("long").alias("version")).write.partitionBy("version").parquet(f"{path}/lengths")
         return new
 
 
-def write_index(tokens: DataFrame, path: str, key: str = "id") -> Stored:
-    stored = Stored(tokens.sparkSession, path, key)
+class Fielded(Stored):
+    """An index of several fields, with the places of a word in each; tokens are those of placed(). A length is that of all fields."""
+
+    of_posting = ("field", "places")
+
+    def _postings(self, tokens: DataFrame) -> DataFrame:
+        fields = tokens.select(self.key, _length().alias("length"), F.posexplode("words").alias("field", "own"))
+        each = fields.select(self.key, "length", "field", F.posexplode("own").alias("place", "term"))
+        return each.groupBy("term", self.key, "length", "field").agg(F.array_sort(F.collect_list("place")).alias("places"))
+
+    def _lengths(self, tokens: DataFrame) -> DataFrame:
+        return tokens.select(self.key, _length().alias("length"))
+
+
+def _length() -> Column:
+    return F.aggregate("words", F.lit(0).cast("long"), lambda n, own: n + F.size(own))
+
+
+def placed(passages: DataFrame, *columns: str, key: str = "id", strip_marks: bool = False, fold: bool = False) -> DataFrame:
+    """key and the words of each indexed column, in an array for each."""
+    return passages.select(key, F.array(*[words(F.col(c), strip_marks, fold) for c in columns]).alias("words"))
+
+
+def write_index(tokens: DataFrame, path: str, key: str = "id", kind: type[Stored] = Stored) -> Stored:
+    stored = kind(tokens.sparkSession, path, key)
     stored.add(tokens, 0)
     return stored
 
 
+def session_index(tokens: DataFrame, name: str, key: str = "id", kind: type[Stored] = Stored) -> Stored:
+    """The index of that name in this session's shared folder; the first call writes it, aside, and puts it there by a rename.
+
+    The tables behind a name must not change during the session.
+    """
+    spark = tokens.sparkSession
+    base = f"{shared_folder(spark)}/indexes"
+    own = kind(spark, f"{base}/{sha256(name.encode()).hexdigest()}", key)
+    if not own.exists():
+        aside = f"{base}/_{uuid4().hex}"
+        write_index(tokens, aside, key, kind)
+        if not _renamed(spark, aside, own.path) and not own.exists():
+            raise OSError(f"{aside} could not become {own.path}")
+    return own
+
+
 def changed_postings(post: DataFrame, removed: DataFrame, added: DataFrame, key: str = "id") -> DataFrame:
     """Postings after documents have gone (removed(key)) and others have come or been replaced (added(key, words))."""
     gone = removed.select(key).union(added.select(key)).distinct()

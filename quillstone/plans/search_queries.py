@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import bm25 as B
-from ..operators import index, search
+from ..operators import index, phrases, search
 from ..sources import literal_rows, table
 from .seeds import sql_rows
 
@@ -119,6 +119,34 @@ def kitab_search_by_authority(spark, d):
     return found.select("qid", F.col("id").alias("doc_id"), "level", "combined_score", F.col("position").cast("long").alias("position"))
 
 
+def stored_kitab_search(spark, d):
+    """kitab_search by a stored index, which the first call in a session writes."""
+    stored = index.session_index(index.tokenized(kitab_passages(spark, d), "text"), f"kitab {d}")
+    return _kitab(stored=stored)(spark, d)
+
+
+# (qid, text); the same as (qid, clause, field or None, words), for SQL.
+PHRASES = [(1, '"the and"'), (2, '"and the"'), (3, '"of the" is'), (4, '"le de" OR "the is the" OR und die'), (5, '"the the the"'), (6, '"the the" "the the"'), (7, '"nosuchword the"'), (8, '""'), (9, "The, AND?")]
+PHRASE_ITEMS = [
+    (1, 0, None, "the and"), (2, 0, None, "and the"), (3, 0, None, "of the"), (3, 0, None, "is"), (4, 0, None, "le de"), (4, 1, None, "the is the"), (4, 2, None, "und"), (4, 2, None, "die"),
+    (5, 0, None, "the the the"), (6, 0, None, "the the"), (6, 0, None, "the the"), (7, 0, None, "nosuchword the"), (9, 0, None, "the"), (9, 0, None, "and"),
+]
+FIELDED = [(1, "src7"), (2, "source:src3 the"), (3, "text:src7"), (4, 'category:de OR source:"src5"'), (5, 'text:"of the" category:en'), (6, "category:de source:src1 OR nofield:the"), (7, "en")]
+FIELDED_ITEMS = [
+    (1, 0, None, "src7"), (2, 0, 1, "src3"), (2, 0, None, "the"), (3, 0, 0, "src7"), (4, 0, 2, "de"), (4, 1, 1, "src5"), (5, 0, 0, "of the"), (5, 0, 2, "en"),
+    (6, 0, 2, "de"), (6, 0, 1, "src1"), (6, 1, None, "nofield"), (6, 1, None, "the"), (7, 0, None, "en"),
+]
+FIELDS = ("text", "source", "category")
+
+
+def _phrases(queries):
+    def run(spark, d):
+        stored = index.session_index(index.placed(passages(spark, d), *FIELDS), f"fields {d}", kind=index.Fielded)
+        return _rounded(phrases.phrase_search(literal_rows(spark, queries, "qid int, text string"), stored, FIELDS))
+
+    return run
+
+
 def second_search_passages(spark, d):
     """The second search's hits as one text a query."""
     n = F.substring("source", 4, 9).cast("int")
@@ -151,6 +179,7 @@ QUERIES = {
     "token_stats": token_stats, "doc_freq_topk": doc_freq_topk, "bm25_or": bm25_or, "bm25_and": bm25_and, "bm25_dnf": bm25_dnf,
     "bm25_candidates_by_authority": bm25_candidates_by_authority, "authority_rerank": _reranked(0.55), "rerank_alpha0": _reranked(0.0), "rerank_alpha1": _reranked(1.0),
     "authority_filtered_search": authority_filtered_search, "multi_query_search": multi_query_search, "case_ordered_topk": case_ordered_topk, "kitab_search": _kitab(), "kitab_search_category": _kitab(category="de", min_authority=2, limit=3), "kitab_search_by_authority": kitab_search_by_authority,
+    "stored_kitab_search": stored_kitab_search, "phrase_search": _phrases(PHRASES), "fielded_search": _phrases(FIELDED),
     "second_search_passages": second_search_passages, "domain_detect": domain_detect,
     "corpus_stats_total": corpus_stats_total, "corpus_stats_by_category": corpus_stats_by_category, "corpus_stats_by_authority": corpus_stats_by_authority,
 }
@@ -238,7 +267,26 @@ _SECOND = f"""{_q(_ORDERED).replace("sum(cl.s), 6)", "sum(cl.s), 9)")}, g AS (SE
 best AS (SELECT qid, source, category, text, o, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN school = 'shafii' THEN 0 ELSE 1 END, CASE WHEN o = 6 THEN 9 ELSE o END, rank, doc_id) AS position FROM ranks JOIN g USING (doc_id) WHERE length(text) >= 40 QUALIFY position <= 3)
 SELECT qid, string_agg('[' || source || ' — ' || category || ']' || chr(10) || substr(text, 1, 400), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY position) AS reasoning, CASE WHEN arg_min(o, position) < 4 THEN 'medium' ELSE 'low' END AS confidence FROM best GROUP BY qid"""
 
+
+
+def _phrases_sql(items: list) -> str:
+    """A phrase is sought at every place of each field."""
+    rows = ", ".join(f"({q}, {c}, {'NULL' if f is None else f}, '{f}:{p}', {p.split()})" for q, c, f, p in items)
+    cut = lambda column: rf"regexp_extract_all(lower(coalesce({column}, '')), '[\p{{L}}\p{{N}}]+')"
+    weight = "ln((nd - df + 0.5) / (df + 0.5))"
+    return f"""WITH q(qid, clause, fd, term, ph) AS (VALUES {rows}),
+f AS ({' UNION ALL '.join(f"SELECT doc_id, {i} AS field, {cut(c)} AS w FROM documents" for i, c in enumerate(("text", "source", "lang")))}),
+len AS (SELECT doc_id, sum(len(w)) AS n FROM f GROUP BY ALL), st AS (SELECT count(*) AS nd, sum(n) / count(*) AS av FROM len),
+post AS (SELECT term, doc_id, sum(len(list_filter(range(1, len(w) - len(ph) + 2), lambda i: w[i:i + len(ph) - 1] = ph))) AS tf FROM (SELECT DISTINCT fd, term, ph FROM q) JOIN f ON fd IS NULL OR fd = field GROUP BY ALL HAVING tf > 0),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY ALL),
+sc AS (SELECT term, doc_id, (CASE WHEN {weight} <= 0 THEN 1e-6 ELSE {weight} END) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len.n / av)) AS s FROM post JOIN df USING (term) JOIN len USING (doc_id), st),
+need AS (SELECT qid, clause, count(DISTINCT term) AS needed FROM q GROUP BY ALL),
+cl AS (SELECT qid, clause, doc_id, count(DISTINCT term) AS n, sum(s) AS s FROM q JOIN sc USING (term) GROUP BY ALL)
+SELECT qid, doc_id, round(-sum(cl.s), 6) AS rank FROM cl JOIN need USING (qid, clause) WHERE cl.n = needed GROUP BY ALL"""
+
+
 ORACLE_SQL = {
+    "stored_kitab_search": _kitab_sql(5), "phrase_search": _phrases_sql(PHRASE_ITEMS), "fielded_search": _phrases_sql(FIELDED_ITEMS),
     "kitab_search": _kitab_sql(5), "kitab_search_category": _kitab_sql(3, "category = 'de' AND level >= 2"), "kitab_search_by_authority": _kitab_sql(5, "level <= 3"), "second_search_passages": _SECOND,
     "token_stats": f"WITH {_TOK}, t AS (SELECT lang AS category, term FROM tok JOIN documents USING (doc_id)), n AS (SELECT lang AS category, count(*) AS n_docs FROM documents GROUP BY ALL) SELECT category, count(*) AS n_tokens, count(DISTINCT term) AS n_terms, any_value(n_docs) AS n_docs FROM t JOIN n USING (category) GROUP BY category",
     "doc_freq_topk": f"WITH {_TOK} SELECT term, count(DISTINCT doc_id) AS df FROM tok GROUP BY term ORDER BY df DESC, term LIMIT 50",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,24 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
+def _renamed(spark: SparkSession, path: str, to: str) -> bool:
+    """Whether the folder has got the new name, which must be free."""
+    old, new = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, to))
+    system = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return not system.exists(new) and system.rename(old, new)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """This session's own folder under spark.checkpoint.dir. Only a local session may leave that unset; it gets a folder of its own."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
 def bounded(rows: DataFrame, most: int = 100_000) -> DataFrame:
     """rows, marked for a broadcast if there are at most so many; as they are otherwise. Counts no further than that."""
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows

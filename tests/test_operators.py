@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillstone import sources, streaming
 from quillstone.functions import text
-from quillstone.operators import answer, bm25, evidence, gateway, html, index, knowledge, reasoning, search
+from quillstone.operators import answer, bm25, evidence, gateway, html, index, knowledge, phrases, reasoning, search
 
 
 def column(spark, values, expression, kind="string"):
@@ -191,6 +191,23 @@ def test_stored_index_reads_only_the_folders_of_its_terms(spark, data, tmp_path)
     assert "slot#" in plan.split("PartitionFilters: [")[1].split("]")[0] and "regexp" not in plan
 
 
+def test_phrases_and_fields(spark, tmp_path):
+    docs = [(1, "a b c a b", "x y"), (2, "b a", "a"), (3, None, "a b"), (4, "a. B! a, a", None), (5, "", ""), (6, "b", "x")]
+    rows = spark.createDataFrame(docs, "id int, text string, title string")
+    stored = index.write_index(index.placed(rows, "text", "title"), str(tmp_path / "i"), kind=index.Fielded)
+    fields = ("text", "title")
+    asked = {'"a b"': {1, 3, 4}, '"b a"': {2, 4}, 'text:"a b"': {1, 4}, "title:a": {2, 3}, '"a b a"': {4}, '"a a"': {4}, '"b c" x': {1}, "x b": {1, 6}, '"y a" OR title:x': {1, 6}, '"b x"': set(), "": set(), '"': set(), "no:b": set(), "OR": set(), None: set()}
+    queries = spark.createDataFrame(list(enumerate(asked)), "qid int, text string")
+    out = phrases.phrase_search(queries, stored, fields).collect()
+    assert {q: {r["id"] for r in out if r["qid"] == i} for i, q in enumerate(asked)} == asked
+    places = {r["id"]: r["tf"] for r in phrases.phrase_postings(spark.createDataFrame([("t", None, ["a", "b"])], "term string, field int, words array<string>"), stored).collect()}
+    assert places == {1: 2, 3: 1, 4: 1}
+    # A delta: a changed and a removed document; the compacted index says the same.
+    stored.add(index.placed(spark.createDataFrame([(3, "b a", None)], rows.schema), *fields), 1, spark.createDataFrame([(1,)], "id int"))
+    for s in (stored, stored.compacted(str(tmp_path / "j"))):
+        assert isinstance(s, index.Fielded) and {r["id"] for r in phrases.phrase_search(queries.where("qid < 2"), s, fields).collect()} == {2, 3, 4}
+
+
 def test_folded_letters(spark):
     rows = spark.createDataFrame([(1, "Élève à l'école"), (2, "eleve"), (3, None)], "id int, text string")
     folded = {r["id"]: r["words"] for r in index.tokenized(rows, "text", fold=True).collect()}
