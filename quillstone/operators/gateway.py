@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import deque
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,26 +28,33 @@ def micros(ts: str | Column = "ts") -> Column:
 
 
 def sliding_log(events: DataFrame, most: int, window_seconds: float, key: str = "user_id", ts: str = "ts", event: str = "event_id") -> DataFrame:
-    """event, key, ts and allowed. Acceptance depends on earlier decisions, so a key's events are taken in order: they are
-    sorted by Spark, streamed, and only the window's log (most entries) is held for the key at hand."""
+    """event, key, ts, allowed and retry_after. Acceptance depends on earlier decisions, so a key's events are taken in order: they
+    are sorted by Spark, streamed, and only the window's log (most entries) is held for the key at hand.
+
+    retry_after, of an event that does not pass: the seconds until the oldest entry of the log leaves its window; else null.
+    Events with a null key share one log. An event without a time does not pass, takes no quota and has no retry_after.
+    """
     window = int(window_seconds * 1_000_000)
-    kinds = {c: events.schema[c].dataType.simpleString() for c in (event, key)}
 
     def run(batches):
-        current, log = None, deque()
+        current, log = object(), deque()  # no key is equal to the first one
         for batch in batches:
-            out = []
-            for k, own in batch.groupby("k", sort=False, dropna=False):
+            allowed, waits = [], []
+            for k, own in groupby(zip(batch["k"].to_pylist(), batch["t"].to_pylist(), strict=True), key=lambda x: x[0]):
                 if k != current:
                     current, log = k, deque()
-                out.append(own.assign(allowed=accepted(own["t"].tolist(), most, window, log)))
-            if out:
-                yield pd.concat(out).drop(columns="k")[["event", "key", "t", "allowed"]]
+                for _, now in own:
+                    passes = now is not None and accepted([now], most, window, log)[0]
+                    allowed.append(passes)
+                    waits.append(None if passes or now is None or not log else log[0] + window - now)
+            columns = [batch["event"], batch["key"], batch["t"], pa.array(allowed, pa.bool_()), pa.array(waits, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["event", "key", "t", "allowed", "wait"])
 
+    kinds = {c: events.schema[c].dataType.simpleString() for c in (event, key)}
     rows = events.select(F.col(event).alias("event"), F.col(key).alias("key"), micros(ts).alias("t"), F.col(key).cast("string").alias("k"))
     ordered = rows.repartition("k").sortWithinPartitions("k", "t", "event")
-    decided = ordered.mapInPandas(run, f"event {kinds[event]}, key {kinds[key]}, t long, allowed boolean")
-    return decided.select(F.col("event").alias(event), F.col("key").alias(key), F.timestamp_micros("t").alias(ts), "allowed")
+    decided = ordered.mapInArrow(run, f"event {kinds[event]}, key {kinds[key]}, t long, allowed boolean, wait long")
+    return decided.select(F.col("event").alias(event), F.col("key").alias(key), F.timestamp_micros("t").alias(ts), "allowed", (F.col("wait") / 1_000_000).alias("retry_after"))
 
 
 def fixed_window(events: DataFrame, most: int = 30, width: str = "1 minute", key: str = "user_id", ts: str = "ts", event: str = "event_id") -> DataFrame:

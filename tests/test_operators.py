@@ -145,6 +145,25 @@ def test_sliding_log_keeps_rejected_events_out(spark):
     assert gateway.accepted([0, 0, 0], 2, 10) == [True, True, False]
 
 
+def test_sliding_log_of_null_keys_in_small_batches(spark):
+    """One log for all of a null key, whatever the batches; whole ids beside null ones; the wait is until the next pass."""
+    large = 2**60 + 1
+    at = [(large if i == 3 else None if i == 4 else i, None if i < 30 else 5, i * 1_000_000) for i in range(60)]
+    rows = spark.createDataFrame([*at, (99, None, None)], "event_id long, user_id long, us long").withColumn("ts", F.timestamp_micros("us"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        out = gateway.sliding_log(rows, 3, 10).select("event_id", "user_id", F.unix_micros("ts").alias("us"), "allowed", "retry_after").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    timed = sorted((r for r in out if r["us"] is not None), key=lambda r: r["us"])
+    for k, first in ((None, 0), (5, 30)):
+        own = [r for r in timed if r["user_id"] == k]
+        assert [r["allowed"] for r in own] == gateway.accepted([r["us"] for r in own], 3, 10_000_000)
+        assert own[0]["us"] == first * 1_000_000 and [r["retry_after"] for r in own[:11]] == [None] * 3 + [7.0, 6.0, 5.0, 4.0, 3.0, 2.0, 1.0, None]
+    assert {r["event_id"] for r in out} >= {large, None} and [(r["allowed"], r["retry_after"]) for r in out if r["us"] is None] == [(False, None)]
+
+
 def test_stream_equals_batch(spark, data, tmp_path):
     rows = sources.table(spark, data, "events").select("event_id", "user_id", "ts")
     rows.orderBy("ts", "event_id").coalesce(1).write.parquet(str(tmp_path / "in"))
