@@ -25,6 +25,7 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,7 @@ class Pair:
         """Parts by number: their tokens, groups and links. A word that begins plainly is known by itself, any other part with the space before it."""
         self.known: dict[str, int] = {}
         self.groups: list[bytes | None] = []
+        self.odd: set[int] = set()  # parts without groups
         self.counts, self.pairs = np.zeros((4, 0), np.int64), np.zeros(0, np.int64)
 
     def encoded(self, spaced: str) -> tuple[list[int], list[int]] | None:
@@ -95,6 +97,7 @@ class Pair:
         if both is None or len(keys) > 1 and not np.isin(stops, common, assume_unique=True).all():
             if len(keys) == 1:
                 self.known[keys[0]] = len(self.groups)
+                self.odd.add(len(self.groups))
                 self.groups.append(None)
                 self.counts = np.concatenate([self.counts, np.zeros((4, 1), np.int64)], axis=1)
             else:
@@ -126,7 +129,7 @@ class Pair:
     def parts(self, text: str) -> list[str]:
         """Keys of the parts of a text."""
         words = text.split(" ")
-        if all(w in self.known or _plain(w) for w in words):
+        if all(map(_plain, set(words).difference(self.known))):
             return words
         # Behind several spaces, or before anything odd, the places are looked for with care.
         return [p[1:] if _plain(p, 1) else p for p in _cuts(" " + text)]
@@ -136,17 +139,17 @@ class Pair:
         if len(self.known) >= MEMORY_PARTS or len(self.pairs) >= MEMORY_LINKS:
             self.forget()
         keys = [self.parts(t) if t else [] for t in texts]
-        self.look_up({k for own in keys for k in own})
+        self.look_up(set().union(*keys))
         places = [[*map(self.known.__getitem__, own)] for own in keys]
         for i, own in enumerate(places):
-            if any(self.groups[k] is None for k in own):
+            if not self.odd.isdisjoint(own):
                 # Its parts together might still give the text back; else it has no tokens.
                 whole = " " + texts[i]
                 self.look_up({whole})
-                places[i] = [self.known[whole]] if self.groups[self.known[whole]] is not None else []
+                places[i] = [self.known[whole]] if self.known[whole] not in self.odd else []
         digests = [sha256(b"".join(map(self.groups.__getitem__, own))[:-1]).hexdigest() if own else "" for own in places]
         sizes = np.array([*map(len, places)])
-        flat = np.fromiter((k for own in places for k in own), np.int64, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(places), np.int64, int(sizes.sum()))
         sums = np.concatenate([np.zeros((4, 1), np.int64), np.cumsum(self.counts[:, flat], axis=1)], axis=1)
         stops = np.concatenate([[0], np.cumsum(sizes)])
         n = self.counts[3, flat]
@@ -157,7 +160,7 @@ class Pair:
     def look_up(self, keys: set[str]) -> None:
         """What isn't known of these is learned: words in runs, other parts by themselves."""
         run, size = [], 0
-        for k in keys - self.known.keys():
+        for k in keys.difference(self.known):
             if k[:1] == " ":
                 self.learn([k])
                 continue
@@ -251,7 +254,10 @@ def pair_counts(linked: DataFrame, stripe_ids: int, size_a: int) -> DataFrame:
         size = 0
         for batch in batches:
             for row in batch.to_pylist():
-                found = one([(_array(row["cells"]), _array(row["times"]).astype(np.int64))])
+                # A row's cells are sorted, so those of a pair are a run.
+                cells = _array(row["cells"])
+                starts = np.flatnonzero(np.diff(cells, prepend=cells[:1] + 1))
+                found = cells[starts], np.add.reduceat(_array(row["times"]).astype(np.int64), starts)
                 held.setdefault(row["stripe"], []).append(found)
                 size += len(found[0])
             if size >= HELD_PAIRS:
