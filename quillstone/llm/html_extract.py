@@ -287,9 +287,9 @@ def features(nodes: list[Node]) -> np.ndarray:
         own = [bool(node.tokens & g) for g in BAD_GROUPS]
         good = bool(node.tokens & GOOD)
         boiler = (node.tag in ("nav", "header", "footer", "aside", "form")) + sum(own) > 0
-        # What stands above: any boilerplate, any article, any good token.
-        above = chain[id(up)] if up else (False, False, False)
-        chain[id(node)] = (above[0] or boiler, above[1] or node.tag in ("article", "main"), above[2] or good)
+        # What stands above: any boilerplate, any article, any good token, and the least share of the page's text in a boilerplate element.
+        above = chain[id(up)] if up else (False, False, False, 1.0)
+        chain[id(node)] = (above[0] or boiler, above[1] or node.tag in ("article", "main"), above[2] or good, min(above[3], node.size / total) if boiler else above[3])
         text = sum(len(p.strip()) for p in node.parts if isinstance(p, str))
         rows.append(
             (
@@ -458,7 +458,11 @@ class Pages:
                 parts.append(r.choice([self.boiler, self.boiler, self.comments])())
         if not parts:
             parts = [self.paragraph(True)]
+        if r.random() < 0.06:
+            parts.insert(0, f'<div class="{r.choice(["header", "page-header", "head", "title-top"])}"><h1>{m}{self.text(1, 10)}</h1></div>')
         inner = "".join(parts)
+        if r.random() < 0.14:
+            return self.misnamed(inner)
         if r.random() < 0.2:
             inner = f"<div>{inner}</div>"
         kind = r.random()
@@ -472,12 +476,26 @@ class Pages:
             return f"<main>{inner}</main>"
         return self.element(r.choice(["div", "div", "section"]), "content main post article entry story article-body post-content main-content text", inner)
 
+    def misnamed(self, inner: str) -> str:
+        """A main element with a word of boilerplate among its names, as in 'ad-free' or 'cookie-recipe'."""
+        r = self.rng
+        bad = r.choice(sorted(r.choice(BAD_GROUPS)))
+        name = r.choice([f"{bad}-{self.word()}", f"{self.word()}-{bad}", f"{bad}-free content", f"{bad} post", bad])
+        tag = r.choice(["article", "main", "article", "main", "div", "section"])
+        if tag in ("div", "section"):
+            name = f"{bad}-{r.choice(['content', 'article', 'story', 'post', 'text'])}"
+            inner = f"<h1>{self.MARK}{self.text(2, 9)}</h1>{self.paragraph(True)}{inner}"
+        return f'<{tag} {r.choice(["class", "id"])}="{name}">{inner}</{tag}>'
+
     def page(self) -> str:
         r = self.rng
         before, after = [self.boiler() for _ in range(r.randint(0, 4))], [self.boiler() for _ in range(r.randint(0, 4))]
         inner = "".join([*before, f"<!-- {self.word()} -->", self.main(), *after])
         if r.random() < 0.3:
             inner = f"<div{r.choice(['', ' id=page', ' class=wrapper', ' class=container'])}>{inner}</div>"
+        if r.random() < 0.1:
+            # As some servers write pages: a form around all.
+            inner = f"<form{r.choice(['', ' id=aspnetForm', ' id=form1 class=page', ' class=main-form'])}>{inner}</form>"
         return f"<!DOCTYPE html><html><head><title>{self.text(1, 6)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>{inner}" + ("</body></html>" if r.random() < 0.9 else "")
 
     def labelled(self) -> tuple[np.ndarray, np.ndarray]:
@@ -492,7 +510,7 @@ class Pages:
 
 
 @lru_cache(2)
-def trained(pages: int = 700, seed: int = 7) -> Boosted:
+def trained(pages: int = 1000, seed: int = 7) -> Boosted:
     made = Pages(seed)
     x, y = zip(*(made.labelled() for _ in range(pages)), strict=True)
     return Boosted().fit(np.concatenate(x), np.concatenate(y))

@@ -464,3 +464,52 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
     rows.drop("row").write.parquet(str(tmp_path / "some/documents.parquet"))
     assert {x["doc_id"] for x in corpus_pipeline.run(spark, str(tmp_path / "some")).collect()} == ids
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_decoding_is_the_best_consistent_choice(seed):
+    """Against every set of open elements that holds the parents of its elements: none is worth more, and what is kept are its elements with text that speak for it."""
+    rng = np.random.default_rng(seed)
+    root = html_extract.Node("html", frozenset(), None)
+    nodes = [root]
+    for _ in range(9):
+        up = nodes[rng.integers(len(nodes))]
+        child = html_extract.Node("div", frozenset(), up)
+        if rng.random() < 0.7:
+            child.parts.append("x" * int(rng.integers(1, 80)))
+        up.parts.append(child)
+        up.children.append(child)
+        nodes.append(child)
+    nodes = html_extract.all_nodes(root)
+    odds = rng.normal(size=len(nodes)) * 3
+    own = [sum(len(p) for p in n.parts if isinstance(p, str)) for n in nodes]
+    worth = [odd * np.log1p(k) if k else min(odd, 0.0) for odd, k in zip(odds, own, strict=True)]
+    place = {id(n): i for i, n in enumerate(nodes)}
+    best, chosen = -np.inf, 0
+    for bits in range(1, 1 << len(nodes), 2):
+        if all(bits >> place[id(n.parent)] & 1 for i, n in enumerate(nodes) if i and bits >> i & 1):
+            total = sum(w for i, w in enumerate(worth) if bits >> i & 1)
+            if total > best:
+                best, chosen = total, bits
+    want = {i for i in range(len(nodes)) if chosen >> i & 1 and own[i] and odds[i] > 0}
+    assert {place[k] for k in html_extract.decode(nodes, odds)} == want
+
+
+STORY = ["The first paragraph of the story has some words, and a second clause.", "Another paragraph follows here, with more text, so that the page is read."]
+_STORY = "".join(f"<p>{x}</p>" for x in STORY)
+_NAV = "<nav><ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li></ul></nav>"
+
+
+@pytest.mark.parametrize(
+    "body, titles",
+    [
+        (f'{_NAV}<main class="ad-free content">{_STORY}</main><footer>&copy; me</footer>', []),
+        (f'{_NAV}<article class="cookie-recipe"><h1>Oat cookies</h1>{_STORY}</article><footer>&copy; me</footer>', ["Oat cookies"]),
+        (f"<form id=aspnetForm>{_NAV}<article>{_STORY}</article><footer>&copy; me</footer></form>", []),
+        (f"<form id=aspnetForm>{_NAV}<div class=content>{_STORY}</div><footer>&copy; me</footer></form>", []),
+        (f'{_NAV}<main><div class="header"><h1>Title</h1></div>{_STORY}</main><footer>&copy; me</footer>', ["Title"]),
+    ],
+)
+def test_html_extraction_in_spite_of_misleading_names(body, titles):
+    page = f"<html><head><title>x</title></head><body>{body}"
+    assert html_extract.main_texts([page], html_extract.trained())[0].split("\n") == titles + STORY
