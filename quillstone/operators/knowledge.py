@@ -6,24 +6,62 @@ reference, arabic_text, translation, theme, ...); narrations(ord, key, source, a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..sources import bounded
 
 
+#: Letters of the grams by which texts meet the keywords that they may hold.
+GRAM = 4
+
+
+def _grams(text: Column, lengths=range(GRAM + 1)) -> Column:
+    """Distinct runs of so many letters: whatever the text holds begins with one, if its anchor has one of these lengths."""
+    run = lambda letters, n: F.transform(F.sequence(F.lit(1), F.size(letters) - (n - 1)), lambda i: F.array_join(F.slice(letters, i, n), ""))
+    runs = lambda letters, n: F.when(F.size(letters) >= n, run(letters, n)).otherwise(F.array().cast("array<string>"))
+    every = lambda letters: F.concat(*[runs(letters, n) if n else F.array(F.lit("")) for n in lengths])
+    # A lambda's variable holds the letters, so that they are split once a text however the plan is put together.
+    split = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.array_distinct(F.transform(F.array(split), every)[0])
+
+
+def _anchor(text: Column) -> Column:
+    return F.substring(text, 1, GRAM)
+
+
+def _lengths(parts: DataFrame, part: str) -> list[int]:
+    """Lengths that the anchors have: GRAM + 1 numbers at most."""
+    return sorted(r[0] for r in parts.select(F.length(_anchor(F.col(part)))).distinct().collect() if r[0] is not None)
+
+
+def held(texts: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
+    """Pairs of rows whose text holds the part: an equi-join of the text's grams with the anchor of the part, and a look at the pairs that meet.
+
+    parts go to every task if they are few; else both sides are shuffled by gram.
+    """
+    lengths = _lengths(parts, part)
+    if not lengths:
+        return texts.join(parts.limit(0), F.lit(False))
+    # The outer explode spares Spark a filter that would make the grams a second time.
+    each = texts.withColumn("_gram", F.explode_outer(_grams(F.col(text), lengths)))
+    known = bounded(parts.withColumn("_anchor", _anchor(F.col(part))))
+    return each.join(known, (F.col("_gram") == F.col("_anchor")) & F.col(text).contains(F.col(part))).drop("_gram", "_anchor")
+
+
 def keyword_scores(questions: DataFrame, rules: DataFrame) -> DataFrame:
     """qid, key, ord and score of each question(qid, text) and rule with a match: per keyword 2 if the question holds it, and its words in common.
 
-    A theta join: the side of the rules is broadcast if it is small, and counted for that.
+    Words in common are an equi-join with the table of the keywords' words; keywords that the question holds are found by held().
     """
     words = lambda text: F.array_distinct(F.filter(F.split(F.lower(text), "\\s+"), lambda w: w != ""))
-    asked = questions.select("qid", F.lower(F.trim("text")).alias("text"), words(F.col("text")).alias("words"))
-    known = rules.select("key", "ord", F.explode("keywords").alias("keyword")).select("key", "ord", F.lower("keyword").alias("keyword"), words(F.col("keyword")).alias("kwords"))
-    both = asked.join(bounded(known), F.col("text").contains(F.col("keyword")) | F.arrays_overlap("words", "kwords"))
-    score = F.when(F.col("text").contains(F.col("keyword")), 2).otherwise(0) + F.size(F.array_intersect("words", "kwords"))
-    return both.groupBy("qid", "key", "ord").agg(F.sum(score).alias("score")).where("score > 0")
+    known = rules.select("key", "ord", F.explode("keywords").alias("keyword"))
+    by_word = known.select("key", "ord", F.explode(words(F.col("keyword"))).alias("word")).groupBy("word", "key", "ord").agg(F.count("*").alias("score"))
+    common = questions.select("qid", F.explode(words(F.col("text"))).alias("word")).join(bounded(by_word), "word").select("qid", "key", "ord", "score")
+    whole = known.groupBy("key", "ord", F.lower("keyword").alias("keyword")).agg((F.count("*") * 2).alias("score"))
+    held_ones = held(questions.select("qid", F.lower(F.trim("text")).alias("text")), "text", whole, "keyword").select("qid", "key", "ord", "score")
+    return common.union(held_ones).groupBy("qid", "key", "ord").agg(F.sum("score").alias("score"))
 
 
 def parse_topics(questions: DataFrame, rules: DataFrame) -> DataFrame:
@@ -32,43 +70,61 @@ def parse_topics(questions: DataFrame, rules: DataFrame) -> DataFrame:
     return questions.select("qid").join(best, "qid", "left")
 
 
-#: Records of a knowledge base that may be held in one row for every task: its rules, and the verses of its cache.
-MOST_RECORDS = 100_000
+def _indexed(rules: DataFrame) -> DataFrame:
+    """way, gram, key, ord and keyword: where topics look rules up: '=' by their key, '<' by the anchor of a keyword that the topic may hold, '>' by any gram of a keyword that may hold the topic."""
+    each = rules.select("key", "ord", F.explode("keywords").alias("keyword"))
+    ways = [
+        rules.select(F.lit("=").alias("way"), F.col("key").alias("gram"), "key", "ord", F.col("key").alias("keyword")),
+        each.select(F.lit("<").alias("way"), _anchor(F.col("keyword")).alias("gram"), "key", "ord", "keyword"),
+        each.select(F.lit(">").alias("way"), F.explode_outer(_grams(F.col("keyword"))).alias("gram"), "key", "ord", "keyword"),
+    ]
+    return ways[0].union(ways[1]).union(ways[2])
 
 
-def _held(rows: DataFrame, what: str) -> DataFrame:
-    """One row: rows (with ord first) as a sorted array, for every task; their number is checked."""
-    if rows.limit(MOST_RECORDS + 1).count() > MOST_RECORDS:
-        raise ValueError(f"a knowledge base may have {MOST_RECORDS} {what} at most")
-    return F.broadcast(rows.agg(F.array_sort(F.collect_list(F.struct("*"))).alias(f"_{what}")))
+def _looked_up(topics: DataFrame, rules: DataFrame) -> DataFrame:
+    """qid, topic, exact (the first rule of that key) and near (the first rule with a keyword that the topic holds or is held by), null without one.
+
+    One equi-join of the topics' grams with the rules' index: it goes to every task if it is small, else both are shuffled by gram.
+    """
+    topic = F.col("topic")
+    look = lambda way, grams: F.transform(grams, lambda g: F.struct(F.lit(way).alias("way"), g.alias("gram")))
+    lengths = _lengths(rules.select(F.explode("keywords").alias("keyword")), "keyword")
+    grams = _grams(topic, lengths) if lengths else F.array().cast("array<string>")
+    ways = F.concat(look("=", F.array(topic)), look(">", F.array(_anchor(topic))), look("<", grams))
+    each = topics.select("qid", "topic", F.explode_outer(ways).alias("_look")).select("qid", "topic", F.col("_look.way").alias("_way"), F.col("_look.gram").alias("_gram"))
+    known = _indexed(rules)
+    fits = F.when(F.col("way") == "=", F.lit(True)).when(F.col("way") == "<", topic.contains(F.col("keyword"))).otherwise(F.col("keyword").contains(topic))
+    met = each.join(bounded(known), (F.col("_way") == F.col("way")) & (F.col("_gram") == F.col("gram")) & fits, "left")
+    first = lambda is_exact: F.min(F.when((F.col("way") == "=") == F.lit(is_exact), F.struct("ord", "key")))["key"]
+    return met.groupBy("qid", "topic").agg(first(True).alias("exact"), first(False).alias("near"))
 
 
 def matched(topics: DataFrame, rules: DataFrame, verses: DataFrame | None = None, limit: int = 3) -> DataFrame:
-    """qid, topic (trimmed, lower case) and what the first layers find for each topic(qid, topic) that isn't blank, without a shuffle.
+    """qid, topic (trimmed, lower case) and what the first layers find for each topic(qid, topic) that isn't blank; equal rows are one.
 
     exact: the rule of that key; by_keyword: else the first rule with a keyword that the topic contains or is contained in;
-    themed: else the first of the verses whose theme contains the topic. Each is null without a match.
+    themed: else the first of the verses whose theme contains the topic. Each is null without a match. Only the first
+    verses of each theme can be among the first of all, so a theme takes part once, with at most limit of them.
     """
-    found = topics.select("qid", F.lower(F.trim("topic")).alias("topic")).where("topic <> ''")
-    found = found.crossJoin(_held(rules.select("ord", "key", "keywords"), "rules"))
-    topic = F.col("topic")
-    found = found.withColumn("exact", F.get(F.filter("_rules", lambda r: r["key"] == topic), 0)["key"])
-    fits = lambda r: F.exists(r["keywords"], lambda k: k.contains(topic) | topic.contains(k))
-    found = found.withColumn("by_keyword", F.when(F.col("exact").isNull(), F.get(F.filter("_rules", fits), 0)["key"])).drop("_rules")
+    found = _looked_up(topics.select("qid", F.lower(F.trim("topic")).alias("topic")).where("topic <> ''"), rules)
+    found = found.withColumn("by_keyword", F.when(F.col("exact").isNull(), F.col("near"))).drop("near")
     if verses is None:
         return found
-    held = _held(verses.select("ord", F.lower("theme").alias("_theme"), F.struct(*verses.columns).alias("x")), "themes")
-    first = lambda: F.slice(F.transform(F.filter("_themes", lambda v: v["_theme"].contains(topic)), lambda v: v["x"]), 1, limit)
-    found = found.crossJoin(held).withColumn("themed", F.when(F.col("exact").isNull() & F.col("by_keyword").isNull(), first())).drop("_themes")
-    return found.withColumn("themed", F.when(F.size("themed") > 0, F.col("themed")))
+    ranked = lambda by: F.row_number().over(Window.partitionBy(by).orderBy("ord"))
+    first = verses.select(F.lower("theme").alias("_theme"), "ord", F.struct(*verses.columns).alias("x")).where("_theme is not null")
+    by_theme = first.withColumn("_at", ranked("_theme")).where(F.col("_at") <= limit).groupBy("_theme").agg(F.collect_list(F.struct("ord", "x")).alias("_verses"))
+    themes = by_theme.withColumn("_gram", F.explode_outer(_grams(F.col("_theme"))))
+    left = found.where("exact is null and by_keyword is null").select("qid", "topic", _anchor(F.col("topic")).alias("_anchor"))
+    met = left.join(bounded(themes), (F.col("_anchor") == F.col("_gram")) & F.col("_theme").contains(F.col("topic"))).select("qid", "topic", F.explode("_verses").alias("v"))
+    best = met.select("qid", "topic", "v.*").withColumn("_at", F.row_number().over(Window.partitionBy("qid", "topic").orderBy("ord"))).where(F.col("_at") <= limit)
+    themed = best.groupBy("qid", "topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "x"))), lambda v: v["x"]).alias("themed"))
+    return found.join(themed, ["qid", "topic"], "left")
 
 
 def first_keyword_match(topics: DataFrame, rules: DataFrame) -> DataFrame:
     """qid and key: the first rule with a keyword that the topic contains or is contained in, whatever its key."""
-    found = topics.select("qid", F.lower(F.trim("topic")).alias("topic")).crossJoin(_held(rules.select("ord", "key", "keywords"), "rules"))
-    topic = F.col("topic")
-    fits = lambda r: F.exists(r["keywords"], lambda k: k.contains(topic) | topic.contains(k))
-    return found.select("qid", F.get(F.filter("_rules", fits), 0)["key"].alias("key")).where("key is not null")
+    found = _looked_up(topics.select("qid", F.lower(F.trim("topic")).alias("topic")), rules)
+    return found.select("qid", F.col("near").alias("key")).where("key is not null")
 
 
 def resolved(rows: DataFrame, refs: str, table: DataFrame, key: str, out: str) -> DataFrame:
@@ -112,12 +168,11 @@ def cascade(topics: DataFrame, rules: DataFrame, verses: DataFrame, narrations:
 
     hits(qid, hits) are the arrays of full-text hits; give them for unresolved(topics, ...) alone, so that no search runs
     for topics that an earlier layer answers. Columns: qid, topic, layer, source, rule_key, ruling, school, verses,
-    narrations, confidence, reasoning, keywords, needs_review, hits. Topics are matched in the tasks that read them; the
-    rules with their evidence are joined to them as one small table.
+    narrations, confidence, reasoning, keywords, needs_review, hits.
     """
     found = matched(topics, rules, cached_verses.select(*verses.columns)).withColumn("rule_key", F.coalesce("exact", "by_keyword"))
     known = evidence_of_rules(rules, verses, narrations, cached_verses, cached_narrations).drop("ord").withColumnRenamed("key", "_rule").withColumnRenamed("school", "_school")
-    layered = found.join(F.broadcast(known), F.col("rule_key") == F.col("_rule"), "left")  # _held has checked the number of rules
+    layered = found.join(known, F.col("rule_key") == F.col("_rule"), "left")
     layered = layered.join(hits, "qid", "left") if hits is not None else layered.withColumn("hits", F.array().cast("array<string>"))
     layer = F.when(F.col("exact").isNotNull(), 1).when(F.col("by_keyword").isNotNull(), 2).when(F.col("themed").isNotNull(), 3).when(F.size("hits") > 0, 4)
     layered = layered.withColumn("layer", layer).where("layer is not null")

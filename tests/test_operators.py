@@ -1,3 +1,4 @@
+import random
 import json
 
 import pytest
@@ -264,3 +265,40 @@ def test_command_line(spark, data, tmp_path, capsys):
     main(["ingest", str(tmp_path / "pages"), str(tmp_path / "books"), str(tmp_path / "out"), "--dry-run"])
     main(["ingest", str(tmp_path / "pages"), str(tmp_path / "books"), str(tmp_path / "out")])
     assert spark.read.parquet(str(tmp_path / "out")).first()["category"] == "fiqh"
+
+
+def test_keywords_meet_topics_as_by_brute_force(spark):
+    rng = random.Random(4)
+    some = lambda most: "".join(rng.choice("ab ü") for _ in range(rng.randint(0, most)))
+    rules = [(i, some(3), [some(7) for _ in range(rng.randint(0, 3))]) for i in range(25)]
+    topics = [(i, some(12)) for i in range(60)] + [(60, rules[3][1]), (61, None), (62, "  ")]
+    themes = [(i, some(9)) for i in range(20)]
+    known = spark.createDataFrame(rules, "ord int, key string, keywords array<string>")
+    asked = spark.createDataFrame(topics, "qid int, topic string")
+    got = {r["qid"]: r for r in knowledge.matched(asked, known, spark.createDataFrame(themes, "ord int, theme string"), 2).collect()}
+    want = {}
+    for qid, topic in topics:
+        t = (topic or "").strip(" ").lower()
+        if t:
+            exact = next((k for _, k, _ in rules if k == t), None)
+            near = next((k for _, k, words in rules if any(w in t or t in w for w in words)), None) if exact is None else None
+            themed = [o for o, theme in themes if t in theme][:2] if exact is None and near is None else []
+            want[qid] = (exact, near, themed)
+    assert {q: (r["exact"], r["by_keyword"], [v["ord"] for v in r["themed"] or []]) for q, r in got.items()} == want
+    scores = {}
+    for qid, topic in topics:
+        for o, key, words in rules:
+            t = topic or ""
+            n = sum(2 * (topic is not None and w in t.strip(" ").lower()) + len(set(t.lower().split()) & set(w.split())) for w in words)
+            if n:
+                scores[(qid, o)] = n
+    found = knowledge.keyword_scores(asked.withColumnRenamed("topic", "text"), known).collect()
+    assert {(r["qid"], r["ord"]): r["score"] for r in found} == scores
+    assert knowledge.keyword_scores(asked.withColumnRenamed("topic", "text"), known.limit(0)).count() == 0
+    assert {r["by_keyword"] for r in knowledge.matched(asked, known.limit(0)).collect()} == {None}
+
+
+def test_keyword_matching_is_equi_joins(spark):
+    rules = spark.createDataFrame([(0, "x", ["wudhu"])], "ord int, key string, keywords array<string>")
+    plan = knowledge.matched(spark.createDataFrame([(1, "wudhu")], "qid int, topic string"), rules)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Window" not in plan
