@@ -103,10 +103,11 @@ def search(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, candi
     n, n_queries = vectors.agg(F.count("*"), F.count_if(F.pmod("vec_id", F.lit(query_every)) == 0)).first()
     across, down = max(1, math.ceil(n / candidate_block)), max(1, math.ceil(n_queries / query_block))
     deal = known.withColumn("at", F.xxhash64("vec_id", "vector"))
-    candidates = deal.select("vec_id", "vector", F.pmod("at", F.lit(across)).alias("across"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("down"))
+    # Both sides' block numbers have one type: Spark hashes an int and a long of the same value to different partitions.
+    candidates = deal.select("vec_id", "vector", F.pmod("at", F.lit(across)).cast("int").alias("across"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("down"))
     # A query row's id within this search: rows are read in the same order whenever a task is tried again.
     asked = deal.where(F.pmod("vec_id", F.lit(query_every)) == 0).withColumn("uid", F.monotonically_increasing_id())
-    queries = asked.select("uid", "vec_id", "vector", F.pmod(F.shiftright("at", 20), F.lit(down)).alias("down"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("across"))
+    queries = asked.select("uid", "vec_id", "vector", F.pmod(F.shiftright("at", 20), F.lit(down)).cast("int").alias("down"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("across"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = search_block(left.to_pandas(), right.to_pandas(), k + 1)

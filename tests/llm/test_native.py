@@ -303,6 +303,23 @@ def test_topk_against_all_products(spark):
     assert sorted(tuple(x) for x in out) == sorted(want)
 
 
+def test_topk_blocks_meet_in_separate_partitions(spark):
+    r = rng()
+    rows = [(i, [r.randrange(-50, 50) for _ in range(6)]) for i in range(400)]
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    merged = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = topk_search.search(frame, k=5, candidate_block=64, query_block=8).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+    want = []
+    for q, v in rows[::20]:
+        scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q)[:5]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(scores, 1)]
+    assert sorted(tuple(x) for x in out) == sorted(want)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert quality_rules.judge(none).count() == secret_scan.findings(none).count() == mixing.schedule(none).count() == 0
