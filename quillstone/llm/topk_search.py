@@ -7,8 +7,8 @@ selection keeps the best of each block, and the blocks' lists are merged by rank
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part. Vectors of different
 lengths are multiplied over the components that both have. A row with a repeated id is a candidate of its own; only the
-query's own row is left out. Equal scores go to the smaller id; scores wrap as 64-bit integers do. Ids that are null
-take no part. An empty table gives an empty result. Columns besides the id and the vector are not read.
+query's own row is left out. Equal scores go to the smaller id. Products are exact; scores beyond 64-bit integers are held at the ends of
+their range, and ranked there. Ids that are null take no part. An empty table gives an empty result. Columns besides the id and the vector are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from .common import table, with_code
 CANDIDATE_BLOCK, QUERY_BLOCK = 2048, 512
 #: Queries that are scored at once, so that the scores stay in the cache.
 CHUNK = 64
+LONG = np.iinfo(np.int64)
 K, QUERY_EVERY = 20, 20
 
 
@@ -57,10 +58,13 @@ def accumulate(queries: np.ndarray, candidates: list[tuple[np.ndarray | None, np
 
 def dense(vectors: pd.Series) -> np.ndarray:
     width = max((len(v) for v in vectors), default=0)
-    out = np.zeros((len(vectors), width), np.int64)
+    out = np.zeros((len(vectors), width), np.result_type(np.int64, *{v.dtype for v in vectors}))
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
-    return out
+    if out.dtype == np.int64 or np.abs(out).max(initial=0) < 2**62:
+        return out.astype(np.int64)
+    most = np.finfo(np.float64).max
+    return np.frompyfunc(int, 1, 1)(np.clip(out, -most, most))
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -70,7 +74,7 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
         kept = np.flatnonzero(scores >= least)
     else:
         kept = np.arange(len(scores))
-    return kept[np.lexsort((ids[kept], -scores[kept].astype(object) if scores.dtype == object else -scores[kept]))[:k]]
+    return kept[np.lexsort((ids[kept], ~scores[kept]))[:k]]  # ~ has the order of -, without its overflow
 
 
 def search_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> dict[str, list]:
@@ -79,12 +83,18 @@ def search_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> dic
     if len(queries) and len(candidates):
         q, c = dense(queries["vector"]), dense(candidates["vector"])
         bound = lambda a: max(abs(int(a.max(initial=0))), abs(int(a.min(initial=0))))
-        own = (q * q).sum(axis=1)
-        if bound(q) * bound(c) * max(1, min(q.shape[1], c.shape[1])) < 2**31:
+        squares = (q.astype(object) if bound(q) ** 2 * q.shape[1] > LONG.max else q) ** 2
+        most = bound(q) * bound(c) * max(1, min(q.shape[1], c.shape[1]))
+        wide = most > LONG.max or object in (q.dtype, c.dtype)
+        if wide:
+            q, c = q.astype(object), c.astype(object)
+        elif most < 2**31:
             q, c = q.astype(np.int32), c.astype(np.int32)
+        held = lambda a: np.clip(a, LONG.min, LONG.max).astype(np.int64) if wide else a.astype(np.int64)
+        own = np.clip(squares.sum(axis=1), LONG.min, LONG.max).astype(np.int64)
         ids, lists = candidates["vec_id"].to_numpy(np.int64), postings(c)
         for start in range(0, len(q), CHUNK):
-            scores = np.ascontiguousarray(accumulate(q[start : start + CHUNK], lists, len(c)).T.astype(np.int64))
+            scores = np.ascontiguousarray(held(accumulate(q[start : start + CHUNK], lists, len(c)).T))
             for i, row in enumerate(scores, start):
                 top = best(ids, row, k)
                 out["uid"].append(queries["uid"].iat[i])
@@ -96,7 +106,7 @@ def search_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> dic
 
 
 def search(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, candidate_block: int = CANDIDATE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best for each row of vectors(vec_id long, vector array<long>) whose id is divisible by query_every."""
+    """query_id, rank, vec_id, score: the k best for each row of vectors(vec_id long, vector array<long>, or array<double> of whole numbers) whose id is divisible by query_every."""
     spark = vectors.sparkSession
     with_code(spark)
     known = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "vector").where("vec_id is not null and vector is not null")
@@ -128,7 +138,9 @@ def integer_vectors(embeddings: DataFrame, scale: int = 64) -> DataFrame:
     """floor(scale * x) of each component; vectors that take no part become null."""
     x = F.col("embedding")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return embeddings.select("vec_id", F.when(x.isNotNull() & ~bad, F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long"))).alias("vector"))
+    # As doubles, which hold the whole number for any component; from 2**53 on a double is its own floor.
+    whole = lambda v: F.when(F.abs(v) < 2.0**53, F.floor(v).cast("double")).otherwise(v)
+    return embeddings.select("vec_id", F.when(x.isNotNull() & ~bad, F.transform(x, lambda v: whole(v.cast("double") * scale))).alias("vector"))
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Quality rules, secret scans, mixing, URL filters and top-k search."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -320,6 +322,19 @@ def test_topk_blocks_meet_in_separate_partitions(spark):
     assert sorted(tuple(x) for x in out) == sorted(want)
 
 
+def test_topk_of_products_beyond_64_bits(spark):
+    r = rng()
+    rows = [(i, [float(r.randrange(-50, 50)) for _ in range(4)]) for i in range(60)] + [(70, [3e18, -(2.0**63), 5.0, 0.0]), (80, [-(2.0**62), 2.0**62, 1.0, 1.0]), (90, [1e30, 2e30, 0.0, -0.01])]
+    out = topk_search.search(topk_search.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), k=5).collect()
+    want = []
+    rows = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v in rows]
+    for q, v in rows:
+        if q % 20 == 0:
+            exact = {i: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=True)))) for i, w in rows if i != q}
+            want += [(q, n, i, s) for n, (i, s) in enumerate(sorted(exact.items(), key=lambda x: (-x[1], x[0]))[:5], 1)]
+    assert sorted(tuple(x) for x in out) == sorted(want)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert quality_rules.judge(none).count() == secret_scan.findings(none).count() == mixing.schedule(none).count() == 0
