@@ -32,27 +32,28 @@ K, QUERY_EVERY = 20, 20
 
 
 def postings(block: np.ndarray) -> list[tuple[np.ndarray | None, np.ndarray]]:
-    """For each term, the rows that have it (None: all) and their weights."""
+    """For each term, the rows that have it (None: a weight for every row, as at least a quarter has it) and their weights."""
     out = []
     for column in block.T:
         rows = np.flatnonzero(column)
-        out.append((None, column) if len(rows) == len(column) else (rows, column[rows]))
+        out.append((None, np.ascontiguousarray(column)) if 4 * len(rows) >= len(column) else (rows, column[rows]))
     return out
 
 
 def accumulate(queries: np.ndarray, candidates: list[tuple[np.ndarray | None, np.ndarray]], n: int) -> np.ndarray:
-    """Scores by candidate and query, term at a time."""
-    scores = np.zeros((n, len(queries)), queries.dtype)
+    """Scores by query and candidate, term at a time."""
+    scores = np.zeros((len(queries), n), queries.dtype)
+    part = np.empty_like(scores)
     for term, (rows, weights) in enumerate(candidates):
         if term >= queries.shape[1]:
             break
-        weight = queries[:, term]
+        weight = queries[:, term, None]
         if not weight.any() or not len(weights):
             continue
         if rows is None:
-            scores += weights[:, None] * weight
+            scores += np.multiply(weight, weights, out=part)
         else:
-            scores[rows] += weights[:, None] * weight
+            scores[:, rows] += weight * weights
     return scores
 
 
@@ -94,7 +95,7 @@ def search_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> dic
         own = np.clip(squares.sum(axis=1), LONG.min, LONG.max).astype(np.int64)
         ids, lists = candidates["vec_id"].to_numpy(np.int64), postings(c)
         for start in range(0, len(q), CHUNK):
-            scores = np.ascontiguousarray(held(accumulate(q[start : start + CHUNK], lists, len(c)).T))
+            scores = held(accumulate(q[start : start + CHUNK], lists, len(c)))
             for i, row in enumerate(scores, start):
                 top = best(ids, row, k)
                 out["uid"].append(queries["uid"].iat[i])
