@@ -115,9 +115,12 @@ def search(
     asked = built(queries, fold=fold)
     terms = asked.select("qid", F.posexplode("clauses").alias("clause", "terms")).select("qid", "clause", F.explode("terms").alias("term"))
     ranks = bm25(terms, stored or tokenized(passages, *indexed, strip_marks=strip_marks, fold=fold)).withColumn("rank", F.round("rank", 9))
-    hits = ranks.join(filtered(passages, category, min_authority, max_authority), "id")
+    # Hits have the level alone until the best are known; then the rest of their passages is fetched, by all that tells a passage from others.
+    known = filtered(passages, category, min_authority, max_authority).withColumn("_row", F.xxhash64(*passages.columns))
+    hits = ranks.join(known.select("id", "level", "_row"), "id")
     pool = candidates(hits, 4 * limit).join(asked.select("qid", "domain"), "qid")
-    return top(rerank(pool, alpha, preference(F.col("domain"))), limit)
+    best = top(rerank(pool, alpha, preference(F.col("domain"))), limit)
+    return best.drop("level").join(known, ["id", "_row"]).drop("_row").dropDuplicates(["qid", "position"])
 
 
 def search_by_authority(queries: DataFrame, passages: DataFrame, limit: int = 5, max_authority: int = 3, **options) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import answer, evidence, knowledge, reasoning, search
-from ..sources import literal_rows, table
+from ..sources import literal_rows, shared_folder, table
 from . import search_queries, seeds
 from .seeds import sql_rows
 
@@ -57,7 +57,8 @@ def cascade_retrieve(spark, d):
 def corpus_hits(spark, d, topics):
     """Hits of the full-text layer for topics that the others leave."""
     k = kb(spark)
-    left = knowledge.unresolved(topics, k["rules"], k["cached_verses"]).withColumnRenamed("topic", "text")
+    shared_folder(spark)
+    left = knowledge.unresolved(topics, k["rules"], k["cached_verses"]).withColumnRenamed("topic", "text").checkpoint()
     found = search.search(left, search_queries.passages(spark, d))
     named = found.select("qid", "position", F.col("source").alias("book"), "level", F.col("category").alias("chapter"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("page"), "text", F.col("combined_score").alias("score"))
     return knowledge.as_hits(named)
