@@ -15,6 +15,8 @@ from ..sources import bounded
 
 #: Letters of the grams by which texts meet the keywords that they may hold.
 GRAM = 4
+#: Anchors that one expression looks for.
+MOST_ANCHORS = 500
 
 
 def _grams(text: Column, lengths=range(GRAM + 1)) -> Column:
@@ -36,6 +38,18 @@ def _lengths(parts: DataFrame, part: str) -> list[int]:
     return sorted(r[0] for r in parts.select(F.length(_anchor(F.col(part)))).distinct().collect() if r[0] is not None)
 
 
+def _held_anchors(text: Column, parts: DataFrame, part: str) -> Column:
+    """Distinct anchors of the parts that the text holds; with more than MOST_ANCHORS of them, all of its runs that have their lengths."""
+    known = [r[0] for r in parts.select(_anchor(F.col(part)).alias("a")).where("a is not null").distinct().limit(MOST_ANCHORS + 1).collect()]
+    if len(known) > MOST_ANCHORS:
+        return _grams(text, _lengths(parts, part))
+    quoted = lambda a: "\\Q" + a.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    # Anchors of one length: at each place of the text no more than one of them begins. Looking ahead finds those that overlap.
+    at = lambda n: "(?=(" + "|".join(quoted(a) for a in known if len(a) == n) + "))"
+    found = [F.regexp_extract_all(text, F.lit(at(n)), F.lit(1)) if n else F.array(F.lit("")) for n in sorted({len(a) for a in known})]
+    return F.array_distinct(F.concat(*found)) if found else F.array().cast("array<string>")
+
+
 def held(texts: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
     """Pairs of rows whose text holds the part: an equi-join of the text's grams with the anchor of the part, and a look at the pairs that meet.
 
@@ -84,13 +98,12 @@ def _indexed(rules: DataFrame) -> DataFrame:
 def _looked_up(topics: DataFrame, rules: DataFrame) -> DataFrame:
     """qid, topic, exact (the first rule of that key) and near (the first rule with a keyword that the topic holds or is held by), null without one.
 
-    One equi-join of the topics' grams with the rules' index: it goes to every task if it is small, else both are shuffled by gram.
+    One equi-join of what the topics may meet with the rules' index: it goes to every task if it is small, else both are shuffled by gram.
     """
     topic = F.col("topic")
     look = lambda way, grams: F.transform(grams, lambda g: F.struct(F.lit(way).alias("way"), g.alias("gram")))
-    lengths = _lengths(rules.select(F.explode("keywords").alias("keyword")), "keyword")
-    grams = _grams(topic, lengths) if lengths else F.array().cast("array<string>")
-    ways = F.concat(look("=", F.array(topic)), look(">", F.array(_anchor(topic))), look("<", grams))
+    anchors = _held_anchors(topic, rules.select(F.explode("keywords").alias("keyword")), "keyword")
+    ways = F.concat(look("=", F.array(topic)), look(">", F.array(_anchor(topic))), look("<", anchors))
     each = topics.select("qid", "topic", F.explode_outer(ways).alias("_look")).select("qid", "topic", F.col("_look.way").alias("_way"), F.col("_look.gram").alias("_gram"))
     known = _indexed(rules)
     fits = F.when(F.col("way") == "=", F.lit(True)).when(F.col("way") == "<", topic.contains(F.col("keyword"))).otherwise(F.col("keyword").contains(topic))
@@ -114,11 +127,13 @@ def matched(topics: DataFrame, rules: DataFrame, verses: DataFrame | None = None
     first = verses.select(F.lower("theme").alias("_theme"), "ord", F.struct(*verses.columns).alias("x")).where("_theme is not null")
     by_theme = first.withColumn("_at", ranked("_theme")).where(F.col("_at") <= limit).groupBy("_theme").agg(F.collect_list(F.struct("ord", "x")).alias("_verses"))
     themes = by_theme.withColumn("_gram", F.explode_outer(_grams(F.col("_theme"))))
-    left = found.where("exact is null and by_keyword is null").select("qid", "topic", _anchor(F.col("topic")).alias("_anchor"))
-    met = left.join(bounded(themes), (F.col("_anchor") == F.col("_gram")) & F.col("_theme").contains(F.col("topic"))).select("qid", "topic", F.explode("_verses").alias("v"))
-    best = met.select("qid", "topic", "v.*").withColumn("_at", F.row_number().over(Window.partitionBy("qid", "topic").orderBy("ord"))).where(F.col("_at") <= limit)
-    themed = best.groupBy("qid", "topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "x"))), lambda v: v["x"]).alias("themed"))
-    return found.join(themed, ["qid", "topic"], "left")
+    # A left join, grouped by what its rows are dealt by already: the topics are looked up once.
+    own, open_ = ["qid", "topic", "exact", "by_keyword"], F.col("exact").isNull() & F.col("by_keyword").isNull()
+    fits = (F.col("_anchor") == F.col("_gram")) & open_ & F.col("_theme").contains(F.col("topic"))
+    met = found.withColumn("_anchor", _anchor(F.col("topic"))).join(bounded(themes), fits, "left").select(*own, F.explode_outer("_verses").alias("v"))
+    best = met.select(*own, "v.*").withColumn("_at", F.row_number().over(Window.partitionBy("qid", "topic").orderBy("ord"))).where(F.col("_at") <= limit)
+    each = best.groupBy(*own).agg(F.array_sort(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("_at", "x")))).alias("_all"))
+    return each.select(*own, F.when(F.size("_all") > 0, F.transform("_all", lambda v: v["x"])).alias("themed"))
 
 
 def first_keyword_match(topics: DataFrame, rules: DataFrame) -> DataFrame:
@@ -163,14 +178,15 @@ def evidence_of_rules(rules: DataFrame, verses: DataFrame, narrations: DataFrame
     return out.select(*[c for c in rules.columns], *[c.alias(n) for n, c in full.items()])
 
 
-def cascade(topics: DataFrame, rules: DataFrame, verses: DataFrame, narrations: DataFrame, cached_verses: DataFrame, cached_narrations: DataFrame, hits: DataFrame | None = None, school: str = "shafii") -> DataFrame:
+def cascade(topics: DataFrame, rules: DataFrame, verses: DataFrame, narrations: DataFrame, cached_verses: DataFrame, cached_narrations: DataFrame, hits: DataFrame | None = None, school: str = "shafii", found: DataFrame | None = None) -> DataFrame:
     """Retrieval for topics(qid, topic): by exact key, by keyword, by theme of cached verses, by full text; the first layer with a hit wins.
 
     hits(qid, hits) are the arrays of full-text hits; give them for unresolved(topics, ...) alone, so that no search runs
-    for topics that an earlier layer answers. Columns: qid, topic, layer, source, rule_key, ruling, school, verses,
+    for topics that an earlier layer answers. found: what matched() says of these topics, if that is known. Columns: qid, topic, layer, source, rule_key, ruling, school, verses,
     narrations, confidence, reasoning, keywords, needs_review, hits.
     """
-    found = matched(topics, rules, cached_verses.select(*verses.columns)).withColumn("rule_key", F.coalesce("exact", "by_keyword"))
+    found = matched(topics, rules, cached_verses.select(*verses.columns)) if found is None else found
+    found = found.withColumn("rule_key", F.coalesce("exact", "by_keyword"))
     known = evidence_of_rules(rules, verses, narrations, cached_verses, cached_narrations).drop("ord").withColumnRenamed("key", "_rule").withColumnRenamed("school", "_school")
     layered = found.join(known, F.col("rule_key") == F.col("_rule"), "left")
     layered = layered.join(hits, "qid", "left") if hits is not None else layered.withColumn("hits", F.array().cast("array<string>"))
@@ -190,7 +206,12 @@ def cascade(topics: DataFrame, rules: DataFrame, verses: DataFrame, narrations:
 
 def unresolved(topics: DataFrame, rules: DataFrame, cached_verses: DataFrame) -> DataFrame:
     """Topics that need the full-text layer."""
-    return matched(topics, rules, cached_verses).where("exact is null and by_keyword is null and themed is null").select("qid", "topic")
+    return left_over(matched(topics, rules, cached_verses))
+
+
+def left_over(found: DataFrame) -> DataFrame:
+    """Those of them that matched() has found nothing for."""
+    return found.where("exact is null and by_keyword is null and themed is null").select("qid", "topic")
 
 
 def as_hits(found: DataFrame, limit: int | None = None) -> DataFrame:

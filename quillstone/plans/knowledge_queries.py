@@ -54,20 +54,24 @@ def cascade_retrieve(spark, d):
     return _cascade(spark, _topics(spark, d)).select("qid", "topic", "layer", "source", "ruling", keys("verses"), keys("narrations"), "confidence", "needs_review")
 
 
-def corpus_hits(spark, d, topics):
-    """Hits of the full-text layer for topics that the others leave."""
-    k = kb(spark)
-    shared_folder(spark)
-    left = knowledge.unresolved(topics, k["rules"], k["cached_verses"]).withColumnRenamed("topic", "text").checkpoint()
-    found = search.search(left, search_queries.passages(spark, d))
+def corpus_hits(spark, d, left):
+    """Hits of the full-text layer for the topics that the others leave."""
+    found = search.search(left.withColumnRenamed("topic", "text"), search_queries.passages(spark, d))
     named = found.select("qid", "position", F.col("source").alias("book"), "level", F.col("category").alias("chapter"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("page"), "text", F.col("combined_score").alias("score"))
     return knowledge.as_hits(named)
 
 
+def _corpus_cascade(spark, d, topics):
+    """The whole cascade, with its full-text layer; the topics are matched once for all layers."""
+    k = kb(spark)
+    shared_folder(spark)
+    found = knowledge.matched(topics, k["rules"], k["cached_verses"].select(*k["verses"].columns)).checkpoint()
+    return knowledge.cascade(topics, **k, hits=corpus_hits(spark, d, knowledge.left_over(found)), found=found)
+
+
 def cascade_corpus(spark, d):
     """The whole cascade, with its full-text layer."""
-    topics = _topics(spark, d)
-    found = knowledge.cascade(topics, **kb(spark), hits=corpus_hits(spark, d, topics))
+    found = _corpus_cascade(spark, d, _topics(spark, d))
     said = F.array_join(F.transform("hits", lambda h: F.concat_ws(" ", h["book"], h["level"].cast("string"), h["chapter"], h["page"], F.round(h["score"] * 10000).cast("long").cast("string"))), ",")
     return found.select("qid", "topic", "layer", "source", "ruling", "school", "confidence", "reasoning", "needs_review", F.coalesce(said, F.lit("")).alias("hits"))
 
@@ -75,7 +79,7 @@ def cascade_corpus(spark, d):
 def chat_answer_corpus(spark, d):
     """Questions whose topic the caller gives, in place of a parsed one: answers from rules, cached verses and passages, with citations."""
     topics = _topics(spark, d)
-    told = answer.answers(topics.select("qid"), topics, knowledge.cascade(topics, **kb(spark), hits=corpus_hits(spark, d, topics)), has_hits=True)
+    told = answer.answers(topics.select("qid"), topics, _corpus_cascade(spark, d, topics), has_hits=True)
     cited = F.array_join(F.transform("citations", lambda c: F.concat_ws("|", c["book_name"], c["authority_label"], c["authority_level"].cast("string"), c["chapter_title"], c["page_ref"], c["excerpt"])), "\n")
     none = F.lit("")
     return told.select("qid", "status", F.coalesce("answer", none).alias("answer"), F.coalesce("reason", none).alias("reason"), F.coalesce("disclaimer", none).alias("disclaimer"), F.round(F.col("confidence_score") * 100).cast("long").alias("hundredths"), F.array_join("warnings", "\n").alias("warnings"), "source", F.coalesce(cited, none).alias("citations"))

@@ -1,5 +1,6 @@
 import random
 import json
+import math
 import re
 
 import pytest
@@ -320,3 +321,49 @@ def test_keyword_matching_is_equi_joins(spark):
     rules = spark.createDataFrame([(0, "x", ["wudhu"])], "ord int, key string, keywords array<string>")
     plan = knowledge.matched(spark.createDataFrame([(1, "wudhu")], "qid int, topic string"), rules)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "Window" not in plan
+
+
+def test_topics_are_looked_up_once(spark, tmp_path):
+    rules = spark.createDataFrame([(0, "x", ["wudhu"])], "ord int, key string, keywords array<string>")
+    themes = spark.createDataFrame([(0, "water"), (1, "the water")], "ord int, theme string")
+    spark.createDataFrame([(1, "wudhu"), (2, "wat"), (3, "no")], "qid int, topic string").write.parquet(f"{tmp_path}/topics")
+    found = knowledge.matched(spark.read.parquet(f"{tmp_path}/topics"), rules, themes, 1)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert {r["qid"]: (r["by_keyword"], r["themed"] and [v["ord"] for v in r["themed"]]) for r in found.collect()} == {1: ("x", None), 2: (None, [0]), 3: (None, None)}
+
+
+@pytest.mark.parametrize("most", [0, 500])
+def test_anchors_that_topics_hold(spark, monkeypatch, most):
+    monkeypatch.setattr(knowledge, "MOST_ANCHORS", most)
+    keywords = ["a.", "\\E|x", "(?=", "$^", "aa", "aaab", "aab c", "\U0001f600\U0001f601", "[a", "a\nb", "", None]
+    topics = ["xa.", "ab", "\\E|x", "z\\e|x", "(?=)", "q$^", "aaab", "caab c", "\U0001f602\U0001f600\U0001f601", "\U0001f601", "x[a", "a\nb."]
+    for kept in (keywords, keywords[:-2]):
+        known = spark.createDataFrame([(i, f"k{i}", [k]) for i, k in enumerate(kept)], "ord int, key string, keywords array<string>")
+        asked = spark.createDataFrame(list(enumerate(topics)), "qid int, topic string")
+        want = {q: next((f"k{i}" for i, k in enumerate(kept) if k is not None and (k in t.lower() or t.lower() in k)), None) for q, t in enumerate(topics)}
+        assert {r["qid"]: r["by_keyword"] for r in knowledge.matched(asked, known).collect()} == want
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_clauses_of_several_words_as_by_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(bm25, "MOST", most)
+    monkeypatch.setattr(bm25, "SLICE", 7)
+    rng = random.Random(7)
+    some = lambda n: [rng.choice("aaabbbccdef") for _ in range(rng.randint(0, n))]
+    docs = {f"d{i}": some(9) for i in range(40)} | {"e": []}
+    clauses = [(q, c, t) for q in range(30) for c in range(rng.randint(1, 3)) for t in some(4) + rng.choice([[], ["nosuchword"]])] + [(30, 0, "a"), (31, 0, None)]
+    tokens = spark.createDataFrame(list(docs.items()), "id string, words array<string>").repartition(3)
+    out = bm25.bm25(spark.createDataFrame(clauses, "qid int, clause int, term string"), tokens)
+    if most:  # documents are not joined with what they might match
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    df = {t: sum(t in w for w in docs.values()) for t in "abcdef"}
+    average = sum(map(len, docs.values())) / len(docs)
+    want = {}
+    for q, c in {x[:2] for x in clauses}:
+        own = [t for x, y, t in clauses if (x, y) == (q, c)]
+        for key, words in docs.items():
+            if all(t in words for t in own):
+                idf = lambda t: max(math.log((len(docs) - df[t] + 0.5) / (df[t] + 0.5)), 0) or 1e-6
+                score = lambda t: idf(t) * words.count(t) * 2.2 / (words.count(t) + 1.2 * (0.25 + 0.75 * len(words) / average))
+                want[q, key] = want.get((q, key), 0) - sum(map(score, own))
+    assert {(r["qid"], r["id"]): r["rank"] for r in out.collect()} == pytest.approx(want)
