@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import contains_arabic, search_form
+from ..sources import bounded, shared_folder
 from .bm25 import bm25
 from .index import Stored, tokenized, words
 
@@ -119,8 +120,10 @@ def search(
     known = filtered(passages, category, min_authority, max_authority).withColumn("_row", F.xxhash64(*passages.columns))
     hits = ranks.join(known.select("id", "level", "_row"), "id")
     pool = candidates(hits, 4 * limit).join(asked.select("qid", "domain"), "qid")
-    best = top(rerank(pool, alpha, preference(F.col("domain"))), limit)
-    return best.drop("level").join(known, ["id", "_row"]).drop("_row").dropDuplicates(["qid", "position"])
+    shared_folder(passages.sparkSession)
+    best = top(rerank(pool, alpha, preference(F.col("domain"))), limit).drop("level").checkpoint()
+    # The best go to every task if they are few, so that no text is shuffled but theirs.
+    return bounded(best).join(known, ["id", "_row"]).drop("_row").dropDuplicates(["qid", "position"])
 
 
 def search_by_authority(queries: DataFrame, passages: DataFrame, limit: int = 5, max_authority: int = 3, **options) -> DataFrame:

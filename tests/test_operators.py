@@ -367,3 +367,16 @@ def test_clauses_of_several_words_as_by_brute_force(spark, monkeypatch, most):
                 score = lambda t: idf(t) * words.count(t) * 2.2 / (words.count(t) + 1.2 * (0.25 + 0.75 * len(words) / average))
                 want[q, key] = want.get((q, key), 0) - sum(map(score, own))
     assert {(r["qid"], r["id"]): r["rank"] for r in out.collect()} == pytest.approx(want)
+
+
+def test_texts_of_passages_are_not_shuffled(spark):
+    rows = [(i, i % 5 + 1, "en", f"some {w} words") for i, w in enumerate(["qqa", "qqb", "qqa qqb", "qqc"])]
+    passages = spark.createDataFrame(rows, "id long, level int, category string, text string")
+    queries = spark.createDataFrame([(1, "qqa words"), (2, "qqb"), (3, "qqd")], "qid int, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = search.search(queries, passages)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {(r["qid"], r["id"], r["text"]) for r in out.collect()} == {(1, 0, "some qqa words"), (1, 2, "some qqa qqb words"), (2, 1, "some qqb words"), (2, 2, "some qqa qqb words")}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
